@@ -4,13 +4,20 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from lectern.llm import packing, simple8b
+    from lectern.llm import chat, mixing, packing, simple8b
 
     return {
+        "op1_snapshot_collapse": chat.op1_snapshot_collapse,
         "op3_bounded_packing": packing.op3_bounded_packing,
+        "op6_hierarchical_mixing": mixing.op6_hierarchical_mixing,
         "op8_token_binary": simple8b.op8_token_binary,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lectern.llm import chat, mixing
+
+    return {
+        "op1_snapshot_collapse": chat.ORACLE,
+        "op6_hierarchical_mixing": mixing.ORACLE,
+    }
