@@ -4,13 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from lectern.llm import chat, mixing, packing, pii, simple8b
+    from lectern.llm import chat, mixing, ogg, packing, pii, simple8b
 
     return {
         "op1_snapshot_collapse": chat.op1_snapshot_collapse,
         "op3_bounded_packing": packing.op3_bounded_packing,
         "op4_disclosure_sanitise": pii.op4_disclosure_sanitise,
         "op6_hierarchical_mixing": mixing.op6_hierarchical_mixing,
+        "op9_ogg_media": ogg.op9_ogg_media,
         "op8_token_binary": simple8b.op8_token_binary,
     }
 
