@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from lectern.llm import chat, mixing, ogg, packing, pii, simple8b
+    from lectern.llm import chat, html_text, mixing, ogg, packing, pii, simple8b
 
     return {
         "op1_snapshot_collapse": chat.op1_snapshot_collapse,
+        "op2_flat_blocks": html_text.op2_flat_blocks,
         "op3_bounded_packing": packing.op3_bounded_packing,
         "op4_disclosure_sanitise": pii.op4_disclosure_sanitise,
         "op6_hierarchical_mixing": mixing.op6_hierarchical_mixing,
