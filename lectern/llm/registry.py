@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from lectern.llm import chat, html_text, mixing, ogg, packing, pii, simple8b
+    from lectern.llm import chat, html_text, mixing, ogg, packing, pii, quality, simple8b
 
     return {
         "op1_snapshot_collapse": chat.op1_snapshot_collapse,
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bounded_packing": packing.op3_bounded_packing,
         "op4_disclosure_sanitise": pii.op4_disclosure_sanitise,
         "op6_hierarchical_mixing": mixing.op6_hierarchical_mixing,
+        "op7_neighbour_voting": quality.op7_neighbour_voting,
         "op9_ogg_media": ogg.op9_ogg_media,
         "op8_token_binary": simple8b.op8_token_binary,
     }
