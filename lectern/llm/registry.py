@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from lectern.llm import chat, html_text, mixing, ogg, packing, pii, quality, simple8b
+    from lectern.llm import chat, html_text, mixing, ngram_join, ogg, packing, pii, quality, simple8b
 
     return {
         "op1_snapshot_collapse": chat.op1_snapshot_collapse,
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_disclosure_sanitise": pii.op4_disclosure_sanitise,
         "op6_hierarchical_mixing": mixing.op6_hierarchical_mixing,
         "op7_neighbour_voting": quality.op7_neighbour_voting,
+        "op10_chosen_path": ngram_join.op10_chosen_path,
         "op9_ogg_media": ogg.op9_ogg_media,
         "op8_token_binary": simple8b.op8_token_binary,
     }
