@@ -4,13 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from lectern.llm import chat, html_text, mixing, ngram_join, ogg, packing, pii, quality, simple8b
+    from lectern.llm import chat, html_text, mixing, neighbours, ngram_join, ogg, packing, pii, quality, simple8b
 
     return {
         "op1_snapshot_collapse": chat.op1_snapshot_collapse,
         "op2_flat_blocks": html_text.op2_flat_blocks,
         "op3_bounded_packing": packing.op3_bounded_packing,
         "op4_disclosure_sanitise": pii.op4_disclosure_sanitise,
+        "op5_nn_descent": neighbours.op5_nn_descent,
         "op6_hierarchical_mixing": mixing.op6_hierarchical_mixing,
         "op7_neighbour_voting": quality.op7_neighbour_voting,
         "op10_chosen_path": ngram_join.op10_chosen_path,
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op1_snapshot_collapse": chat.ORACLE,
+        "op5_nn_descent": neighbours.op5_nn_descent,
         "op6_hierarchical_mixing": mixing.ORACLE,
     }
