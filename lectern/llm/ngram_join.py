@@ -299,3 +299,19 @@ def join(docs: DataFrame) -> DataFrame:
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group: that with the smallest doc_id, then the smallest text_key.
+
+    Null doc_ids stay only where a group has no other. Rows without a set stay, but rows equal in doc_id and
+    text are one. Further columns stay; of rows equal in doc_id and text any one is taken.
+    """
+    found = join(docs)
+    alone = found.where("class_id is null")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    first = found.where("class_id is not null").groupBy("class_id").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("keep_id"), F.col("f.text_key").alias("text_key"))
+    first = first.unionByName(alone.select(F.col("doc_id").alias("keep_id"), "text_key").distinct())
+    rows = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(first, (rows["text_key"] == first["text_key"]) & rows["doc_id"].eqNullSafe(first["keep_id"])).drop(first["text_key"]).drop("keep_id")
+    return kept.dropDuplicates(["doc_id", "text_key"]).drop("text_key")
