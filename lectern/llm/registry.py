@@ -25,6 +25,5 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op1_snapshot_collapse": chat.ORACLE,
-        "op5_nn_descent": neighbours.op5_nn_descent,
         "op6_hierarchical_mixing": mixing.ORACLE,
     }
