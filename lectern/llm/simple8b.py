@@ -33,6 +33,8 @@ WIDTHS = np.array([w for _, w in SELECTORS])
 ESCAPE_BITS = 20
 BLOCK_IDS = 1024
 CHUNK_IDS = 1 << 16
+#: The bit length of every id that is not an escape.
+_BITS = np.frexp(np.arange(1 << ESCAPE_BITS, dtype=np.float64))[1].astype(np.int8)
 
 FILE_SCHEMA = (
     "shard int, chunk long, doc_ids array<long>, doc_lens array<long>, n_ids long, offsets binary, words binary, escapes binary"
@@ -49,20 +51,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grid[:n] = ids
     grid[over] = 0
     grid = grid.reshape(blocks, BLOCK_IDS)
-    bits = np.frexp(grid.astype(np.float64))[1].astype(np.int8)  # the bit length; 0 for 0
+    bits = _BITS[grid.astype(np.int32)]
     # the selector with the most ids whose widest id still fits, at every place of every block
     best = np.full(grid.shape, len(SELECTORS) - 1, dtype=np.int8)
     widest, span = bits, 1
-    steps = {}
-    for count in sorted(set(COUNTS.tolist())):
+    for s in range(len(SELECTORS) - 1, -1, -1):
+        count, width = SELECTORS[s]
         while span < count:
             step = min(span, count - span)
             ahead = np.zeros_like(widest)
             ahead[:, :-step] = widest[:, step:]
             widest, span = np.maximum(widest, ahead), span + step
-        steps[count] = widest
-    for s in range(len(SELECTORS) - 1, -1, -1):
-        best[steps[SELECTORS[s][0]] <= SELECTORS[s][1]] = s
+        fits = widest <= width
+        if not fits.any():  # then no longer run of narrower ids fits either
+            break
+        best[fits] = s
     # all blocks walk their words in step
     limit = np.full(blocks, BLOCK_IDS)
     limit[-1] = n - (blocks - 1) * BLOCK_IDS
@@ -82,7 +85,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, owner = start[order], owner[order]
     chosen = best[owner, start]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([grid, np.zeros((blocks, 240), dtype=np.uint64)], axis=1)
+    padded = np.concatenate([grid, np.zeros((blocks, 240), dtype=np.uint64)], axis=1)  # a last word may reach over
     for s, (count, width) in enumerate(SELECTORS):
         mine = np.flatnonzero(chosen == s)
         if width and len(mine):

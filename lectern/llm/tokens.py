@@ -15,13 +15,17 @@ import numpy as np
 
 #: Pieces kept before the cache starts anew; about 150 bytes each.
 CACHE_SIZE = 1_000_000
-_ODD = re.compile(r"[^\S \n]")
 _LETTERS = "a-zA-ZäöüßéèêçñáíóúàâîôûëïÄÖÜÉÈÊÇÑÁÍÓÚÀÂÎÔÛËÏ"
 #: Letters, perhaps with marks after them: two pieces for either vocabulary (an apostrophe may bind letters).
 _PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)\Z")
 
 #: A full stop or comma that is not between a letter and white space.
-_LOOSE_STOP = re.compile(rf"(?<![{_LETTERS}])[.,]|[.,](?![ \n]|\Z)")
+_LOOSE_STOP = re.compile(rf"[.,](?:(?<![{_LETTERS}][.,])|(?![ \n]|\Z))")
+
+
+def _odd(text: str) -> bool:
+    """Whether there may be white space other than spaces and line ends, or what else is not printable."""
+    return not text.replace("\n", "").isprintable()
 
 
 def _latin(text: str) -> bool:
@@ -152,7 +156,7 @@ class WordEnds(_Cached):
         self._mark(lambda t: t.endswith("</w>"))
 
     def pieces(self, text: str) -> list[str] | None:
-        if _ODD.search(text):  # what str.split() calls white space and the vocabulary doesn't, or the reverse
+        if _odd(text):  # what str.split() calls white space and the vocabulary doesn't, or the reverse
             return None
         if _latin(text):  # there lower-casing is the same everywhere, and so more pieces are equal
             text = text.lower()
@@ -176,7 +180,7 @@ class SpaceStarts(_Cached):
         self.newline = tokenizer.token_to_id("Ċ")
 
     def pieces(self, text: str) -> list[str] | None:
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or _ODD.search(text):
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or _odd(text):
             return None
         if not _LOOSE_STOP.search(text):
             text = text.replace(",", "\0,").replace(".", "\0.")
