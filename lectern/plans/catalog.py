@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lectern.plans import documents
+
 
 def queries() -> dict:
-    return {}
+    return dict(documents.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(documents.SQL)
