@@ -109,12 +109,10 @@ def disclosing(docs: DataFrame, hits: DataFrame) -> DataFrame:
     near = materialize(near.distinct(), "pii-near")
     pairs = near.groupBy("value", "term").agg(F.count("*").alias("n_te"), F.count_distinct("text_key").alias("texts"))
     pairs = materialize(pairs.where(F.col("texts") >= MIN_TEXTS), "pii-pairs")
-    wanted = pairs.select("term").distinct()
     counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    counts = counts.join(wanted, "term", "left_semi")
     values = near.select("row_key", "value").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
-    total = docs.agg(F.count("*").cast("double").alias("n"))
-    n = total.first()["n"]  # one number
+    n = float(docs.count())
+    # an inner join stays above the counts, which have one row a term; a semi-join would move below them
     scored = pairs.join(counts, "term").join(values, "value")
     pmi = F.log2(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
     share = F.when(F.col("n_e") < n, pmi / F.log2(F.lit(n) / F.col("n_e"))).otherwise(F.lit(0.0))
