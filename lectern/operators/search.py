@@ -89,12 +89,16 @@ def filtered_list(cut: DataFrame, allowed: DataFrame | None, item: str, kept: in
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept).drop("old")
 
 
-def hash_embed(text: Column | str) -> Column:
-    """A deterministic stand-in for a model: 64 counts of hashed words, scaled to unit length."""
-    buckets = F.transform(T.words(text), lambda w: F.conv(F.right(T.sha(w), F.lit(2)), 16, 10).cast("int") % DIMS)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+def hash_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key and v, a deterministic stand-in for a model: 64 counts of hashed words, scaled to unit length.
+
+    Words are counted by aggregation and not inside a row; a text without words has no vector.
+    """
+    bucket = F.conv(F.right(T.sha("word"), F.lit(2)), 16, 10).cast("int") % DIMS
+    counted = rows.select(key, F.explode(T.words(F.coalesce(text, F.lit("")))).alias("word")).groupBy(key, bucket.alias("dim")).agg(F.count("*").cast("double").alias("c"))
+    listed = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    dims = F.array(*[F.lit(k) for k in range(DIMS)])
+    return listed.select(key, F.transform(dims, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("norm")).alias("v"))
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, item: str, digits: int | None = None) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.plans import documents
+from lectern.plans import documents, registry, retrieval
 
 
 def queries() -> dict:
-    return dict(documents.QUERIES)
+    return {**documents.QUERIES, **retrieval.QUERIES, **registry.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(documents.SQL)
+    return {**documents.SQL, **retrieval.SQL, **registry.SQL}

@@ -192,10 +192,10 @@ _REF = "CASE WHEN doc_id % 9 = 0 THEN '(preamble)' WHEN doc_id % 9 = 1 THEN 'Sec
 @query(
     rf"""
 WITH c AS (SELECT source, text, length(text) AS n, {_REF} AS ref,
-  list_filter(string_split(text, chr(10)), x -> trim(x) <> '') AS lines FROM documents)
+  list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents)
 SELECT source, count(*) AS chunks, sum(CASE WHEN starts_with(ref, '(preamble)') THEN n ELSE 0 END)::BIGINT AS preamble_chars,
   count(*) FILTER (regexp_matches(ref, ' \(part [0-9]+\)$')) AS parts, max(n)::BIGINT AS max_len, count(*) FILTER (n < 80) AS tiny,
-  count(*) FILTER (len(lines) >= 5 AND len(list_filter(lines, x -> regexp_matches(x, '^.{{2,}}?(\.{{3,}}|\s{{2,}})\s*[0-9]+\s*$'))) * 2 > len(lines)) AS toc_like,
+  count(*) FILTER (len(lines) >= 5 AND len(list_filter(lines, lambda x: regexp_matches(x, '^.{{2,}}?(\.{{3,}}|\s{{2,}})\s*[0-9]+\s*$'))) * 2 > len(lines)) AS toc_like,
   count(*) - count(DISTINCT regexp_replace(ref, ' \(part [0-9]+\)$', '')) + count(*) FILTER (regexp_matches(ref, ' \([0-9]+\)$')) AS dup_refs
 FROM c GROUP BY source"""
 )
