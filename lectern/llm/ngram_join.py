@@ -18,7 +18,7 @@ words is one shingle). Two sets link at Jaccard 0.8 or more, computed exactly.
 
 No bucket, group or set is cut: BRUTE and DEPTH bound the search only, and step 4 compares every member of a
 component with every other. Texts move once, for members of components; nothing grows with pairs but the
-tiles' arithmetic.
+tiles' arithmetic. A pair that shares a text's common passage in one run's bucket meets in other runs without it.
 
 Cases. Null and empty texts (and texts without word characters) have no set and link with nothing. Rows
 equal in doc_id and text are copies of each other; null doc_ids are kept and never represent a group that has
@@ -52,7 +52,9 @@ RECALL = 0.9999
 PER_RUN = 0.4
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - PER_RUN))
 BRUTE = 128
-DEPTH = 5
+DEPTH = 3
+#: Bits of the map that keeps texts that are in no component from being moved; its size is fixed.
+MAP_BITS = 1 << 24
 TILE = 256
 _WORD = re.compile(r"\w+")
 _KNOWN: dict[str, int] = {}
@@ -172,9 +174,10 @@ def candidates(classes: DataFrame) -> DataFrame:
         for batch in batches:
             sigs, nodes, leader = _matrix(batch["sig"]), batch["node"].to_numpy(), batch["leader"].to_numpy()
             near = ((sigs == _matrix(batch["leader_sig"])).mean(axis=1) >= CANDIDATE) & (nodes != leader)
-            yield pd.DataFrame({"path": None, "node": nodes[near], "other": leader[near]}).astype({"path": "Int64", "other": "Int64"})
+            yield pd.DataFrame({"path": None, "node": nodes[near], "other": leader[near], "sig": None}).astype({"path": "Int64", "other": "Int64"})
             rows, paths = _split(batch["path"].to_numpy().view(np.uint64), sigs)
-            yield pd.DataFrame({"path": paths.view(np.int64), "node": nodes[rows], "other": None}).astype({"path": "Int64", "other": "Int64"})
+            down = pd.DataFrame({"path": paths.view(np.int64), "node": nodes[rows], "other": None, "sig": batch["sig"].to_numpy()[rows]})
+            yield down.astype({"path": "Int64", "other": "Int64"})
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,22 +194,22 @@ def candidates(classes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     small, edges = [], []
-    paths = classes.select("node", "sig").mapInPandas(roots, "path long, node long")
+    paths = materialize(classes.select("node", "sig").mapInPandas(roots, "path long, node long"), "paths")
     for level in range(DEPTH + 1):
-        paths = materialize(paths, "paths")
         sizes = materialize(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path-sizes")
-        small.append(paths.join(sizes.where(F.col("size") <= BRUTE).select("path"), "path"))
-        large = materialize(sizes.where(F.col("size") > BRUTE), "large-paths")
+        small.append(paths.select("path", "node").join(sizes.where(F.col("size") <= BRUTE).select("path"), "path"))
+        large = sizes.where(F.col("size") > BRUTE).select("path")
         if large.isEmpty():
             break
-        held = paths.join(large.select("path"), "path").join(classes.select("node", "sig"), "node")
-        lead = held.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "node"), "node", "sig")).alias("l"))
+        held = paths.join(large, "path")
+        if level == 0:  # further down, large buckets' rows bring their embeddings along
+            held = held.join(classes.select("node", "sig"), "node")
+        # one seeded order a level: a group that many runs keep together has few leaders, so edges are equal ones
+        lead = held.groupBy("path").agg(F.min(F.struct(F.xxhash64(F.lit(level), "node"), "node", "sig")).alias("l"))
         lead = lead.select("path", F.col("l.node").alias("leader"), F.col("l.sig").alias("leader_sig"))
-        done = materialize(held.join(lead, "path").mapInPandas(step, "path long, node long, other long"), "path-step")
+        done = materialize(held.join(lead, "path").mapInPandas(step, "path long, node long, other long, sig binary"), "path-step")
         edges.append(done.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        if level == DEPTH:
-            break
-        paths = done.where("path is not null").select("path", "node")
+        paths = done.where("path is not null").select("path", "node", "sig")
     buckets = small[0]
     for more in small[1:]:
         buckets = buckets.unionByName(more)
@@ -265,6 +268,18 @@ def compare(rows: DataFrame) -> DataFrame:
     return tiles.groupBy("component", "i", "j").applyInPandas(tile, "node long, links long, other long")
 
 
+def mapped(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of rows those whose text_key may be among the wanted ones, by a bit map of fixed size that is broadcast.
+
+    It has at most MAP_BITS / 64 words, however many keys there are; a full map lets all rows through.
+    """
+    place = F.pmod("text_key", F.lit(MAP_BITS))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = wanted.select(word.alias("map_word"), bit.alias("bit")).groupBy("map_word").agg(F.bit_or("bit").alias("map_bits"))
+    held = rows.withColumn("map_word", word).join(F.broadcast(words), "map_word")
+    return held.where(F.col("map_bits").bitwiseAND(bit) != 0).drop("map_word", "map_bits")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_key, class_id (smallest doc_id of its group), n_links (other rows linked directly)."""
     rows = materialize(sketches(docs), "sketches")
@@ -283,7 +298,7 @@ def join(docs: DataFrame) -> DataFrame:
             out = batch[["node", "copies", "component"]].assign(shingles=[s.tobytes() for s in sets])
             yield out[same]
 
-    texts = keyed(docs).join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("one_id")))
+    texts = mapped(keyed(docs), wanted).join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("one_id")))
     sets = texts.select("node", "copies", "component", "set_key", "text").mapInPandas(reread, "node long, copies long, component long, shingles binary")
     found = materialize(compare(materialize(sets, "sets")), "links")
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
