@@ -208,3 +208,19 @@ def test_knowledge_base(spark, tmp_path):
     assert [(r.document_id, r.total) for r in listed] == [("lag", 2), ("code", 2)] and listed[1].also_in == ["code-retail code 3"]
     assert {r.document_id: (r.n_sections, r.n_statements) for r in kb.sources("GB").collect()} == {"code": (3, 1), "code-retail": (1, 1), "never": (0, 0)}
     assert topics.clamp(500, 50) == 50
+
+
+def test_registry_files(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from lectern.sources import registry_files
+
+    (tmp_path / "s.yaml").write_text("- {id: a, publisher: P, title: T, url: https://x.org, language: en, doc_type: act, tags: [t]}\n")
+    (tmp_path / "bad.yaml").write_text("- {id: a, colour: red}\n")
+    (tmp_path / "scopes.yaml").write_text("- {id: SE, name: Sweden, languages: [sv], availability: {t: {status: licensed, source: a, effective_from: 2024}}}\n")
+    (tmp_path / "golden.yaml").write_text("- question: what?\n  expect: [{source: a, section: 's. *'}, {source: b}]\n")
+    assert registry_files.sources(spark, str(tmp_path / "s.yaml")).first().tags == ["t"]
+    with pytest.raises(ValueError, match="colour"):
+        registry_files.sources(spark, str(tmp_path / "bad.yaml"))
+    scopes, stated = registry_files.scopes(spark, str(tmp_path / "scopes.yaml"))
+    assert scopes.first().languages == ["sv"] and stated.first().effective_from == "2024"
+    assert [r.section_glob for r in registry_files.golden(spark, str(tmp_path / "golden.yaml")).orderBy("source_glob").collect()] == ["s. *", "*"]
