@@ -208,6 +208,10 @@ def test_knowledge_base(spark, tmp_path):
     assert [(r.document_id, r.total) for r in listed] == [("lag", 2), ("code", 2)] and listed[1].also_in == ["code-retail code 3"]
     assert {r.document_id: (r.n_sections, r.n_statements) for r in kb.sources("GB").collect()} == {"code": (3, 1), "code-retail": (1, 1), "never": (0, 0)}
     assert topics.clamp(500, 50) == 50
+    from lectern.__main__ import evaluate
+
+    golden = spark.createDataFrame([(1, "recall of food", "code*", "code ?"), (2, "kosmetik", "code", "*")], "query_id int, query string, source_glob string, section_glob string")
+    assert {r.query_id: (r.hit, r.first_rank) for r in evaluate(kb, golden).collect()} == {1: (True, 1), 2: (False, None)}
 
 
 def test_registry_files(spark, tmp_path):
