@@ -268,16 +268,20 @@ def compare(rows: DataFrame) -> DataFrame:
     return tiles.groupBy("component", "i", "j").applyInPandas(tile, "node long, links long, other long")
 
 
-def mapped(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of rows those whose text_key may be among the wanted ones, by a bit map of fixed size that is broadcast.
+def flagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows with `maybe`: whether text_key may be among the wanted ones, by a bit map of fixed size that is broadcast.
 
-    It has at most MAP_BITS / 64 words, however many keys there are; a full map lets all rows through.
+    It has at most MAP_BITS / 64 words, however many keys there are; a full map says maybe to all rows.
     """
     place = F.pmod("text_key", F.lit(MAP_BITS))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
     words = wanted.select(word.alias("map_word"), bit.alias("bit")).groupBy("map_word").agg(F.bit_or("bit").alias("map_bits"))
-    held = rows.withColumn("map_word", word).join(F.broadcast(words), "map_word")
-    return held.where(F.col("map_bits").bitwiseAND(bit) != 0).drop("map_word", "map_bits")
+    held = rows.withColumn("map_word", word).join(F.broadcast(words), "map_word", "left")
+    return held.withColumn("maybe", F.coalesce(F.col("map_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("map_word", "map_bits")
+
+
+def mapped(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    return flagged(rows, wanted).where("maybe").drop("maybe")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -322,11 +326,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Null doc_ids stay only where a group has no other. Rows without a set stay, but rows equal in doc_id and
     text are one. Further columns stay; of rows equal in doc_id and text any one is taken.
     """
-    found = join(docs)
+    found = materialize(join(docs), "placed")
     alone = found.where("class_id is null")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     first = found.where("class_id is not null").groupBy("class_id").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("keep_id"), F.col("f.text_key").alias("text_key"))
-    first = first.unionByName(alone.select(F.col("doc_id").alias("keep_id"), "text_key").distinct())
-    rows = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(first, (rows["text_key"] == first["text_key"]) & rows["doc_id"].eqNullSafe(first["keep_id"])).drop(first["text_key"]).drop("keep_id")
-    return kept.dropDuplicates(["doc_id", "text_key"]).drop("text_key")
+    first = materialize(first.unionByName(alone.select(F.col("doc_id").alias("keep_id"), "text_key").distinct()), "first")
+    # only rows whose text is a copy, or comes again, move; all others are known to stay where they are read
+    same = [found["text_key"] == first["text_key"], found["doc_id"].eqNullSafe(first["keep_id"])]
+    copies = found.join(first, same, "left_anti").select("text_key")
+    again = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key")
+    rows = flagged(docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))), materialize(copies.unionByName(again).distinct(), "copies"))
+    doubtful = rows.where("maybe")
+    kept = doubtful.join(first, (doubtful["text_key"] == first["text_key"]) & doubtful["doc_id"].eqNullSafe(first["keep_id"])).drop(first["text_key"]).drop("keep_id")
+    kept = kept.dropDuplicates(["doc_id", "text_key"])
+    return rows.where("not maybe").unionByName(kept).drop("text_key", "maybe")

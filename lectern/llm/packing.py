@@ -30,8 +30,8 @@ from lectern.session import materialize, table
 
 #: Open windows a partition; 64 windows of 4096 ids are one megabyte.
 OPEN_WINDOWS = 64
-#: Partitions whose leftovers meet in one merging task: at most 64 x 64 windows.
-MERGE_PARTITIONS = 64
+#: Partitions whose leftovers meet in one merging task: at most 8 x 64 windows, 8 MB.
+MERGE_PARTITIONS = 8
 #: Windows numbered by one task at most.
 SPAN = 1 << 34
 
