@@ -5,10 +5,11 @@ words is one shingle). Two sets link at Jaccard 0.8 or more, computed exactly.
 
 1. Texts with equal sets are one class from here on; `copies` counts their rows.
 2. Each class is embedded as 128 min-hash values, so that two sets agree in a coordinate with their Jaccard
-   similarity as probability. RUNS paths start at the root. At every node of a path a seeded choice of one
-   coordinate, at times two (1 / 0.8 on average), splits the classes there by their values: similar sets stay together.
-   A bucket of BRUTE classes or fewer is compared by brute force on the embeddings; a larger one is
-   compared with a seeded member of its own and split again, DEPTH times at most.
+   similarity as probability. RUNS paths start at the root, which splits the classes by two seeded coordinates:
+   similar sets stay together. A bucket of BRUTE classes or fewer is compared by brute force on the embeddings. A
+   larger one is compared with a seeded member of its own and split again by the values of a seeded coordinate, at
+   times of two in turn (1 / 0.8 on average), DEPTH times at most. Classes near that member go down once only, and
+   buckets in which all are near it end there, since they are in one component already.
 3. Agreements in 65 % of the coordinates (over four standard deviations below 0.8) make candidate edges; of
    each bucket a spanning forest of them goes on, so that rows grow with members and not with pairs. Runs
    repeat until a pair at 0.8 is missed with a probability under 1 - RECALL.
@@ -47,12 +48,14 @@ SIMILAR = (4, 5)
 COORDINATES = 128
 CANDIDATE = 0.65
 RECALL = 0.9999
-#: A run splits at one coordinate at least, so at the root it keeps a pair at 0.8 with this probability or
-#: more; down the path of a large bucket 0.4 is assumed.
-PER_RUN = 0.4
+#: A root splits by two coordinates, so it keeps a pair at 0.8 with probability 0.64; down the path of a large
+#: bucket this is assumed.
+PER_RUN = 0.3
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - PER_RUN))
-BRUTE = 128
-DEPTH = 3
+#: Buckets up to FEW travel as lists, many to a batch; those up to BRUTE as a group each.
+FEW = 64
+BRUTE = 2048
+DEPTH = 8
 #: Bits of the map that keeps texts that are in no component from being moved; its size is fixed.
 MAP_BITS = 1 << 24
 TILE = 256
@@ -128,15 +131,24 @@ def _chosen(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, second, (h >> _U(40)) % _U(4) == 0
 
 
-def _split(paths: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (into sigs) and their paths one level down."""
+def _down(paths: np.ndarray, sigs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The paths one split further, by the values at the given coordinates."""
+    token = sigs[np.arange(len(sigs)), at].astype(np.uint64) | (at.astype(np.uint64) << _U(32))
+    return _mix(_mix(paths) ^ (token * _U(0xD6E8FEB86659FD93)))
+
+
+def _root(run: int, sigs: np.ndarray) -> np.ndarray:
+    paths = np.full(len(sigs), run * 7919 + 1, dtype=np.uint64)
+    first, second, _ = _chosen(paths)
+    return _down(_down(paths, sigs, first), sigs, second)
+
+
+def _split(paths: np.ndarray, sigs: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (into sigs) and their paths one level down; those marked once go down by one coordinate only."""
     first, second, twice = _chosen(paths)
-    rows = np.arange(len(paths))
-    down = []
-    for at, who in ((first, rows), (second[twice], rows[twice])):
-        token = sigs[who, at].astype(np.uint64) | (at.astype(np.uint64) << _U(32))
-        down.append((who, _mix(_mix(paths[who]) ^ (token * _U(0xD6E8FEB86659FD93)))))
-    return np.concatenate([d[0] for d in down]), np.concatenate([d[1] for d in down])
+    again = np.flatnonzero(twice & ~once)
+    rows = np.r_[np.arange(len(paths)), again]
+    return rows, np.r_[_down(paths, sigs, first), _down(paths[again], sigs[again], second[again])]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -160,6 +172,27 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def agreeing(sigs: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the rows that agree in CANDIDATE of the coordinates.
+
+    Rows that are reached are not compared again, so a bucket of near copies costs a pass or a few.
+    """
+    short = sigs.astype(np.uint8)  # one byte agrees where the whole value does, and by chance in 1 of 256
+    left, short_left, out, todo = np.arange(len(sigs)), short, [], []
+    while len(left):
+        if todo:
+            u = todo.pop()
+        else:
+            u, left, short_left = int(left[0]), left[1:], short_left[1:]
+        near = np.count_nonzero(short_left == short[u], axis=1) >= CANDIDATE * COORDINATES
+        if near.any():
+            new = left[near].tolist()
+            out += [(u, v) for v in new]
+            todo += new
+            left, short_left = left[~near], short_left[~near]
+    return out
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """Edges a, b between classes (node, sig) that a chosen path brings together and their embeddings support."""
 
@@ -167,16 +200,16 @@ def candidates(classes: DataFrame) -> DataFrame:
         for batch in batches:
             sigs, nodes = _matrix(batch["sig"]), batch["node"].to_numpy()
             for run in range(RUNS):
-                rows, paths = _split(np.full(len(nodes), run * 7919 + 1, dtype=np.uint64), sigs)
-                yield pd.DataFrame({"path": paths.view(np.int64), "node": nodes[rows]})
+                yield pd.DataFrame({"path": _root(run, sigs).view(np.int64), "node": nodes})
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sigs, nodes, leader = _matrix(batch["sig"]), batch["node"].to_numpy(), batch["leader"].to_numpy()
-            near = ((sigs == _matrix(batch["leader_sig"])).mean(axis=1) >= CANDIDATE) & (nodes != leader)
-            yield pd.DataFrame({"path": None, "node": nodes[near], "other": leader[near], "sig": None}).astype({"path": "Int64", "other": "Int64"})
-            rows, paths = _split(batch["path"].to_numpy().view(np.uint64), sigs)
-            down = pd.DataFrame({"path": paths.view(np.int64), "node": nodes[rows], "other": None, "sig": batch["sig"].to_numpy()[rows]})
+            near = (sigs == _matrix(batch["leader_sig"])).mean(axis=1) >= CANDIDATE
+            new = near & (nodes != leader)
+            yield pd.DataFrame({"path": None, "node": nodes[new], "other": leader[new], "near": True, "sig": None}).astype({"path": "Int64", "other": "Int64"})
+            rows, paths = _split(batch["path"].to_numpy().view(np.uint64), sigs, near)
+            down = pd.DataFrame({"path": paths.view(np.int64), "node": nodes[rows], "other": None, "near": near[rows], "sig": batch["sig"].to_numpy()[rows]})
             yield down.astype({"path": "Int64", "other": "Int64"})
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,20 +217,25 @@ def candidates(classes: DataFrame) -> DataFrame:
             a, b = [], []
             for members in batch["members"]:
                 nodes = [m["node"] for m in members]
-                sigs = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint32).reshape(-1, COORDINATES)
-                if len(nodes) == 2:
-                    pairs = [(0, 1)] if (sigs[0] == sigs[1]).mean() >= CANDIDATE else []
-                else:
-                    pairs = forest(np.stack([(sigs == s).mean(axis=1) >= CANDIDATE for s in sigs]))
+                pairs = agreeing(np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint32).reshape(-1, COORDINATES))
                 a += [nodes[i] for i, _ in pairs]
                 b += [nodes[j] for _, j in pairs]
             yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    small, edges = [], []
+    def bucket(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes, pairs = frame["node"].to_numpy(), agreeing(_matrix(frame["sig"]))
+        return pd.DataFrame({"a": [nodes[i] for i, _ in pairs], "b": [nodes[j] for _, j in pairs]}, dtype="int64")
+
+    few, some, edges = [], [], []
     paths = materialize(classes.select("node", "sig").mapInPandas(roots, "path long, node long"), "paths")
     for level in range(DEPTH + 1):
-        sizes = materialize(paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path-sizes")
-        small.append(paths.select("path", "node").join(sizes.where(F.col("size") <= BRUTE).select("path"), "path"))
+        far = F.lit(True) if level == 0 else F.bool_or(~F.col("near"))
+        sizes = paths.groupBy("path").agg(F.count("*").alias("size"), far.alias("far")).where("size > 1 and far")
+        sizes = materialize(sizes, "path-sizes")
+        few.append(paths.select("path", "node").join(sizes.where(F.col("size") <= FEW).select("path"), "path"))
+        if sizes.where(F.col("size") > FEW).isEmpty():
+            break
+        some.append(paths.select("path", "node").join(sizes.where(F.col("size").between(FEW + 1, BRUTE)).select("path"), "path"))
         large = sizes.where(F.col("size") > BRUTE).select("path")
         if large.isEmpty():
             break
@@ -207,17 +245,23 @@ def candidates(classes: DataFrame) -> DataFrame:
         # one seeded order a level: a group that many runs keep together has few leaders, so edges are equal ones
         lead = held.groupBy("path").agg(F.min(F.struct(F.xxhash64(F.lit(level), "node"), "node", "sig")).alias("l"))
         lead = lead.select("path", F.col("l.node").alias("leader"), F.col("l.sig").alias("leader_sig"))
-        done = materialize(held.join(lead, "path").mapInPandas(step, "path long, node long, other long, sig binary"), "path-step")
+        pairs = held.select("path", "node", "sig").join(lead, "path")
+        done = materialize(pairs.mapInPandas(step, "path long, node long, other long, near boolean, sig binary"), "path-step")
         edges.append(done.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        paths = done.where("path is not null").select("path", "node", "sig")
-    buckets = small[0]
-    for more in small[1:]:
+        paths = done.where("path is not null").select("path", "node", "near", "sig")
+    buckets = few[0]
+    for more in few[1:]:
         buckets = buckets.unionByName(more)
     # many runs give the same bucket
     buckets = buckets.groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("nodes")).groupBy("nodes").agg(F.min("path").alias("path"))
     rows = buckets.select("path", F.explode("nodes").alias("node")).join(classes.select("node", "sig"), "node")
     rows = rows.groupBy("path").agg(F.collect_list(F.struct("node", "sig")).alias("members"))
     out = rows.select("members").mapInPandas(brute, "a long, b long")
+    if some:
+        rows = some[0]
+        for more in some[1:]:
+            rows = rows.unionByName(more)
+        out = out.unionByName(rows.join(classes.select("node", "sig"), "node").groupBy("path").applyInPandas(bucket, "a long, b long"))
     for more in edges:
         out = out.unionByName(more)
     return out
