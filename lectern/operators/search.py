@@ -18,6 +18,8 @@ RRF_K = 10
 CUT, KEPT = 1000, 200
 WEIGHTS = {"section_keyword": 0.5, "statement_keyword": 0.5, "section_vector": 3.0, "statement_vector": 1.0}
 DIMS = 64
+#: Scores are summed in units of 1e-12.
+FIXED = 1e12
 
 
 def postings(docs: DataFrame, doc: str, text: str, heading: str | None = None) -> DataFrame:
@@ -38,25 +40,26 @@ def query_phrases(queries: DataFrame, dropped: Column | None = None) -> DataFram
 def bm25(queries: DataFrame, posts: DataFrame, lengths: DataFrame, doc: str, dropped: Column | None = None) -> DataFrame:
     """query_id, doc, score (higher is better) for every document with a hit.
 
-    Query terms are first expanded over the distinct terms, the small side of a prefix join on the first
-    four characters; what comes out joins the postings on equality. lengths: doc, dl (tokens, all columns).
+    The distinct query terms are first expanded over the distinct terms, the small side of a prefix join on the
+    first four characters; what comes out joins the postings on equality. Each (phrase, doc) is weighed once,
+    however many queries ask for the phrase, and meets the queries last. lengths: doc, dl (tokens, all columns).
     """
     vocabulary = posts.select("term").distinct().withColumn("stem", F.substring("term", 1, 4))
-    phrases = query_phrases(queries, dropped).withColumn("stem", F.substring("term", 1, 4))
-    wanted = phrases.withColumnRenamed("term", "wanted")
+    phrases = query_phrases(queries, dropped)
+    wanted = phrases.select("phrase", F.col("term").alias("wanted"), "is_prefix", F.substring("term", 1, 4).alias("stem")).distinct()
     fits = F.when(F.col("is_prefix"), F.col("term").startswith(F.col("wanted"))).otherwise(F.col("term") == F.col("wanted"))
-    expanded = vocabulary.join(wanted, "stem").where(fits).select("query_id", "phrase", "term")
+    expanded = vocabulary.join(wanted, "stem").where(fits).select("phrase", "term")
     weighted = HEADING_WEIGHT * F.sum("tf_heading") + TEXT_WEIGHT * F.sum("tf_text")
-    hits = posts.join(expanded, "term").groupBy("query_id", "phrase", doc).agg(weighted.alias("tf"))
-    spread = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n_docs"))
+    hits = posts.join(expanded, "term").groupBy("phrase", doc).agg(weighted.alias("tf"))
+    spread = hits.groupBy("phrase").agg(F.count("*").alias("n_docs"))
     stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5))
     spread = spread.join(F.broadcast(stats), F.lit(True)).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf))  # stats is one row
     part = F.col("idf") * F.col("tf") * (B25_K1 + 1) / (F.col("tf") + B25_K1 * (1 - B25_B + B25_B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(spread, ["query_id", "phrase"]).join(lengths, doc).withColumn("part", part)
-    # in order of the phrase, so that the sum of doubles is always the same
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("phrase", "part"))), lambda x: x["part"])
-    return scored.groupBy("query_id", doc).agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("score"))
+    weighed = hits.join(spread, "phrase").join(lengths, doc).select("phrase", doc, part.alias("part"))
+    scored = weighed.join(phrases.select("query_id", "phrase"), "phrase")
+    # whole multiples of 1 / FIXED add up to the same sum in any order and combine before the shuffle
+    return scored.groupBy("query_id", doc).agg((F.sum(F.round(F.col("part") * FIXED).cast("long")) / FIXED).alias("score"))
 
 
 def lengths_of(docs: DataFrame, doc: str, *columns: str) -> DataFrame:
@@ -64,6 +67,12 @@ def lengths_of(docs: DataFrame, doc: str, *columns: str) -> DataFrame:
     return docs.select(doc, size.alias("dl"))
 
 
+def lengths_from(posts: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
+    """doc, dl as lengths_of, summed from postings that are there already; documents without tokens have 0."""
+    known = posts.groupBy(doc).agg(F.sum(F.col("tf_heading") + F.col("tf_text")).alias("n"))
+    return docs.select(doc).distinct().join(known, doc, "left").select(doc, F.coalesce("n", F.lit(0)).alias("dl"))
+
+
 def ranked(scored: DataFrame, item: str, cut: int, score: str = "score", by: str = "query_id") -> DataFrame:
     """The best `cut` of each query with their rank from 1."""
     order = Window.partitionBy(by).orderBy(F.desc(score), item)

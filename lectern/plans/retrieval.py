@@ -53,7 +53,8 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     posts = materialize(search.postings(docs, "doc_id", "text"), "postings")
-    return search.bm25(questions(spark, d), posts, search.lengths_of(docs, "doc_id", "text"), "doc_id").withColumn("score", F.round("score", 6))
+    lengths = materialize(search.lengths_from(posts, docs, "doc_id"), "lengths")
+    return search.bm25(questions(spark, d), posts, lengths, "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM kw WHERE rank <= 10")
