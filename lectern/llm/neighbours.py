@@ -6,14 +6,17 @@
    LEAF vectors. A leaf that stays large, as of a hot group, is dealt out by a seeded hash.
 3. NN-descent: a vector's neighbours and those that have it as a neighbour meet in its local join; pairs
    that are nearer than what a list holds enter it. Rounds end when under CHANGE of the lists' places change.
-4. A list full of links is saturated. It is enlarged to the whole component of links around it, whose
-   members are compared exactly in tiles of at most 2 x TILE vectors; a tile gives the number of links of
-   each member and a spanning forest of them, never the pairs. The same is done for all components.
-5. Audit: AUDIT vectors (a fixed number, by hash) are compared with all vectors in blocks. Links between
-   components that the descent did not find are counted as missed and are kept as edges; while the share
-   found is under RECALL, descent goes on from more trees.
-
-The lists' length and the cap of 2 x LIST members of a local join bound the search, not the result: step 4
+4. A list full of links is saturated: more links may stand beyond its end. It is enlarged by the whole
+   component of links around it, which takes no places, and by LIST new places for vectors outside it. These
+   are filled as in 2 and 3, from other trees and with vectors of other components alone. What links is merged,
+   and lists whose new places are again full of links are enlarged anew, until each list ends below LINK.
+5. The members of a component are compared exactly in tiles of at most 2 x TILE vectors; a tile gives the
+   number of links of each member and a spanning forest of them, never the pairs.
+6. Audit: AUDIT vectors (a fixed number, by hash, others each time) are compared with all vectors in blocks.
+   Links between components that the search did not find are counted as missed and are kept as edges; while
+   the share found is under RECALL, 2 to 4 go on from more trees. Each time merges components, so this ends.
+
+The lists' length and the caps of 2 x LIST members of a local join bound the search, not the result: step 5
 counts links among all members of a component.
 
 Cases. Vectors of different lengths never link. Equal vec_ids are different rows with the same id; a null
@@ -23,6 +26,7 @@ columns, labels among them, are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -69,8 +73,10 @@ def _stack(column: pd.Series | list) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<f8").reshape(len(column), -1)
 
 
-def first_lists(classes: DataFrame, n: int, seed: int) -> DataFrame:
-    """node, other, cos: the nearest LIST inside each leaf of the trees."""
+def first_lists(placed: DataFrame, n: int, seed: list[int]) -> DataFrame:
+    """placed: node, v, component, wanted. Returns node, other, cos: for wanted nodes, the nearest LIST of other
+    components inside each leaf of the trees.
+    """
     planes = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,21 +84,25 @@ def first_lists(classes: DataFrame, n: int, seed: int) -> DataFrame:
             for dim, part in batch.groupby(batch["v"].map(len)):
                 v = _stack(part["v"].tolist())
                 for tree in range(TREES):
-                    normal = np.random.default_rng([seed, tree, int(dim)]).standard_normal((v.shape[1], planes))
+                    normal = np.random.default_rng([*seed, tree, int(dim)]).standard_normal((v.shape[1], planes))
                     code = ((v @ normal) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(v), dtype=np.int64)
-                    yield pd.DataFrame({"tree": tree, "dim": int(dim), "leaf": code, "node": part["node"].to_numpy(), "v": part["v"].to_numpy()})
+                    kept = {c: part[c].to_numpy() for c in ("node", "v", "component", "wanted")}
+                    yield pd.DataFrame({"tree": tree, "dim": int(dim), "leaf": code, **kept})
 
     def nearest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         v, nodes = _stack(frame["v"].tolist()), frame["node"].to_numpy()
-        cos = v @ v.T
-        np.fill_diagonal(cos, -2)
+        wanted, component = np.flatnonzero(frame["wanted"].to_numpy()), frame["component"].to_numpy()
         k = min(LIST, len(nodes) - 1)
-        if k < 1:
+        if k < 1 or not len(wanted):
             return pd.DataFrame({"node": [], "other": [], "cos": []}).astype({"node": "int64", "other": "int64"})
+        cos = v[wanted] @ v.T
+        cos[component[wanted][:, None] == component[None, :]] = -2
         top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"node": np.repeat(nodes, k), "other": nodes[top].ravel(), "cos": np.take_along_axis(cos, top, axis=1).ravel()})
+        out = pd.DataFrame({"node": np.repeat(nodes[wanted], k), "other": nodes[top].ravel(), "cos": np.take_along_axis(cos, top, axis=1).ravel()})
+        return out[out["cos"] > -2]
 
-    rows = classes.select("node", "v").mapInPandas(leaves, "tree int, dim int, leaf long, node long, v binary")
+    rows = placed.select("node", "v", "component", "wanted")
+    rows = rows.mapInPandas(leaves, "tree int, dim int, leaf long, node long, v binary, component long, wanted boolean")
     rows = materialize(rows, "leaves")
     sizes = rows.groupBy("tree", "dim", "leaf").agg(F.count("*").alias("size"))
     parts = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / (2 * LEAF)))
@@ -106,13 +116,21 @@ def best(edges: DataFrame, limit: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def descend(classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """One round: the lists after all local joins."""
+def both_ways(lists: DataFrame) -> DataFrame:
+    """node, member: the nearest 2 x LIST among a node's list and the nodes that list it."""
+    back = lists.select(F.col("other").alias("node"), F.col("node").alias("other"), "cos")
+    return best(lists.select("node", "other", "cos").unionByName(back), 2 * LIST).select("node", F.col("other").alias("member"))
+
+
+def descend(placed: DataFrame, lists: DataFrame, inner: DataFrame | None = None) -> DataFrame:
+    """One round: the lists after all local joins. inner: node, member, further members of the local joins."""
     bar = lists.groupBy("node").agg(F.when(F.count("*") == LIST, F.min("cos")).otherwise(-2.0).alias("bar"))
-    both = lists.select("node", "other", "cos").unionByName(lists.select(F.col("other").alias("node"), F.col("node").alias("other"), "cos"))
-    around = best(both, 2 * LIST).select("node", F.col("other").alias("member"))
-    known = classes.select(F.col("node").alias("member"), "v").join(bar.select(F.col("node").alias("member"), "bar"), "member")
-    local = around.join(known, "member").groupBy("node").agg(F.collect_list(F.struct("member", "v", "bar")).alias("members"))
+    around = both_ways(lists)
+    if inner is not None:
+        around = around.unionByName(inner.join(around.select("node").distinct(), "node", "left_semi"))
+    bar_or_none = F.when(F.col("wanted"), F.coalesce("bar", F.lit(-2.0))).otherwise(2.0)  # who is not wanted takes none
+    known = placed.join(bar, "node", "left").select(F.col("node").alias("member"), "v", "component", bar_or_none.alias("bar"))
+    local = around.join(known, "member").groupBy("node").agg(F.collect_list(F.struct("member", "v", "component", "bar")).alias("members"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,8 +140,9 @@ def descend(classes: DataFrame, lists: DataFrame) -> DataFrame:
                     continue
                 v = _stack([m["v"] for m in members])
                 nodes, bars = np.array([m["member"] for m in members]), np.array([m["bar"] for m in members])
+                component = np.array([m["component"] for m in members])
                 cos = v @ v.T
-                i, j = np.nonzero((cos > bars[:, None]) & (nodes[:, None] != nodes[None, :]))
+                i, j = np.nonzero((cos > bars[:, None]) & (component[:, None] != component[None, :]))
                 a.append(nodes[i])
                 b.append(nodes[j])
                 c.append(cos[i, j])
@@ -134,6 +153,50 @@ def descend(classes: DataFrame, lists: DataFrame) -> DataFrame:
     return best(lists.select("node", "other", "cos").unionByName(found), LIST)
 
 
+def settle(placed: DataFrame, lists: DataFrame, n: int, inner: DataFrame | None = None) -> DataFrame:
+    """Rounds of descent until few of the places of n lists change."""
+    for _ in range(ROUNDS):
+        after = materialize(descend(placed, lists, inner), "lists")
+        changed = after.join(lists.select("node", "other"), ["node", "other"], "left_anti").count()
+        lists = after
+        if changed <= CHANGE * LIST * n:
+            break
+    return lists
+
+
+def saturated(lists: DataFrame) -> DataFrame:
+    """node: those whose list is full of links."""
+    ends = lists.groupBy("node").agg(F.count("*").alias("places"), F.min("cos").alias("last"))
+    return ends.where((F.col("places") == LIST) & (F.col("last") >= LINK)).select("node")
+
+
+def close(lists: DataFrame) -> DataFrame:
+    return lists.where(F.col("cos") >= LOOSE).select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+
+def as_edges(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def enlarge(classes: DataFrame, lists: DataFrame, groups: DataFrame, n: int, seed: int) -> DataFrame:
+    """The groups (node, component) after every saturated list has gone on beyond its component."""
+    inner, full = None, materialize(saturated(lists), "saturated")
+    for step in itertools.count(1):
+        n_full = full.count()
+        if not n_full:
+            break
+        inner = materialize(both_ways(lists), "inner") if inner is None else inner
+        wanted = full.withColumn("wanted", F.lit(True))
+        placed = classes.select("node", "v").join(groups, "node", "left").join(wanted, "node", "left")
+        placed = placed.select("node", "v", F.coalesce("component", "node").alias("component"), F.coalesce("wanted", F.lit(False)).alias("wanted"))
+        placed = materialize(placed, "placed")
+        beyond = materialize(best(first_lists(placed, n, [seed, step]), LIST), "lists")
+        beyond = settle(placed, beyond, n_full, inner)
+        groups = materialize(components(as_edges(groups).unionByName(close(beyond))), "groups")
+        full = materialize(saturated(beyond), "saturated")
+    return groups
+
+
 def compare(rows: DataFrame) -> DataFrame:
     """rows: node, copies, component, v. Returns node, links (rows linked), other (forest edge or null)."""
     sizes = rows.groupBy("component").agg(F.count("*").alias("members"))
@@ -160,10 +223,10 @@ def compare(rows: DataFrame) -> DataFrame:
     return tiles.groupBy("component", "i", "j").applyInPandas(tile, "node long, links long, other long")
 
 
-def audit(classes: DataFrame, groups: DataFrame) -> tuple[DataFrame, int, int]:
+def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame, int, int]:
     """Missed edges of the audited vectors (a, b), how many of their links were found, and how many there are."""
     placed = classes.select("node", "v").join(groups, "node", "left").select("node", "v", F.coalesce("component", "node").alias("component"))
-    asked = placed.orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()  # a fixed number of vectors
+    asked = placed.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(AUDIT).collect()  # a fixed number of vectors
     by_dim: dict[int, list] = {}
     for r in asked:
         by_dim.setdefault(len(r.v), []).append(r)
@@ -197,26 +260,19 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    lists, missed = None, None
-    for attempt in range(3):
-        new = first_lists(classes, n, seed=attempt)
+    alone = classes.select("node", "v", F.col("node").alias("component"), F.lit(True).alias("wanted"))
+    lists, known = None, None
+    for attempt in itertools.count():
+        new = first_lists(alone, n, [attempt, 0])
         lists = new if lists is None else new.unionByName(lists.select("node", "other", "cos"))
-        lists = materialize(best(lists, LIST), "lists")
-        for _ in range(ROUNDS):
-            after = materialize(descend(classes, lists), "lists")
-            changed = after.join(lists.select("node", "other"), ["node", "other"], "left_anti").count()
-            lists = after
-            if changed <= CHANGE * LIST * n:
-                break
-        edges = lists.where(F.col("cos") >= LOOSE).select(F.col("node").alias("a"), F.col("other").alias("b"))
-        if missed is not None:
-            edges = edges.unionByName(missed)
-        groups = materialize(components(edges), "groups")
-        more, found, there = audit(classes, groups)
-        missed = more if missed is None else missed.unionByName(more)
+        lists = settle(alone, materialize(best(lists, LIST), "lists"), n)
+        edges = close(lists) if known is None else close(lists).unionByName(known)
+        groups = enlarge(classes, lists, materialize(components(edges), "groups"), n, attempt)
+        missed, found, there = audit(classes, groups, attempt)
+        known = as_edges(groups).unionByName(missed)
         if found >= RECALL * there:
             break
-    groups = components(edges.unionByName(more))
+    groups = components(known)
     held = groups.join(classes.select("node", "copies", "v"), "node")
     links = materialize(compare(held), "vector-links")
     parts = components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))

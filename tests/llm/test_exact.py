@@ -98,6 +98,19 @@ def test_op5_links(spark, tmp_path):
     assert found.n_links.sum() >= 0.99 * (linked.sum() - len(x))
 
 
+def test_op5_links_between_tight_groups_longer_than_a_list(spark):
+    rng = np.random.default_rng(4)
+    away = lambda c, by, n: c + by * rng.standard_normal((n, 32))
+    x = np.concatenate([away(sub, 0.02, 12) for c in rng.standard_normal((300, 32)) for sub in away(c, 0.17, 2)])
+    assert len(x) > 25 * neighbours.AUDIT and neighbours.LIST < 11
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.near_duplicates(table).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert (links > 11).mean() > 0.5  # most groups link with another one
+    assert (found.n_links.to_numpy() == links).mean() > 0.99
+
+
 
 def test_op7_held_out(spark):
     d = "/root/testdata/sf0.01"
