@@ -5,11 +5,12 @@ patterns with possessive quantifiers and with a look-behind (or the end of the m
 start; both find the same matches, and neither backtracks nor tries every start in a long run. Positions
 come from the pieces between the matches.
 
-Information-theoretic part. Around every protected value stand terms. Over the whole corpus, n(t) rows hold
-the term, n(e) the value, n(t, e) the term close to the value. The share of the value's information that
-the term gives away is PMI(t, e) / IC(e), with PMI = log2(n(t, e) N / (n(t) n(e))) and IC = log2(N / n(e)).
-A term close to a value in at least MIN_TEXTS different texts is generalised where that share is at least
-GENERALISE and removed where it is at least REMOVE, in all rows that hold the term close to the value.
+Information-theoretic part. Over the whole corpus of N rows, n(t) rows hold the term, n(e) the value, n(t, e)
+both. The share of the value's information that the term gives away is PMI(t, e) / IC(e), with
+PMI = log2(n(t, e) N / (n(t) n(e))) and IC = log2(N / n(e)). A term is generalised where that share is at least
+GENERALISE and removed where it is at least REMOVE, in all rows that hold both, however far apart and however
+few they are. As n(t, e) <= n(e), terms with n(t) > N (n(e) / N)^GENERALISE cannot reach the share; they are
+left out before pairs are made. The values that stand in one row alone score alike there and count as one.
 
 Every step is DataFrame functions. Only rows that hold a digit or "@" carry their texts beyond the scan.
 
@@ -31,9 +32,6 @@ PATTERNS = {
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[ -]?[0-9]){15,}+",  # shorter ones fail for their length
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Characters on either side of a value in which terms count as close to it.
-REACH = 64
-MIN_TEXTS = 3
 GENERALISE, REMOVE = 0.85, 0.97
 #: Tries the costly patterns on rows that can hold a match.
 GUARDS = {"email": "@", "phone": "+"}
@@ -98,22 +96,23 @@ def words(text: Column) -> Column:
 
 def disclosing(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """row_key, generalise and remove: the row's terms that give a protected value of the row away."""
-    rows = hits.where(F.size("base") > 0).select("row_key", "pii_text", F.explode("base").alias("s"))
-    value = F.concat_ws(":", "s.kind", F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9.]", "")))
-    cut = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    left = F.substring("pii_text", (cut + 1).cast("int"), (F.col("s.start") - cut).cast("int"))
-    right = F.substring("pii_text", (F.col("s.end") + 1).cast("int"), F.lit(REACH))
-    left = F.when(cut > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)  # a word that is cut off
-    right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    near = rows.select("row_key", F.xxhash64("pii_text").alias("text_key"), value.alias("value"), F.explode(words(F.concat_ws(" ", left, right))).alias("term"))
-    near = materialize(near.distinct(), "pii-near")
-    pairs = near.groupBy("value", "term").agg(F.count("*").alias("n_te"), F.count_distinct("text_key").alias("texts"))
-    pairs = materialize(pairs.where(F.col("texts") >= MIN_TEXTS), "pii-pairs")
-    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    values = near.select("row_key", "value").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
+    value = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", "")))
+    rows = hits.where(F.size("base") > 0).select("row_key", F.array_distinct(F.transform("base", value)).alias("values"), words(F.col("pii_text")).alias("terms"))
+    # equal rows are one here and count `same` times
+    rows = materialize(rows.groupBy("row_key").agg(F.count("*").alias("same"), F.first("values").alias("values"), F.first("terms").alias("terms")), "pii-rows")
+    held = rows.select("row_key", "same", F.explode("values").alias("value"))
+    held = held.join(held.groupBy("value").agg(F.sum("same").alias("n_e")), "value")
+    one = F.when(F.col("n_e") == F.col("same"), F.concat(F.lit("only:"), "row_key")).otherwise(F.col("value"))
+    held = materialize(held.select("row_key", "same", "n_e", one.alias("value")).distinct(), "pii-values")
     n = float(docs.count())
-    # an inner join stays above the counts, which have one row a term; a semi-join would move below them
-    scored = pairs.join(counts, "term").join(values, "value")
+    most = held.agg(F.max("n_e")).first()[0] or 0
+    reach = lambda n_e: (1 + 1e-9) * n * F.pow(n_e / F.lit(n or 1.0), F.lit(GENERALISE))
+    counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = counts.where(F.col("n_t") <= reach(F.lit(most)))
+    terms = rows.select("row_key", F.explode("terms").alias("term")).join(counts, "term")
+    near = terms.join(held, "row_key").where(F.col("n_t") <= reach(F.col("n_e")))
+    near = materialize(near.select("row_key", "same", "value", "n_e", "term", "n_t"), "pii-near")
+    scored = near.groupBy("value", "term", "n_e", "n_t").agg(F.sum("same").alias("n_te"))
     pmi = F.log2(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
     share = F.when(F.col("n_e") < n, pmi / F.log2(F.lit(n) / F.col("n_e"))).otherwise(F.lit(0.0))
     flagged = scored.withColumn("share", share).where(F.col("share") >= GENERALISE).select("value", "term", (F.col("share") >= REMOVE).alias("remove"))

@@ -86,6 +86,29 @@ def test_op4_terms_that_give_a_value_away(spark):
     assert "[EMAIL]" in text and "Zorblax" not in text
 
 
+def _term_spans(spark, rows):
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    return {r.doc_id: {s.value.lower(): s.kind for s in r.spans} for r in found}
+
+
+def test_op4_value_in_one_text(spark):
+    rows = [(i, f"the weather of day {i} was fine", "en", "s") for i in range(200)]
+    rows.append((500, "the weather of Zorblax was fine, write to solo@mail.example.com", "en", "s"))
+    kinds = _term_spans(spark, rows)
+    assert kinds[500]["zorblax"] == "removed" and not {"the", "weather", "was", "fine"} & set(kinds[500])
+    assert not any(kinds[i] for i in range(200))
+
+
+def test_op4_term_far_from_the_value(spark):
+    gap = "the weather was fine " * 10
+    rows = [(i, f"the weather was fine on day {i}", "en", "s") for i in range(200)]
+    rows += [(500 + i, f"Zorblax {gap} write to shared@mail.example.com case{'abc'[i]}", "en", "s") for i in range(3)]
+    rows.append((600, f"shared@mail.example.com, {gap} zorblax", "en", "s"))
+    kinds = _term_spans(spark, rows)
+    assert all(kinds[i]["zorblax"] == "removed" for i in (500, 501, 502, 600))
+    assert not any("weather" in k for k in kinds.values())
+
+
 def test_op5_links(spark, tmp_path):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((40, 32))
