@@ -9,8 +9,8 @@ many ids it packs and at what width (SELECTORS); the last word of a block may be
 id of more than 20 bits is an escape: its place in the words holds 0, and the pair stands in `escapes`.
 Every block can be decoded alone, so readers work on arrays of words without branching.
 
-Cases. A null text is empty; an empty text is one end id. Rows with equal doc_id are ordered by text and
-all kept; a null doc_id comes first. An empty table gives an empty file set. Further columns are ignored.
+Cases. A null text is empty; an empty text is one end id. Rows with equal doc_id are ordered by a hash of the
+text and all kept; a null doc_id comes first. An empty table gives an empty file set. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,7 +155,8 @@ def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str = "byte_bp
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    place = [F.col("doc_id"), F.xxhash64("text")]  # one order for the borders and inside them
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place)
     ordered.mapInPandas(shard, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 

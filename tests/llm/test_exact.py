@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from lectern.llm import html_text, neighbours, ngram_join, ogg, packing, pii, quality, registry, simple8b, tokens
 from tests.oracle import check, connect
@@ -26,15 +27,23 @@ def test_sql(spark, name):
 
 
 @pytest.mark.parametrize("file, kind", [("word_bpe_49k.json", "word_ends"), ("byte_bpe_50k.json", "space_starts")])
-def test_cached_encoding_is_exact(docs, file, kind):
+def test_cached_encoding_is_exact(docs, monkeypatch, file, kind):
     hard = ["a  b", "x\n y", "don't stop. It's <|endoftext|> ok", "tab\there", "", " lead", "trail ", " ", ".", ",", "a, b.", "ÄÖ ß é ñ.", "ﬁ İstanbul Ω", "a\x1cb c", "éa b", "Ä b", "x.y ,z a,,b 1,2.", "A\0B c"]
-    e = tokens.encoder(tokens.default_path(file), kind)
+    plain = Tokenizer.from_file(tokens.default_path(file))
+    rng = random.Random(6)
+    alphabets = [[chr(c) for c in range(256)], list("aé's t'll've'red'm'S \t\n  x9²½ªµ"), [*"ab \n'", "😀", "—", "“", "日", "\u0301", "\u2003", "\0", "İ", "ﬁ"]]
+    hard += ["a <|endoftext|> b", "<|startoftext|>", "<|ENDOFTEXT|> x"] + ["".join(rng.choices(a, k=rng.choice([1, 3, 10, 60]))) for a in alphabets for _ in range(1500)]
     texts = [*docs.values(), *hard]
-    assert e.many(texts) == [e.whole(t) for t in texts]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert tokens.encoder(tokens.default_path(file), kind).many(texts) == want
+    # a table so small that it is renewed again and again, and texts longer than a group
+    small = {"word_ends": tokens.WordEnds, "space_starts": tokens.SpaceStarts}[kind](tokens.load(tokens.default_path(file)), 300)
+    monkeypatch.setattr(tokens, "GROUP", 64)
+    assert small.many(texts) == want
 
 
 def test_op3_covers_every_id_once(spark, docs):
-    e = tokens.load(tokens.default_path("word_bpe_49k.json"))
+    e = Tokenizer.from_file(tokens.default_path("word_bpe_49k.json"))
     found = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), keep_ids=True).collect()
     pieces = collections.defaultdict(list)
     for r in found:
@@ -152,7 +161,7 @@ def test_op8_round_trip():
 
 
 def test_op8_file(spark, docs):
-    e = tokens.load(tokens.default_path("byte_bpe_50k.json"))
+    e = Tokenizer.from_file(tokens.default_path("byte_bpe_50k.json"))
     at = 0
     for r in sorted(simple8b.op8_token_binary(spark, SF).collect(), key=lambda r: r.doc_id):
         ids = [*e.encode(docs[r.doc_id], add_special_tokens=False).ids, 0]
@@ -160,6 +169,19 @@ def test_op8_file(spark, docs):
         at += len(ids)
 
 
+def test_op8_one_id_across_borders(spark, tmp_path):
+    """Rows of one doc_id that fill several shards keep their stated order, and every row is read back."""
+    rows = [(7, f"text {i} of one id") for i in range(400)] + [(3, "<|endoftext|> is spelt here"), (None, "no id")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    simple8b.write(table, f"{tmp_path}/f")
+    found = sorted(simple8b.read(spark, f"{tmp_path}/f", with_ids=True).collect(), key=lambda r: r.start)
+    e = Tokenizer.from_file(tokens.default_path("byte_bpe_50k.json"))
+    hashes = {r.text: r.h for r in table.selectExpr("text", "xxhash64(text) h").collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    assert [r.doc_id for r in found] == [i for i, _ in ordered]
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in found] == [[*e.encode(t, add_special_tokens=False).ids, 0] for _, t in ordered]
+
+
 def test_op9_container():
     def bitwise(data):
         crc = 0
