@@ -1,13 +1,16 @@
 """Main text of web pages: flat text blocks judged by a small decision tree over neighbouring blocks.
 
-A page becomes a flat list of text blocks (block-level tags cut; scripts, styles, forms' controls and
-comments hold no text). Each block has its word count and link density, those of the block before and
-after it, and what its surroundings are called: boilerplate elements, boilerplate names in class or id,
-an article or main element, a heading. A tree grown on a small labelled table (EXAMPLES, a few dozen
-hand-written page outlines filled with words of various lengths) tells content from boilerplate.
-
-Parsing and judging need one page only, so pages never meet and nothing is shuffled. The tree is grown
-once on the driver from the fixed table and goes out with the tasks; it has a few dozen nodes.
+What is excluded by kind is cut where the markup says so: scripts, styles, controls and comments hold no text;
+menus, page headers, footers, forms, asides, hidden parts, and elements whose class, id or role names an advert,
+a notice, reader comments and the like are cut with all that they hold (of a header inside an article its headings
+stay). A page is otherwise a flat list of text blocks (block-level tags cut). Each has its word count and link
+density, those of the block before and after it (cut ones too, they are neighbours all the same), whether it is a
+heading or a list item or follows a heading, and whether an article element holds it or another block of the page.
+A tree grown on a small labelled table (EXAMPLES, page outlines filled with words of various lengths, with
+boilerplate that nothing names) tells content from boilerplate by these.
+
+Parsing and judging need one page only, so pages never meet and nothing is shuffled. The tree is grown once on the
+driver from the fixed table and goes out with the tasks; it has a few dozen nodes.
 
 Cases. A null or empty html has the empty text, as has a page without content. Tags may be unclosed or
 wrongly nested, entities unfinished, a page of any length. Repeated rows and null ids are kept. White
@@ -64,22 +67,35 @@ class Block:
     text: str
     words: int
     linked: int
-    sink: bool
-    named: bool
-    source: bool
+    cut: bool
+    inside: bool
     heading: bool
-    good: bool
     listed: bool
 
 
 @dataclass
 class _State:
-    stack: list[tuple[str, bool, bool, bool, bool]] = field(default_factory=list)
-    sink: int = 0
-    named: int = 0
-    source: int = 0
-    good: int = 0
+    #: tag, cut, inside
+    stack: list[tuple[str, bool, bool]] = field(default_factory=list)
+    cut: int = 0
+    inside: int = 0
     links: int = 0
+    #: the inline element that is cut, and how many of its name are open in it
+    mute: str = ""
+    depth: int = 0
+
+
+def _named(attributes: str) -> tuple[bool, bool]:
+    """Whether an element's names or attributes tell that it is cut, and whether they tell an article."""
+    names, hidden = [], False
+    for a in _ATTR.finditer(attributes):
+        value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4]
+        key = a[1].lower()
+        if key in ("class", "id", "role") and value:
+            names.append(value)
+        hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and bool(value) and "display:none" in value.replace(" ", "").lower()
+    joined = " ".join(names)
+    return hidden or bool(NAMES.search(_OWN.sub("content", joined))), bool(GOOD_NAMES.search(joined))
 
 
 def blocks(page: str) -> list[Block]:
@@ -89,27 +105,28 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     kind = ""
+    unclosed: set[str] = set()
 
     def flush() -> None:
+        s.mute = ""  # an inline element ends with its block at the latest
         if text:
             whole = _SPACE.sub(" ", "".join(text)).strip()
             if whole:
                 n = whole.count(" ") + 1
                 in_links = len("".join(linked).split())
                 heading = len(kind) == 2 and kind[0] == "h" and kind[1].isdigit()
-                out.append(Block(whole, n, min(n, in_links), s.sink > 0, s.named > 0, s.source > 0, heading, s.good > 0, kind in ("li", "td", "th", "dt", "dd")))
+                cut = s.cut > (heading and any(t == "header" and c and i for t, c, i in s.stack))
+                out.append(Block(whole, n, min(n, in_links), cut, s.inside > 0, heading, kind in ("li", "td", "th", "dt", "dd")))
             text.clear()
             linked.clear()
 
     def pop() -> None:
-        tag, sink, named, source, good = s.stack.pop()
-        s.sink -= sink
-        s.named -= named
-        s.source -= source
-        s.good -= good
+        tag, cut, inside = s.stack.pop()
+        s.cut -= cut
+        s.inside -= inside
 
     def add(piece: str) -> None:
-        if piece:
+        if piece and not s.mute:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
             if s.links:
@@ -134,6 +151,9 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1]:
+            if tag == s.mute:
+                s.depth -= 1
+                s.mute = s.mute if s.depth else ""
             if tag == "a":
                 s.links = 0
             elif tag in BLOCK:
@@ -146,79 +166,92 @@ def blocks(page: str) -> list[Block]:
                 kind = s.stack[-1][0] if s.stack else ""
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not m[3].rstrip().endswith("/") and tag not in unclosed:
                 closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 if closing:
                     at = closing.end()
                 elif tag in UNENDING:
                     at = n
+                else:
+                    unclosed.add(tag)  # nor is a later one closed
             continue
         if tag == "a":
             s.links = 1
         elif tag == "br":
             text.append(" ")
-        if tag in BLOCK:
-            flush()
-            if tag == "p" or tag in ("li", "td", "th", "tr", "dt", "dd", "option") or tag[0] == "h" and len(tag) == 2:
-                if s.stack and s.stack[-1][0] in (("p",) if tag != "li" else ("p", "li")):  # an unclosed one before it
-                    pop()
-            kind = tag
-            if tag in VOID:
-                continue
-            named = good = hidden = False
-            if m[3] and "=" in m[3] or "hidden" in m[3]:
-                names = []
-                for a in _ATTR.finditer(m[3]):
-                    value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4]
-                    key = a[1].lower()
-                    if key in ("class", "id", "role") and value:
-                        names.append(value)
-                    hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and bool(value) and "display:none" in value.replace(" ", "").lower()
-                joined = " ".join(names)
-                named, good = tag not in ("body", "html") and (hidden or bool(NAMES.search(_OWN.sub("content", joined)))), bool(GOOD_NAMES.search(joined))
-            inside = s.source > 0
-            sink = tag in SINKS and not (tag == "header" and inside)
-            s.stack.append((tag, sink, named, tag in SOURCES, good))
-            s.sink += sink
-            s.named += named
-            s.source += tag in SOURCES
-            s.good += good
+        if tag not in BLOCK:
+            if s.mute:
+                s.depth += tag == s.mute
+            elif tag not in VOID and ("=" in m[3] or "hidden" in m[3]) and _named(m[3])[0]:
+                s.mute, s.depth = tag, 1
+            continue
+        flush()
+        if tag == "p" or tag in ("li", "td", "th", "tr", "dt", "dd", "option") or tag[0] == "h" and len(tag) == 2:
+            if s.stack and s.stack[-1][0] in (("p",) if tag != "li" else ("p", "li")):  # an unclosed one before it
+                pop()
+        kind = tag
+        if tag in VOID:
+            continue
+        cut, good = _named(m[3]) if m[3] and "=" in m[3] or "hidden" in m[3] else (False, False)
+        cut = tag in SINKS or cut and tag not in ("body", "html")
+        # in a header the third says whether an article holds it
+        inside = s.inside > 0 if tag == "header" else (tag in SOURCES or good) and tag not in ("body", "html")
+        s.stack.append((tag, cut, inside))
+        s.cut += cut
+        s.inside += inside
     flush()
     return out
 
 
 #: The columns of the tree's input.
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "sink", "named", "source", "heading", "good", "listed", "any_source", "any_good"]
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "headed", "heading", "listed", "inside", "beside"]
 
 
 def features(found: list[Block]) -> np.ndarray:
+    """A row for each block that is not cut; `headed`: a heading stands before it, `beside`: an article stands elsewhere."""
     n = len(found)
     out = np.zeros((n, len(FEATURES)))
     words = np.array([b.words for b in found], dtype=float)
     density = np.array([b.linked for b in found], dtype=float) / words if n else words
+    left = np.array([not b.cut for b in found], dtype=bool)
     out[:, 0], out[:, 1] = words, density
     out[1:, 2], out[1:, 3] = words[:-1], density[:-1]
     out[:-1, 4], out[:-1, 5] = words[1:], density[1:]
-    for k, name in enumerate(("sink", "named", "source", "heading", "good", "listed")):
-        out[:, 6 + k] = [getattr(b, name) for b in found]
-    clean = [b for b in found if not b.sink and not b.named]
-    out[:, 12] = any(b.source for b in clean)
-    out[:, 13] = any(b.good for b in clean)
-    return out
+    heading, inside = np.array([b.heading for b in found], dtype=bool) & left, np.array([b.inside for b in found], dtype=bool) & left
+    out[:, 6] = np.cumsum(heading) > 0
+    out[:, 7], out[:, 8], out[:, 9] = heading, [b.listed for b in found], inside
+    out[:, 10] = inside.any() & ~inside
+    return out[left]
 
 
 #: Labelled page outlines: [name] stands for words, + before it for content. wN-M: N to M words.
 EXAMPLES = [
-    "<nav><ul><li><a href=#>[w1-2]</a></li><li><a href=#>[w1-2]</a></li></ul></nav><div class='ad'>[w3-40]</div><article><h1>+[w3-15]</h1><p>+[w1-200]</p><p>+[w20-150]</p></article><footer>[w3-30]</footer>",
-    "<header><a href=#>[w1-3]</a> [w2-6]</header><main><h1>+[w2-9]</h1><p>+[w10-90]</p><ul><li>+[w2-20]</li><li>+[w2-20]</li></ul><p>+[w1-40]</p></main><aside>[w5-60]</aside><footer>[w2-20]</footer>",
-    "<div id='header'><h1>[w1-5]</h1></div><div id='menu'><a href=#>[w1-2]</a> <a href=#>[w1-2]</a></div><div id='content'><h2>+[w2-9]</h2><p>+[w5-120]</p><p>+[w1-60]</p></div><div class='sidebar'><p>[w5-50]</p></div><div id='footer'>[w2-30]</div>",
-    "<div class='cookie-notice'>[w5-40] <a href=#>[w1-2]</a></div><article><header><h1>+[w2-12]</h1></header><p>+[w3-80]</p><aside>[w4-50]</aside><blockquote>+[w4-60]</blockquote><p>+[w1-90]</p></article><section class='comments'><h2>[w1-3]</h2><p>[w2-80]</p><p>[w2-80]</p></section>",
-    "<nav><a href=#>[w1-3]</a></nav><div class='post'><h1>+[w2-10]</h1><p>+[w5-90]</p><div class='related'><a href=#>[w2-9]</a></div><p>+[w2-90]</p></div><div id='comments'><div class='comment'>[w2-60]</div></div>",
-    "<div><a href=#>[w1-3]</a> <a href=#>[w1-3]</a> <a href=#>[w1-3]</a></div><h1>+[w2-10]</h1><p>+[w15-120]</p><p>+[w15-120]</p><p>+[w10-120]</p><div><a href=#>[w1-5]</a></div><div>[w1-5]</div>",
+    # parts have names
+    "<nav><ul><li><a href=#>[w1-2]</a></li><li><a href=#>[w1-2]</a></li></ul></nav><div class='ad'>[w3-40]</div><article><h1>+[w3-15]</h1><p>+[w1-200]</p><p>+[w1-8]</p><p>+[w1-150]</p></article><footer>[w3-30]</footer>",
+    "<header><a href=#>[w1-3]</a> [w2-6]</header><main><h1>+[w2-9]</h1><p>+[w1-90]</p><ul><li>+[w1-20]</li><li>+[w1-20]</li></ul><p>+[w1-40]</p></main><aside>[w5-60]</aside><p>[w2-20]</p><footer>[w2-20]</footer>",
+    "<div id='header'><h1>[w1-5]</h1></div><div id='menu'><a href=#>[w1-2]</a> <a href=#>[w1-2]</a></div><div id='content'><h2>+[w2-9]</h2><p>+[w1-120]</p><p>+[w1-60]</p></div><p>[w3-50]</p><div id='footer'>[w2-30]</div>",
+    "<div class='cookie-notice'>[w5-40] <a href=#>[w1-2]</a></div><article><p>+[w1-80]</p><aside>[w4-50]</aside><blockquote>+[w1-60]</blockquote><p>+[w1-90]</p></article><p>[w2-12]</p><section class='comments'><h2>[w1-3]</h2><p>[w2-80]</p></section>",
     "<article><h1>+[w2-10]</h1><p>+[w8-60] <a href=#>+[w1-3]</a></p><table><tr><td>+[w1-6]</td><td>+[w1-6]</td></tr></table><form>[w1-6]</form><p class='advert'>[w3-40]</p><h2>+[w1-6]</h2><p>+[w1-80]</p></article>",
-    "<form><p>[w2-20]</p></form><main><article><h1>+[w1-9]</h1><p>+[w1-8]</p><p>+[w1-200]</p></article><article><h2>+[w1-9]</h2><p>+[w1-90]</p></article></main><div class='newsletter'><p>[w3-30]</p></div>",
-    "<div class='notice'><p>[w3-60]</p></div><div class='entry-content'><p>+[w1-9]</p><p>+[w10-90]</p><ol><li>+[w1-9]</li><li>+[w5-30]</li></ol></div><div class='share'><a href=#>[w1]</a></div><div class='copyright'>[w3-20]</div>",
+    "<main><article><h1>+[w1-9]</h1><p>+[w1-8]</p><p>+[w1-200]</p></article><article><h2>+[w1-9]</h2><p>+[w1-90]</p></article></main><div><p>[w3-30]</p></div>",
+    # an article holds boilerplate that has no name: rows of links
+    "<article><h1>+[w2-9]</h1><p>+[w1-90]</p><ul><li><a href=#>[w1-9]</a></li><li><a href=#>[w1-9]</a></li><li><a href=#>[w1-9]</a></li></ul><p>+[w1-90]</p><p><a href=#>[w1-4]</a> <a href=#>[w1-4]</a></p></article>",
+    "<article><p><a href=#>[w1-3]</a> <a href=#>[w1-3]</a></p><h1>+[w2-9]</h1><p>+[w1-60]</p><p>+[w3-40] <a href=#>+[w1-3]</a> +[w1-40]</p><p>+[w1-9]</p><div><a href=#>[w2-9]</a></div></article>",
+    # nothing has a name
+    "<div><a href=#>[w1-3]</a> <a href=#>[w1-3]</a> <a href=#>[w1-3]</a></div><h1>+[w2-10]</h1><p>+[w15-120]</p><p>+[w5-120]</p><p>+[w10-120]</p><div><a href=#>[w1-5]</a></div><div>[w1-5]</div>",
     "<p><a href=#>[w1-2]</a> <a href=#>[w1-2]</a></p><p>+[w20-120]</p><p>+[w12-120]</p><p><a href=#>[w1-4]</a></p><p>[w1-3]</p>",
+    "<div>[w1-4]</div><div><a href=#>[w1-2]</a></div><div><a href=#>[w1-2]</a></div><div><a href=#>[w1-2]</a></div><h1>+[w2-10]</h1><div>+[w15-150]</div><div>+[w3-30]</div><div>+[w15-150]</div><div><a href=#>[w2-8]</a></div><div><a href=#>[w2-8]</a></div><div>[w2-9]</div>",
+    "<h3>[w1-3]</h3><ul><li><a href=#>[w1-4]</a></li><li><a href=#>[w1-4]</a></li></ul><h1>+[w3-10]</h1><p>+[w12-150]</p><h2>+[w1-6]</h2><p>+[w8-150]</p><ul><li>+[w3-25]</li><li>+[w3-25]</li></ul><p>+[w12-90]</p><h3>[w1-3]</h3><ul><li><a href=#>[w1-8]</a></li><li><a href=#>[w1-8]</a></li></ul>",
+    "<p>[w2-8] <a href=#>[w1-4]</a></p><p>+[w25-200]</p><p>+[w8-200]</p><p>+[w25-200]</p><p>[w2-5] <a href=#>[w1-3]</a> <a href=#>[w1-3]</a></p><p>[w2-10]</p>",
+    "<div><a href=#>[w1-3]</a></div><p>+[w20-150]</p><p><a href=#>[w2-8]</a></p><p>+[w20-150]</p>",
+    "<div>[w1-6]</div><div><a href=#>[w1-3]</a></div><p>+[w20-150]</p><p>+[w1-150]</p><p>+[w20-150]</p><div><a href=#>[w1-3]</a></div><div>[w1-9]</div><div><a href=#>[w1-3]</a></div><div>[w3-12]</div>",
+    "<p>+[w20-150]</p><p><a href=#>[w2-8]</a></p><div>+[w20-150]</div><p><a href=#>[w2-8]</a></p><div>[w1-9]</div><div>[w1-9]</div>",
+    "<p>+[w1-80]</p>",
+    "<div>+[w1-9]</div>",
+    "<p>+[w12-150]</p><p>+[w12-150]</p><p>+[w12-150]</p>",
+    "<article><p>+[w1-40]</p><p>+[w1-40]</p></article>",
+    "<div><a href=#>[w1-3]</a></div><article><p>+[w1-40]</p><p>+[w1-20]</p><p>+[w1-9]</p></article><div><a href=#>[w1-3]</a></div><div>[w1-30]</div>",
+    "<h1>+[w2-9]</h1><p>+[w1-60]</p>",
+    "<div><a href=#>[w1-3]</a></div><h1>+[w2-9]</h1><p>+[w15-90]</p><p>+[w1-12]</p>",
 ]
 
 
@@ -236,7 +269,7 @@ def labelled(seed: int = 7, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
         for outline in EXAMPLES:
             found = blocks("<html><body>" + re.sub(r"(\+?)\[w([\d-]+)\]", words, outline) + "</body></html>")
             rows.append(features(found))
-            labels += [b.text.startswith("yes") for b in found]
+            labels += [b.text.startswith("yes") for b in found if not b.cut]
     return np.concatenate(rows), np.array(labels)
 
 
@@ -251,7 +284,7 @@ class Tree:
     high: Tree | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 6) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 6) -> Tree:
     """A classification tree by Gini impurity; ties go to the earlier column and the lower cut."""
     share = float(y.mean())
     node = Tree(share)
@@ -296,9 +329,10 @@ def extract(pages: DataFrame, column: str = "html", threshold: float = 0.5) -> D
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [blocks(h) if isinstance(h, str) else [] for h in batch[column]]
-            at = np.cumsum([0] + [len(f) for f in found])
+            left = [[b.text for b in f if not b.cut] for f in found]
+            at = np.cumsum([0] + [len(f) for f in left])
             keep = judge(tree, np.concatenate([features(f) for f in found if f] or [np.zeros((0, len(FEATURES)))])) >= threshold
-            kept = [[b.text for b, k in zip(f, keep[lo:]) if k] for f, lo in zip(found, at)]
+            kept = [[t for t, k in zip(f, keep[lo:]) if k] for f, lo in zip(left, at)]
             yield batch.drop(columns=[column]).assign(text=[" ".join(k) for k in kept], n_blocks=[len(k) for k in kept])
 
     from pyspark.sql.types import LongType, StringType, StructField, StructType

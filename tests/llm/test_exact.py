@@ -245,20 +245,72 @@ def test_op10_links(spark, docs):
         assert (r.class_id, r.n_links) == (root(r.doc_id), links[r.doc_id])
 
 
-def test_op2_outlines():
+def _main_text(page):
     tree = html_text.grow(*html_text.labelled())
+    found = html_text.blocks(page)
+    keep = html_text.judge(tree, html_text.features(found)) >= 0.5
+    return " ".join(b.text for b, k in zip([b for b in found if not b.cut], keep) if k)
 
-    def text(page):
-        found = html_text.blocks(page)
-        keep = html_text.judge(tree, html_text.features(found)) >= 0.5
-        return " ".join(b.text for b, k in zip(found, keep) if k)
 
+def test_op2_tree_reads_words_and_densities():
+    """What the tree splits on: words and link densities of the block and of both neighbours; names are not among its columns."""
+
+    def columns(tree):
+        return set() if tree.at < 0 else {html_text.FEATURES[tree.at]} | columns(tree.low) | columns(tree.high)
+
+    tree = html_text.grow(*html_text.labelled())
+    assert html_text.FEATURES[tree.at] == "links" and {"words", "words_before", "words_after", "links_before", "links_after"} <= columns(tree)
+    x, y = html_text.labelled(seed=1)  # the outlines with other words
+    assert ((html_text.judge(tree, x) >= 0.5) == y).mean() > 0.99
+
+
+W = lambda n, w="word": " ".join([w] * n)
+LINKS = "".join(f"<li><a href=/{i}>go there</a></li>" for i in range(5))
+MENU = "".join(f"<div><a href=/{i}>go there</a></div>" for i in range(4))
+PAGES = [
+    (f"<ul>{LINKS}</ul><h1>Big news</h1><p>{W(40)}</p><p>{W(30)}</p>", f"Big news {W(40)} {W(30)}"),  # nothing has a name
+    (f"{MENU}<h1>Big news</h1><p>{W(40)}<p>{W(30)}{MENU}<div>All rights kept</div>", f"Big news {W(40)} {W(30)}"),
+    (f"<p><a href=/>Home</a> <a href=/b>About us</a></p><p>{W(60)}</p><p>{W(25)}</p><p><a href=/c>More of it</a></p><p>By us</p>", f"{W(60)} {W(25)}"),
+    (f"<div>Site name</div>{MENU}<p>{W(50)}</p><div><a href=/>read this too</a></div><p>{W(50)}</p>", f"{W(50)} {W(50)}"),
+    (f"<article><h1>Title</h1><p>Short.</p><p>{W(90)}</p><p>Yes.</p></article>", f"Title Short. {W(90)} Yes."),
+    (f"<article><h1>Title</h1><p>{W(20)}</p><ul>{LINKS}</ul><p>{W(20)}</p></article>", f"Title {W(20)} {W(20)}"),  # links without a name inside
+    (f"<article><p>{W(20)}</p></article><p>{W(60, 'other')}</p>", W(20)),  # prose beside an article
+    (f"<div class='ad'>{W(30, 'buy')}</div><div id=content><h2>Title</h2><p>{W(9)}</p></div>", f"Title {W(9)}"),
+    (f"<article><header><h1>Title</h1><p>By someone</p></header><p>{W(20)}</p><footer>Filed under</footer></article>", f"Title {W(20)}"),
+    (f"<article><p>{W(10)} <span class=advert>buy this</span> {W(10)}</p></article>", f"{W(20)}"),
+    (f"<article><p>{W(10)} <b hidden>not <b>to be</b> seen</b> {W(10)}<p>{W(5)}</article>", f"{W(20)} {W(5)}"),
+    (f"<article><p>{W(10)} <span class=ad>never closed<p>{W(12)}</p></article>", f"{W(10)} {W(12)}"),
+    (f"<main><p>{W(15)} <a href=/x>a link</a> {W(15)}</p><form><p>{W(30, 'fill')}</p></form></main>", f"{W(15)} a link {W(15)}"),
+    (f"<article><p>{W(15)}</p><select><option>one<option>two</select><textarea>x</textarea><button>Send</button></article>", W(15)),
+    (f"<article><p>{W(15)}</p><select><option>never closed<p>{W(3)}</p></article>", f"{W(15)} never closed {W(3)}"),
+    (f"<article><h1>A &amp; B &eacute;&#233;&#x41;</h1><p>{W(8)}&nbsp;\n \t{W(8)}</p></article>", f"A & B ééA {W(16)}"),
+    (f"<main><h1>Title</h1><p>{W(12)}</p></main><section class=comments><p>{W(40, 'reply')}</p></section>", f"Title {W(12)}"),
+    (f"<div class=sidebar><p>{W(40, 'side')}</p></div><h1>Title</h1><p>{W(40)}</p><div class='cookie-notice'>{W(30, 'yum')}</div>", f"Title {W(40)}"),
+    ("<p>all there is</p>", "all there is"),
+    (f"<p>{W(50)}</p><p>{W(30)}</p>", f"{W(50)} {W(30)}"),
+    (f"<div style='display: none'>{W(50, 'gone')}</div><h1>Title</h1><p>{W(50)}</p>", f"Title {W(50)}"),
+    ("<nav>" + LINKS + "</nav><script>var x = '<p>no</p>'</script><style>p{}</style>", ""),
+]
+
+
+@pytest.mark.parametrize("k", range(len(PAGES)))
+def test_op2_pages(k):
+    assert _main_text(PAGES[k][0]) == PAGES[k][1]
+
+
+def test_op2_long_hostile_page():
+    """Time in proportion to the page: many elements that are never closed."""
+    for piece in ("<select>", "<button>x", "<a href='", "<!--", "<div class=a><p>", "&amp", "<span hidden>"):
+        html_text.features(html_text.blocks("<p>start</p>" + piece * 60_000))
+
+
+def test_op2_named_parts():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header class="site"><a href="/">Home</a></header><nav><ul><li><a href=x>One</a></ul></nav>
     <div class="cookie-banner"><p>We use cookies on this site and others of ours.</p></div><main><article><h1>Big&nbsp;News &amp; more</h1><p>First <b>bold</b> words<br>of a story.
     <p>Second one, unclosed.<aside>Buy this now, it is cheap and good</aside><script>var s = "</p><p>no</p>";</script><p>Third.</p></article></main>
     <div id="sidebar"><p>About the author and all that he ever wrote in his life.</p></div><form><label>Name</label><input></form>
     <section class="comments"><p>I liked it very much, thanks for writing this long story.</p></section><!-- ad --><footer>&copy; 2024 Someone</footer></body></html>"""
-    assert text(page) == "Big News & more First bold words of a story. Second one, unclosed. Third."
+    assert _main_text(page) == "Big News & more First bold words of a story. Second one, unclosed. Third."
 
 
 def test_pipeline_stages_by_brute_force(spark):
