@@ -32,7 +32,7 @@ COUNTS = np.array([c for c, _ in SELECTORS])
 WIDTHS = np.array([w for _, w in SELECTORS])
 ESCAPE_BITS = 20
 BLOCK_IDS = 1024
-CHUNK_IDS = 1 << 16
+CHUNK_IDS = 1 << 18
 #: The bit length of every id that is not an escape.
 _BITS = np.frexp(np.arange(1 << ESCAPE_BITS, dtype=np.float64))[1].astype(np.int8)
 

@@ -39,6 +39,14 @@ _CLASSES = np.array([_class(c) for c in range(256)], dtype=np.int8)
 _LOWER = np.array([ord(chr(c).lower()) for c in range(256)], dtype=np.uint8)
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def default_path(name: str) -> str:
     """Where the public vocabulary file lies on this machine; every machine has its own copy."""
     import public_tokenizers
@@ -128,6 +136,8 @@ class _Cached:
         spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {c: spelt.pre_tokenize_str(chr(c))[0][0] for c in range(1, 256)}
         self.table = _Table(size)
+        self.long: dict[str, np.ndarray] = {}
+        self.long_size = 0
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -140,7 +150,7 @@ class _Cached:
         size = 0
         for k, text in enumerate(texts):
             out.append([])
-            if any(s in text for s in self.special) or not text.isascii() and _WIDE_SPACE.search(text):
+            if any(s in text for s in self.special) or not _latin(text) and _WIDE_SPACE.search(text):
                 out[k].append(self.whole(text))
                 continue
             for part in self._parts(text):
@@ -236,7 +246,12 @@ class _Cached:
         many = np.flatnonzero(~easy)
         if len(many):
             spelt = [text[a : a + k] for a, k in zip(start[many].tolist(), length[many].tolist())]
-            known = {w: np.frombuffer(self.whole(w), dtype="<u4") for w in set(spelt)}
+            if self.long_size > 2 * self.size:
+                self.long, self.long_size = {}, 0
+            known = self.long
+            for w in set(spelt).difference(known):
+                known[w] = np.frombuffer(self.whole(w), dtype="<u4")
+                self.long_size += len(w)
             count[many] = [len(known[w]) for w in spelt]
             at[many] = t.put(np.concatenate([known[w] for w in spelt]), count[many])
         return at, count
