@@ -1,7 +1,8 @@
 """Connected components over an edge table, by alternating large and small stars.
 
-Each round is two aggregations and one join of edge-sized tables; edges never multiply. A hub's edges meet
-its minimum in a plain equi-join, which adaptive execution can split. Rounds end when the edge set stays.
+Each round is aggregations and joins of edge-sized tables; edges never multiply. The minima are written first, so
+that a hub's edges meet its minimum in a plain equi-join of two shuffles, which adaptive execution splits. Rounds
+end when the edge set stays; that they do not is an error.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if state[0] == 0:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -31,6 +32,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     members = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

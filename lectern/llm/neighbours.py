@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by NN-descent.
 
 1. Vectors become unit vectors in double precision; equal ones are one class (`copies` counts them). Null,
-   zero and non-finite vectors take no part.
+   zero and non-finite vectors take no part. The search (2 to 4) reads them in single precision, what counts
+   links (5, 6) in double.
 2. First neighbour lists: the exact LIST nearest inside the leaves of TREES random hyperplane trees of about
    LEAF vectors. A leaf that stays large, as of a hot group, is dealt out by a seeded hash.
 3. NN-descent: a vector's neighbours and those that have it as a neighbour meet in its local join; pairs
@@ -10,14 +11,17 @@
    component of links around it, which takes no places, and by LIST new places for vectors outside it. These
    are filled as in 2 and 3, from other trees and with vectors of other components alone. What links is merged,
    and lists whose new places are again full of links are enlarged anew, until each list ends below LINK.
-5. The members of a component are compared exactly in tiles of at most 2 x TILE vectors; a tile gives the
-   number of links of each member and a spanning forest of them, never the pairs.
-6. Audit: AUDIT vectors (a fixed number, by hash, others each time) are compared with all vectors in blocks.
-   Links between components that the search did not find are counted as missed and are kept as edges; while
-   the share found is under RECALL, 2 to 4 go on from more trees. Each time merges components, so this ends.
-
-The lists' length and the caps of 2 x LIST members of a local join bound the search, not the result: step 5
-counts links among all members of a component.
+5. Audit: AUDIT vectors of components and AUDIT others (fixed numbers, by hash, others each time) are compared
+   with all vectors in blocks. Links between components that the search did not find are counted as missed and
+   are kept as edges; while of either kind the share found is under RECALL, 2 to 4 go on from more trees. Each
+   time merges components, so this ends.
+6. Links are counted exactly among all members of a component, whatever its size, and never as pairs. A component
+   of up to TILE vectors is one tile. A larger one gets a pivot: where all its members stand within half the
+   angle of a link around it, all are linked and nothing is compared. Otherwise two members link only if their
+   angles to the pivot differ by less than a link's angle; they are compared in tiles of at most 2 x TILE vectors
+   from rings of that width that touch. A tile gives the number of links of each member and a spanning forest.
+
+The lists' length and the caps of 2 x LIST members of a local join bound the search, not the result.
 
 Cases. Vectors of different lengths never link. Equal vec_ids are different rows with the same id; a null
 vec_id is kept and never names a component that has another id. An empty table gives no rows; further
@@ -46,6 +50,8 @@ LIST = 8
 TREES = 4
 LEAF = 256
 TILE = 512
+#: Members whose mean is the pivot of a large component.
+PIVOT = 64
 CHANGE = 0.01
 ROUNDS = 4
 AUDIT = 256
@@ -73,6 +79,20 @@ def _stack(column: pd.Series | list) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<f8").reshape(len(column), -1)
 
 
+def _rough(column: pd.Series | list) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="<f4").reshape(len(column), -1)
+
+
+def rough(classes: DataFrame) -> DataFrame:
+    """classes with `v` in single precision."""
+
+    def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(v=[np.frombuffer(v, dtype="<f8").astype("<f4").tobytes() for v in batch["v"]])
+
+    return classes.select("node", "v").mapInPandas(cast, "node long, v binary")
+
+
 def first_lists(placed: DataFrame, n: int, seed: list[int]) -> DataFrame:
     """placed: node, v, component, wanted. Returns node, other, cos: for wanted nodes, the nearest LIST of other
     components inside each leaf of the trees.
@@ -82,7 +102,7 @@ def first_lists(placed: DataFrame, n: int, seed: list[int]) -> DataFrame:
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby(batch["v"].map(len)):
-                v = _stack(part["v"].tolist())
+                v = _rough(part["v"].tolist())
                 for tree in range(TREES):
                     normal = np.random.default_rng([*seed, tree, int(dim)]).standard_normal((v.shape[1], planes))
                     code = ((v @ normal) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(v), dtype=np.int64)
@@ -90,7 +110,7 @@ def first_lists(placed: DataFrame, n: int, seed: list[int]) -> DataFrame:
                     yield pd.DataFrame({"tree": tree, "dim": int(dim), "leaf": code, **kept})
 
     def nearest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        v, nodes = _stack(frame["v"].tolist()), frame["node"].to_numpy()
+        v, nodes = _rough(frame["v"].tolist()), frame["node"].to_numpy()
         wanted, component = np.flatnonzero(frame["wanted"].to_numpy()), frame["component"].to_numpy()
         k = min(LIST, len(nodes) - 1)
         if k < 1 or not len(wanted):
@@ -106,8 +126,10 @@ def first_lists(placed: DataFrame, n: int, seed: list[int]) -> DataFrame:
     rows = materialize(rows, "leaves")
     sizes = rows.groupBy("tree", "dim", "leaf").agg(F.count("*").alias("size"))
     parts = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / (2 * LEAF)))
-    dealt = rows.join(sizes, ["tree", "dim", "leaf"]).withColumn("deal", parts)
-    return dealt.groupBy("tree", "dim", "leaf", "deal").applyInPandas(nearest, "node long, other long, cos double")
+    dealt = rows.join(sizes, ["tree", "dim", "leaf"])
+    # one key, so that the parts of a large leaf are dealt to different tasks
+    cell = F.concat_ws("-", "tree", "dim", "leaf", parts)
+    return dealt.select(cell.alias("cell"), "node", "v", "component", "wanted").groupBy("cell").applyInPandas(nearest, "node long, other long, cos double")
 
 
 def best(edges: DataFrame, limit: int) -> DataFrame:
@@ -138,7 +160,7 @@ def descend(placed: DataFrame, lists: DataFrame, inner: DataFrame | None = None)
             for members in batch["members"]:
                 if len(members) < 2:
                     continue
-                v = _stack([m["v"] for m in members])
+                v = _rough([m["v"] for m in members])
                 nodes, bars = np.array([m["member"] for m in members]), np.array([m["bar"] for m in members])
                 component = np.array([m["component"] for m in members])
                 cos = v @ v.T
@@ -197,36 +219,94 @@ def enlarge(classes: DataFrame, lists: DataFrame, groups: DataFrame, n: int, see
     return groups
 
 
+def _tile(frame: pd.DataFrame, block: np.ndarray | None) -> pd.DataFrame:
+    """node, links, other of a tile; with blocks only pairs of different blocks count."""
+    nodes, copies = frame["node"].to_numpy(), frame["copies"].to_numpy()
+    v = _stack(frame["v"].tolist())
+    linked = v @ v.T >= LINK
+    np.fill_diagonal(linked, False)
+    if block is not None:
+        linked &= block[:, None] != block[None, :]
+    links = (linked * copies[None, :]).sum(axis=1)
+    pairs, some = forest(linked), np.flatnonzero(links)
+    a, b = np.array([nodes[i] for i, _ in pairs], dtype=np.int64), [nodes[j] for _, j in pairs]
+    out = pd.DataFrame({"node": np.r_[nodes[some], a], "links": np.r_[links[some], np.zeros(len(a), dtype=np.int64)]})
+    out["other"] = pd.array([None] * len(some) + b, dtype="Int64")
+    return out.astype({"node": "int64", "links": "int64"})
+
+
 def compare(rows: DataFrame) -> DataFrame:
     """rows: node, copies, component, v. Returns node, links (rows linked), other (forest edge or null)."""
-    sizes = rows.groupBy("component").agg(F.count("*").alias("members"))
-    spread = rows.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / TILE).cast("int"))
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = spread.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = spread.select("component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "copies", "v")
+    found = "node long, links long, other long"
+    sizes = rows.groupBy("component").agg(F.count("*").alias("members"), F.sum("copies").alias("total"))
+    rows = rows.join(materialize(sizes, "component-sizes"), "component")
 
-    def tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def small(frame: pd.DataFrame) -> pd.DataFrame:
+        return _tile(frame.sort_values("node"), None)
+
+    few = rows.where(F.col("members") <= TILE).select("component", "node", "copies", "v").groupBy("component").applyInPandas(small, found)
+    large = materialize(rows.where(F.col("members") > TILE), "large-components")
+    return few.unionByName(compare_large(large)) if not large.isEmpty() else few
+
+
+def compare_large(rows: DataFrame) -> DataFrame:
+    """rows: node, copies, component, v, members, total, of components that are no tile of their own."""
+    width = math.acos(LINK) + 1e-6
+
+    def mean(frame: pd.DataFrame) -> pd.DataFrame:
+        v = _stack(frame.sort_values("node")["v"].tolist()).sum(axis=0)
+        norm = float(np.linalg.norm(v))
+        pivot = v / norm if norm else _stack(frame["v"].tolist()[:1])[0]
+        return pd.DataFrame({"component": frame["component"].iloc[:1], "pivot": [pivot.astype("<f8").tobytes()]})
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cos = np.zeros(len(batch))
+            for lo in range(0, len(batch), 1000):
+                part = batch.iloc[lo : lo + 1000]
+                cos[lo : lo + 1000] = np.einsum("ij,ij->i", _stack(part["v"].tolist()), _stack(part["pivot"].tolist()))
+            yield batch.drop(columns=["pivot"]).assign(angle=np.arccos(np.clip(cos, -1, 1)))
+
+    # any direction will do as a pivot; this one is the mean of PIVOT members
+    first = Window.partitionBy("component").orderBy(F.xxhash64("node"), "node")
+    few = rows.select("component", "node", "v", F.row_number().over(first).alias("rank")).where(F.col("rank") <= PIVOT)
+    pivots = materialize(few.select("component", "node", "v").groupBy("component").applyInPandas(mean, "component long, pivot binary"), "pivots")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    placed = materialize(rows.join(pivots, "component").mapInPandas(turn, f"{columns}, angle double"), "turned")
+    radius = placed.groupBy("component").agg(F.max("angle").alias("radius"), F.min("node").alias("root"))
+    placed = placed.join(materialize(radius, "radius"), "component")
+    tight = F.col("radius") <= (width - 1e-5) / 2
+    whole = placed.where(tight)
+    counts = whole.select("node", (F.col("total") - F.col("copies")).alias("links"), F.lit(None).cast("long").alias("other"))
+    edges = whole.where("node <> root").select("node", F.lit(0).cast("long").alias("links"), F.col("root").alias("other"))
+    # rings, their blocks, and the tiles of a node: its block with each block of its ring and of those that touch it
+    rings = placed.where(~tight).withColumn("ring", F.floor(F.col("angle") / width).cast("int"))
+    blocks = rings.groupBy("component", "ring").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    plans = blocks.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("ring", "blocks"))).alias("plan"))  # 180 / 18 rings at most
+    spread = rings.join(materialize(plans, "rings"), "component")
+    own = F.filter("plan", lambda r: r["ring"] == F.col("ring"))[0]["blocks"]
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), own).cast("int"))
+    near = F.filter("plan", lambda r: F.abs(r["ring"] - F.col("ring")) <= 1)
+    partners = F.flatten(F.transform(near, lambda r: F.transform(F.sequence(F.lit(0), r["blocks"] - 1), lambda k: F.struct(r["ring"].alias("ring"), k.alias("block")))))
+    mine = F.struct("ring", "block")
+    spread = spread.withColumn("mine", mine).withColumn("partner", F.explode(partners))
+    key = F.concat_ws("-", "component", F.to_json(F.least("mine", "partner")), F.to_json(F.greatest("mine", "partner")))
+    tiles = spread.select(key.alias("tile"), F.concat_ws("-", "ring", "block").alias("block"), "node", "copies", "v")
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
-        nodes, copies, block = frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["block"].to_numpy()
-        v = _stack(frame["v"].tolist())
-        linked = v @ v.T >= LINK
-        np.fill_diagonal(linked, False)
-        if key[1] != key[2]:
-            linked &= block[:, None] != block[None, :]
-        links = (linked * copies[None, :]).sum(axis=1)
-        pairs, some = forest(linked), np.flatnonzero(links)
-        a, b = np.array([nodes[i] for i, _ in pairs], dtype=np.int64), [nodes[j] for _, j in pairs]
-        out = pd.DataFrame({"node": np.r_[nodes[some], a], "links": np.r_[links[some], np.zeros(len(a), dtype=np.int64)]})
-        out["other"] = pd.array([None] * len(some) + b, dtype="Int64")
-        return out.astype({"node": "int64", "links": "int64"})
-
-    return tiles.groupBy("component", "i", "j").applyInPandas(tile, "node long, links long, other long")
-
-
-def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame, int, int]:
-    """Missed edges of the audited vectors (a, b), how many of their links were found, and how many there are."""
-    placed = classes.select("node", "v").join(groups, "node", "left").select("node", "v", F.coalesce("component", "node").alias("component"))
-    asked = placed.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(AUDIT).collect()  # a fixed number of vectors
+        block = pd.factorize(frame["block"])[0]
+        return _tile(frame, block if block.max() else None)
+
+    return counts.unionByName(edges).unionByName(tiles.groupBy("tile").applyInPandas(tile, "node long, links long, other long"))
+
+
+def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame, bool]:
+    """Missed edges of the audited vectors (a, b), and whether the share of their links that was found meets RECALL."""
+    placed = classes.select("node", "v").join(groups, "node", "left").select("node", "v", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone"))
+    placed = materialize(placed, "audited")
+    order = [F.xxhash64("node", F.lit(seed)), F.col("node")]
+    asked = [r for alone in (False, True) for r in placed.where(F.col("alone") == alone).orderBy(*order).limit(AUDIT).collect()]  # 2 x AUDIT vectors
     by_dim: dict[int, list] = {}
     for r in asked:
         by_dim.setdefault(len(r.v), []).append(r)
@@ -238,20 +318,20 @@ def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame,
                 if not queries:
                     continue
                 q = _stack([r.v for r in queries])
-                ids, own = np.array([r.node for r in queries]), np.array([r.component for r in queries])
+                ids, own, alone = np.array([r.node for r in queries]), np.array([r.component for r in queries]), np.array([r.alone for r in queries])
                 for lo in range(0, len(part), 2000):
                     some = part.iloc[lo : lo + 2000]
                     nodes, comps = some["node"].to_numpy(), some["component"].to_numpy()
                     link = (_stack(some["v"].tolist()) @ q.T >= LINK) & (nodes[:, None] != ids[None, :])
                     missed = link & (comps[:, None] != own[None, :])
                     i, j = np.nonzero(missed)
-                    yield pd.DataFrame({"a": nodes[i], "b": ids[j], "found": 0})
-                    yield pd.DataFrame({"a": [0], "b": [0], "found": [int(link.sum() - missed.sum())]})
+                    yield pd.DataFrame({"a": nodes[i], "b": ids[j], "alone": alone[j], "found": 0})
+                    for kind in (False, True):
+                        yield pd.DataFrame({"a": [0], "b": [0], "alone": [kind], "found": [int((link & ~missed)[:, alone == kind].sum())]})
 
-    seen = materialize(placed.mapInPandas(look, "a long, b long, found long"), "audit")
-    missed = seen.where("a <> b").select("a", "b")
-    found = seen.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
-    return missed, found, found + missed.count()
+    seen = materialize(placed.mapInPandas(look, "a long, b long, alone boolean, found long"), "audit")
+    there = seen.groupBy("alone").agg(F.sum("found").alias("found"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("missed")).collect()  # two rows
+    return seen.where("a <> b").select("a", "b"), all(r.found >= RECALL * (r.found + r.missed) for r in there)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -260,30 +340,33 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    alone = classes.select("node", "v", F.col("node").alias("component"), F.lit(True).alias("wanted"))
+    searched = materialize(rough(classes), "rough")
+    alone = searched.select("node", "v", F.col("node").alias("component"), F.lit(True).alias("wanted"))
     lists, known = None, None
     for attempt in itertools.count():
         new = first_lists(alone, n, [attempt, 0])
         lists = new if lists is None else new.unionByName(lists.select("node", "other", "cos"))
         lists = settle(alone, materialize(best(lists, LIST), "lists"), n)
         edges = close(lists) if known is None else close(lists).unionByName(known)
-        groups = enlarge(classes, lists, materialize(components(edges), "groups"), n, attempt)
-        missed, found, there = audit(classes, groups, attempt)
+        groups = enlarge(searched, lists, materialize(components(edges), "groups"), n, attempt)
+        missed, enough = audit(classes, groups, attempt)
         known = as_edges(groups).unionByName(missed)
-        if found >= RECALL * there:
+        if enough:
             break
     groups = components(known)
     held = groups.join(classes.select("node", "copies", "v"), "node")
-    links = materialize(compare(held), "vector-links")
+    links = materialize(compare(materialize(held, "held")), "vector-links")
     parts = components(links.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     parts = parts.join(classes.select("node", "first_id"), "node")
     first = parts.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    parts = parts.join(first, "component").select("node", "component_id")
+    parts = parts.join(materialize(first, "first-ids"), "component").select("node", "component_id")
     named = classes.join(parts, "node", "left").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     named = named.select("v", F.coalesce("component_id", "first_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    out = rows.join(named, "v", "left")
+    # rows of one hot vector meet its class in a plain join of written tables, which adaptive execution splits; rows without a vector meet nobody
+    there = rows.where("v is not null").join(materialize(named, "named"), "v").select("vec_id", "n", "component_id")
+    out = there.unionByName(rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.col("n").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

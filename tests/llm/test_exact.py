@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -118,31 +119,61 @@ def test_op4_term_far_from_the_value(spark):
     assert not any("weather" in k for k in kinds.values())
 
 
-def test_op5_links(spark, tmp_path):
-    rng = np.random.default_rng(3)
-    centres = rng.standard_normal((40, 32))
-    x = np.concatenate([c + 0.1 * rng.standard_normal((n, 32)) for c, n in zip(centres, [1] * 20 + [2] * 10 + [9] * 8 + [150, 700])])
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = neighbours.near_duplicates(table).toPandas().sort_values("vec_id")
+def _links(x):
+    """n_links, component_id and kept of each row of x by brute force."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     linked = u @ u.T >= 0.95
-    assert (found.n_links.to_numpy() == linked.sum(axis=1) - 1).mean() > 0.99
-    assert found.n_links.sum() >= 0.99 * (linked.sum() - len(x))
+    component = np.arange(len(x))
+    while True:  # the smallest id among those linked, until nothing changes
+        least = np.array([component[row].min() for row in linked])
+        if (least == component).all():
+            break
+        component = least
+    return (linked.sum(axis=1) - 1).tolist(), component.tolist(), (component == np.arange(len(x))).tolist()
 
 
-def test_op5_links_between_tight_groups_longer_than_a_list(spark):
-    rng = np.random.default_rng(4)
-    away = lambda c, by, n: c + by * rng.standard_normal((n, 32))
-    x = np.concatenate([away(sub, 0.02, 12) for c in rng.standard_normal((300, 32)) for sub in away(c, 0.17, 2)])
-    assert len(x) > 25 * neighbours.AUDIT and neighbours.LIST < 11
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+def _check_op5(spark, x):
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
     found = neighbours.near_duplicates(table).toPandas().sort_values("vec_id")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = (u @ u.T >= 0.95).sum(axis=1) - 1
-    assert (links > 11).mean() > 0.5  # most groups link with another one
-    assert (found.n_links.to_numpy() == links).mean() > 0.99
+    n_links, component, kept = _links(x)
+    assert found.n_links.tolist() == n_links
+    assert found.component_id.tolist() == component and found.kept.tolist() == kept
 
 
+def test_op5_links(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 32))
+    x = np.concatenate([c + 0.1 * rng.standard_normal((n, 32)) for c, n in zip(centres, [1] * 20 + [2] * 10 + [9] * 8 + [150, 700])])
+    _check_op5(spark, x)
+
+
+def _near(rng, centre, cos, n):
+    """n vectors that have about this cosine with each other, around a centre."""
+    noise = rng.standard_normal((n, len(centre)))
+    noise -= np.outer(noise @ centre, centre)
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return math.sqrt(cos) * centre + math.sqrt(1 - cos) * noise
+
+
+def test_op5_tight_groups_that_link_and_chains(spark):
+    """Sub-clusters of 12 and of 200 whose centres have cosine 0.96, chains whose ends do not link, and a large loose group."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v)
+    rows = [rng.standard_normal((2000, 64))]
+    for n, groups in ((12, 40), (200, 2)):
+        for _ in range(groups):
+            for sub in _near(rng, unit(rng.standard_normal(64)), 0.96, 2):
+                rows.append(_near(rng, unit(sub), 0.998, n))
+    for _ in range(2):
+        a, b = unit(rng.standard_normal(64)), unit(rng.standard_normal(64))
+        b = unit(b - (a @ b) * a)
+        turn = np.linspace(0, np.pi / 2, 60)
+        rows.append(np.outer(np.cos(turn), a) + np.outer(np.sin(turn), b))
+    rows.append(_near(rng, unit(rng.standard_normal(64)), 0.95, 700))  # half of its pairs link; more than a tile
+    rows.append(_near(rng, unit(rng.standard_normal(64)), 0.99, 600))  # all link, and nothing need be compared
+    x = np.concatenate(rows)
+    _check_op5(spark, x[rng.permutation(len(x))])
+
 
 def test_op7_held_out(spark):
     d = "/root/testdata/sf0.01"
