@@ -57,11 +57,11 @@ def sections_of(blocks: list, rules: Rules) -> list[tuple[str, tuple[str, ...],
     if rules.body_start is not None:
         begin = next((i for i, v in enumerate(views) if re.match(rules.body_start, v)), -1)
         if begin < 0:
-            raise ValueError(f"body_start {rules.body_start!r} matches no line; the document layout has changed")
+            raise ValueError(f"no line begins the body (body_start {rules.body_start!r})")
     if rules.body_end is not None:
         stop = next((i for i, v in enumerate(views) if i > begin and re.match(rules.body_end, v)), -1)
         if stop < 0:
-            raise ValueError(f"body_end {rules.body_end!r} matches no line after the body start; the layout has changed")
+            raise ValueError(f"no line ends the body (body_end {rules.body_end!r})")
     blocks, views = blocks[:stop], views[:stop]
     by_pattern = False
     if any(b.ref for b in blocks):
@@ -97,25 +97,38 @@ def sections_of(blocks: list, rules: Rules) -> list[tuple[str, tuple[str, ...],
     texts: list[list[str]] = [[] for _ in range(n + 1)]
     for i, b in enumerate(blocks):
         texts[place[i]].append(b.text)
+    # headings as a tree: each knows the nearest one before it that is higher; a chapter line without a level is a new root
+    tree: list[tuple[int, str, int]] = []
+    last = -1
+
+    def above(k: int, level: int) -> int:
+        while k >= 0 and tree[k][0] >= level:
+            k = tree[k][2]
+        return k
+
+    def titles(k: int) -> tuple[str, ...]:
+        found: list[str] = []
+        while k >= 0:
+            found.insert(0, tree[k][1])
+            k = tree[k][2]
+        return tuple(found)
+
     named: list[tuple[str, tuple[str, ...]]] = [(PREAMBLE, ())]
-    chapter, path = rules.first_chapter, []
+    chapter = rules.first_chapter
     for i, b in enumerate(blocks):
-        if chapters[i]:
-            chapter = chapters[i].expand(rules.chapter_label) if rules.chapter_label else chapters[i]["ref"]
-        if b.level:
-            path = [h for h in path if h[0] < b.level]
-        elif chapters[i]:
-            path = []
+        opens = chapters[i]
+        if opens:
+            chapter = opens.expand(rules.chapter_label) if rules.chapter_label else opens["ref"]
+        parent = above(last, b.level) if b.level else -1 if opens else last
         if refs[i] is not None:
-            k, ref = counts[i], refs[i]
-            named.append((f"{chapter} {ref}" if chapter and not ref.startswith(chapter) else ref, tuple(h[1] for h in path)))
+            k, own = counts[i], refs[i]
+            named.append((own if not chapter or own.startswith(chapter) else " ".join((chapter, own)), titles(parent)))
             # in pattern mode a title line just before a number belongs to it
             if by_pattern and not (i and heads[i - 1]) and (k > 1 or texts[0]) and len(texts[k - 1]) > 1 and _titled(texts[k - 1][-1]):
                 texts[k].insert(0, texts[k - 1].pop())
-        if b.level:
-            path.append((b.level, b.text))
-        elif chapters[i]:
-            path = [(1, b.text)]
+        if b.level or opens:
+            tree.append((b.level or 1, b.text, parent))
+            last = len(tree) - 1
     out, seen = [], {}
     for k, (ref, heading_path) in enumerate(named):
         if k == 0 and not texts[0]:

@@ -9,7 +9,8 @@ from lectern.functions import text as T
 
 SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 LANGUAGE = r"^[a-z]{2}$"
-HOST = r"^[a-z0-9-]+(?:\.[a-z0-9-]+)+$"
+_LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+HOST = rf"^{_LABEL}(?:\.{_LABEL})+$"
 
 
 def row_rules(rows: DataFrame, entity: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
