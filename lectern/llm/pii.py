@@ -57,22 +57,40 @@ def _ok(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+#: Steps of a fold that builds an array; what is longer is folded in pieces, as each step copies what is there.
+FOLD = 128
+
+
+def _pieces(items: Column) -> Column:
+    """An array as an array of arrays of up to FOLD items."""
+    last = F.floor((F.size(items) - 1) / FOLD).cast("int")
+    return F.when(F.size(items) == 0, F.array(items)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * FOLD + 1, FOLD)))
+
+
 def located(text: Column, pattern: str | Column, kind: str | Column) -> Column:
-    """All matches of the pattern with their code-point positions: array of kind, start, end, value."""
+    """All matches of the pattern with their code-point positions: array of kind, start, end, value.
+
+    Positions are running sums over the pieces between the matches, inside runs of FOLD matches and then over runs.
+    """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
     name = F.lit(kind) if isinstance(kind, str) else kind
     matches = F.regexp_extract_all(text, regex, F.lit(0))
-    empty = F.from_json(F.lit("[]"), f"array<{_SPAN}>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("at"), F.from_json(F.lit("[]"), f"array<{_SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["1"])
         end = begin + F.length(x["0"])
         one = F.struct(name.alias("kind"), begin.alias("start"), end.alias("end"), x["0"].alias("value"))
-        return F.when(x["0"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(matches, F.split(text, regex, -1), lambda m, gap: F.struct(m.alias("0"), gap.alias("1")))
-    return F.aggregate(pairs, start, step)["out"]
+    # the last piece has no match after it
+    pairs = F.zip_with(matches, F.slice(F.split(text, regex, -1), F.lit(1), F.size(matches)), lambda m, gap: F.struct(m.alias("0"), gap.alias("1")))
+    runs = F.transform(_pieces(pairs), lambda run: F.aggregate(run, start, step))
+    offsets = F.struct(zero.alias("at"), F.from_json(F.lit("[]"), "array<long>").alias("out"))
+    before = F.aggregate(runs, offsets, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    moved = lambda s, by: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+    return F.flatten(F.zip_with(runs, before, lambda r, by: F.transform(r["out"], lambda s: moved(s, by))))
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -144,18 +162,25 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by its kind, generalised terms by a class, removed terms by nothing."""
     found = find(docs)
     by_place = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"].cast("int") - a["end"].cast("int")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring("pii_text", (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.substring(acc["part"], (acc["at"] - acc["from"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         mark = F.when(s["kind"] == "removed", F.lit("")).when(s["kind"] == "general", F.lit("[TERM]")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         nested = s["end"] <= acc["at"]
-        one = F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
+        one = F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["from"].alias("from"), acc["part"].alias("part"), F.concat(acc["out"], gap, mark).alias("out"))
         return F.when(nested, acc).otherwise(one)
 
-    done = F.aggregate(by_place, start, step)
+    def run(acc: Column, spans: Column) -> Column:
+        """A run of spans reads its own part of the text, so that no step goes through all of it."""
+        part = F.substring("pii_text", (acc["at"] + 1).cast("int"), (F.array_max(F.transform(spans, lambda s: s["end"])) - acc["at"]).cast("int"))
+        first = F.struct(acc["at"].alias("at"), acc["at"].alias("from"), F.coalesce(part, F.lit("")).alias("part"), F.lit("").alias("out"))
+        done = F.aggregate(spans, first, step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate(_pieces(by_place), start, run)
     rest = F.substring("pii_text", (done["at"] + 1).cast("int"), F.length("pii_text"))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(done["out"], rest))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(done["out"], ""), rest))
     return found.withColumn("text", text).select(*docs.columns)
 
 
