@@ -10,14 +10,18 @@ words is one shingle). Two sets link at Jaccard 0.8 or more, computed exactly.
    larger one is compared with a seeded member of its own and split again by the values of a seeded coordinate, at
    times of two in turn (1 / 0.8 on average), DEPTH times at most. Classes near that member go down once only, and
    buckets in which all are near it end there, since they are in one component already.
+   What is still too large after that is compared as a whole, block by block.
 3. Agreements in 65 % of the coordinates (over four standard deviations below 0.8) make candidate edges; of
-   each bucket a spanning forest of them goes on, so that rows grow with members and not with pairs. Runs
-   repeat until a pair at 0.8 is missed with a probability under 1 - RECALL.
+   each bucket a spanning forest of them goes on, so that rows grow with members and not with pairs. RUNS are as
+   many as miss a pair at 0.8 with a probability under 1 - RECALL if a run keeps it with PER_RUN; that is then
+   measured: AUDIT classes of components and AUDIT others (fixed numbers, by hash, others each time) are compared
+   with the embeddings of all classes in blocks. Pairs that the runs did not bring together become edges, and
+   while of either kind the share found is under RECALL, further runs follow.
 4. Inside each component of candidates the exact sets are compared in tiles of at most 2 x TILE classes, so
    that links found and links merely implied by a path are both counted once, and links that are none drop
    out. A tile gives link counts and a spanning forest; the forests' components are the groups.
 
-No bucket, group or set is cut: BRUTE and DEPTH bound the search only, and step 4 compares every member of a
+No bucket, group or set is cut: BRUTE and DEPTH part the ways of comparing, and step 4 compares every member of a
 component with every other. Texts move once, for members of components; nothing grows with pairs but the
 tiles' arithmetic. A pair that shares a text's common passage in one run's bucket meets in other runs without it.
 
@@ -29,6 +33,7 @@ another id. An empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -58,7 +63,11 @@ BRUTE = 2048
 DEPTH = 8
 #: Bits of the map that keeps texts that are in no component from being moved; its size is fixed.
 MAP_BITS = 1 << 24
-TILE = 256
+#: Sets of a tile's block, and bytes of their shingles, on average.
+TILE, TILE_BYTES = 256, 16 << 20
+AUDIT = 128
+#: Agreements from which a pair that the runs missed counts for the audit; near 0.8, so that its Jaccard may be that.
+AUDITED = 0.76
 _WORD = re.compile(r"\w+")
 _KNOWN: dict[str, int] = {}
 _U = np.uint64
@@ -193,13 +202,13 @@ def agreeing(sigs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, first_run: int = 0, runs: int = RUNS) -> DataFrame:
     """Edges a, b between classes (node, sig) that a chosen path brings together and their embeddings support."""
 
     def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sigs, nodes = _matrix(batch["sig"]), batch["node"].to_numpy()
-            for run in range(RUNS):
+            for run in range(first_run, first_run + runs):
                 yield pd.DataFrame({"path": _root(run, sigs).view(np.int64), "node": nodes})
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,6 +248,9 @@ def candidates(classes: DataFrame) -> DataFrame:
         large = sizes.where(F.col("size") > BRUTE).select("path")
         if large.isEmpty():
             break
+        if level == DEPTH:
+            edges.append(blockwise(paths.join(sizes.where(F.col("size") > BRUTE).select("path", "size"), "path").select("path", "node", "size"), classes))
+            break
         held = paths.join(large, "path")
         if level == 0:  # further down, large buckets' rows bring their embeddings along
             held = held.join(classes.select("node", "sig"), "node")
@@ -267,15 +279,76 @@ def candidates(classes: DataFrame) -> DataFrame:
     return out
 
 
+def blockwise(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges a, b of buckets (path, node, size) of any size, compared as pairs of blocks of BRUTE / 2 classes."""
+    half = BRUTE // 2
+    spread = rows.withColumn("blocks", F.ceil(F.col("size") / half).cast("int"))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = spread.select(F.concat_ws("-", "path", F.least("block", "k"), F.greatest("block", "k")).alias("tile"), "node").join(classes.select("node", "sig"), "node")
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("node")
+        nodes, pairs = frame["node"].to_numpy(), agreeing(_matrix(frame["sig"]))
+        return pd.DataFrame({"a": [nodes[i] for i, _ in pairs], "b": [nodes[j] for _, j in pairs]}, dtype="int64")
+
+    return tiles.groupBy("tile").applyInPandas(tile, "a long, b long")
+
+
+def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame, bool]:
+    """Missed edges of the audited classes (a, b), and whether the share of their pairs that was found meets RECALL."""
+    placed = classes.select("node", "sig").join(groups, "node", "left")
+    placed = materialize(placed.select("node", "sig", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone")), "audited")
+    order = [F.xxhash64("node", F.lit(seed)), F.col("node")]
+    asked = [r for alone in (False, True) for r in placed.where(F.col("alone") == alone).orderBy(*order).limit(AUDIT).collect()]  # 2 x AUDIT classes
+    held = classes.sparkSession.sparkContext.broadcast([(r.node, r.component, r.alone, bytes(r.sig)) for r in asked])
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries = [(n, c, alone, np.frombuffer(sig, dtype=np.uint32).astype(np.uint8)) for n, c, alone, sig in held.value]
+        for batch in batches:
+            nodes, comps = batch["node"].to_numpy(), batch["component"].to_numpy()
+            columns = np.ascontiguousarray(_matrix(batch["sig"]).astype(np.uint8))
+            a, b, kinds, found = [0, 0], [0, 0], [False, True], [0, 0]
+            for n, c, alone, sig in queries:
+                pair = (np.count_nonzero(columns == sig, axis=1) >= AUDITED * COORDINATES) & (nodes != n)
+                missed = nodes[pair & (comps != c)]
+                found[alone] += int(pair.sum()) - len(missed)
+                a += missed.tolist()
+                b += [n] * len(missed)
+                kinds += [alone] * len(missed)
+            yield pd.DataFrame({"a": a, "b": b, "alone": kinds, "found": found + [0] * (len(a) - 2)})
+
+    seen = materialize(placed.mapInPandas(look, "a long, b long, alone boolean, found long"), "audit")
+    there = seen.groupBy("alone").agg(F.sum("found").alias("found"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("missed")).collect()  # two rows
+    return seen.where("a <> b").select("a", "b"), all(r.found >= RECALL * (r.found + r.missed) for r in there)
+
+
+def near_components(classes: DataFrame) -> DataFrame:
+    """node, component of the classes that candidate edges join; runs go on until the audit is content."""
+    edges, more, run = candidates(classes), RUNS, RUNS
+    for attempt in itertools.count():
+        groups = materialize(components(edges), "near")
+        missed, enough = audit(classes, groups, attempt)
+        edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)
+        if enough:
+            return components(edges) if not missed.isEmpty() else groups
+        more = max(4, RUNS // 4)
+        edges, run = edges.unionByName(candidates(classes, run, more)), run + more
+
+
 def compare(rows: DataFrame) -> DataFrame:
     """rows: node, copies, component, shingles (binary). Returns node, links (rows linked), other (forest edge or null)."""
-    sizes = rows.groupBy("component").agg(F.count("*").alias("members"))
-    spread = rows.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / TILE).cast("int"))
+    sizes = rows.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("bytes") / TILE_BYTES))
+    sizes = materialize(sizes.select("component", F.least(blocks, F.col("members")).cast("int").alias("blocks")), "component-sizes")
+    spread = rows.join(sizes, "component")
     spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = spread.select("component", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "copies", "shingles")
+    # one key, so that the tiles of a large component are dealt to different tasks
+    key = F.concat_ws("-", "component", F.least("block", "k"), F.greatest("block", "k"))
+    tiles = spread.select(key.alias("tile"), "block", "node", "copies", "shingles")
 
-    def tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("node").sort_values("node")
         nodes, copies, block = frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["block"].to_numpy()
         sets = [np.frombuffer(s, dtype=np.uint64) for s in frame["shingles"]]
@@ -298,7 +371,7 @@ def compare(rows: DataFrame) -> DataFrame:
         meet = both.astype(np.int64)
         linked = SIMILAR[1] * meet >= SIMILAR[0] * (n[:, None] + n[None, :] - meet)
         np.fill_diagonal(linked, False)
-        if key[1] != key[2]:  # pairs inside a block belong to the block's own tile
+        if block.min() != block.max():  # pairs inside a block belong to the block's own tile
             linked &= block[:, None] != block[None, :]
         links = (linked * copies[None, :]).sum(axis=1)
         pairs = forest(linked)
@@ -309,7 +382,7 @@ def compare(rows: DataFrame) -> DataFrame:
         out["other"] = pd.array([None] * len(some) + b, dtype="Int64")
         return out.astype({"node": "int64", "links": "int64"})
 
-    return tiles.groupBy("component", "i", "j").applyInPandas(tile, "node long, links long, other long")
+    return tiles.groupBy("tile").applyInPandas(tile, "node long, links long, other long")
 
 
 def flagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -329,13 +402,15 @@ def mapped(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, text_key, class_id (smallest doc_id of its group), n_links (other rows linked directly)."""
+    """One row a document: doc_id, text_key, group (of linked sets; null without a set), class_id (smallest doc_id
+    of its group), n_links (other rows linked directly).
+    """
     rows = materialize(sketches(docs), "sketches")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min(F.struct("text_key", "doc_id")).alias("one"), F.first("sig").alias("sig")
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    near = components(candidates(classes))
+    near = near_components(classes)
     member = materialize(near.join(classes.select("node", "copies", "one", "set_key"), "node"), "members")
     wanted = member.select("node", "component", "copies", "set_key", F.col("one.text_key").alias("text_key"), F.col("one.doc_id").alias("one_id"))
 
@@ -346,22 +421,30 @@ def join(docs: DataFrame) -> DataFrame:
             out = batch[["node", "copies", "component"]].assign(shingles=[s.tobytes() for s in sets])
             yield out[same]
 
-    texts = mapped(keyed(docs), wanted).join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("one_id")))
+    # by text and doc_id, so that the copies of a hot text do not come together
+    texts = mapped(keyed(docs), wanted).withColumnRenamed("text_key", "own_key")
+    texts = texts.join(wanted, (F.col("own_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
     sets = texts.select("node", "copies", "component", "set_key", "text").mapInPandas(reread, "node long, copies long, component long, shingles binary")
-    found = materialize(compare(materialize(sets, "sets")), "links")
+    found = materialize(compare(materialize(sets.dropDuplicates(["node"]), "sets")), "links")
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = groups.join(classes.select("node", "first_id"), "node")
-    first = groups.groupBy("component").agg(F.min("first_id").alias("group_id"))
-    groups = groups.join(first, "component").select("node", "group_id")
+    first = materialize(groups.groupBy("component").agg(F.min("first_id").alias("group_id")), "first-ids")
+    groups = groups.join(first, "component").select("node", "component", "group_id")
     named = classes.select("set_key", "node", "first_id", "copies").join(groups, "node", "left").join(links, "node", "left")
-    named = named.select("set_key", F.coalesce("group_id", "first_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    out = rows.select("doc_id", "text_key", "set_key").join(named, "set_key", "left")
-    return out.select("doc_id", "text_key", F.coalesce("group_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    named = named.select(
+        "set_key", F.coalesce("component", "node").alias("group"), F.coalesce("group_id", "first_id").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n")
+    )
+    # rows of one hot set meet its class in a plain join of written tables, which adaptive execution splits; rows without a set meet nobody
+    rows = rows.select("doc_id", "text_key", "set_key")
+    there = rows.where("set_key is not null").join(materialize(named, "named"), "set_key").drop("set_key")
+    no = F.lit(None).cast("long")
+    out = there.unionByName(rows.where("set_key is null").select("doc_id", "text_key", no.alias("group"), no.alias("group_id"), F.lit(0).cast("long").alias("n")))
+    return out.select("doc_id", "text_key", "group", F.coalesce("group_id", "doc_id").alias("class_id"), F.col("n").cast("long").alias("n_links"))
 
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("text_key")
+    return join(table(spark, sf_dir, "documents")).drop("text_key", "group")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -371,9 +454,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text are one. Further columns stay; of rows equal in doc_id and text any one is taken.
     """
     found = materialize(join(docs), "placed")
-    alone = found.where("class_id is null")
+    alone = found.where("`group` is null")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    first = found.where("class_id is not null").groupBy("class_id").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("keep_id"), F.col("f.text_key").alias("text_key"))
+    first = found.where("`group` is not null").groupBy("group").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("keep_id"), F.col("f.text_key").alias("text_key"))
     first = materialize(first.unionByName(alone.select(F.col("doc_id").alias("keep_id"), "text_key").distinct()), "first")
     # only rows whose text is a copy, or comes again, move; all others are known to stay where they are read
     same = [found["text_key"] == first["text_key"], found["doc_id"].eqNullSafe(first["keep_id"])]
