@@ -35,9 +35,9 @@ def clean(text: Column | str) -> Column:
 
 def comparable(text: Column | str) -> Column:
     """The form in which quotes are compared: no soft hyphens, no hyphens between letters, no white space."""
-    no_soft = F.replace(_col(text), F.lit("­"), F.lit(""))
-    joined = F.regexp_replace(clean(no_soft), r"(?<=\p{L}) ?- ?(?=\p{L})", "")
-    return F.regexp_replace(joined, SPACE, "")
+    no_soft = F.replace(_col(text), F.lit("\u00ad"), F.lit(""))
+    joined = F.regexp_replace(no_soft, rf"(?<=\p{{L}})(?:{SPACE})?-(?:{SPACE})?(?=\p{{L}})", "")
+    return F.regexp_replace(F.when(F.contains(no_soft, F.lit("-")), joined).otherwise(no_soft), SPACE, "")
 
 
 def dedupe_key(text: Column | str) -> Column:

@@ -3,23 +3,55 @@
 Tables (Parquet): documents (id, publisher, title, url, language, doc_type, tags, scope, translation_of),
 versions (id, document_id, sha256, fetched_at, last_checked_at), chunks (id, version_id, ord, section_ref,
 heading_path, text, sha256), statements (id, chunk_id, verbatim_quote, summary, modality, applies_to,
-effective_from, topic). Time is a parameter, and every listing is in a total order.
+effective_from, topic; a row for each topic of a statement), and where there are any scopes (id, name, aliases).
+Time is a parameter, and every listing is in a total order.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import search, topics, versions
-from lectern.session import materialize
+from lectern.operators import index, search, topics, versions
+from lectern.session import materialize, shared_dir
 
 
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, path: str, doc_types: list[str] | None = None, modalities: list[str] | None = None):
+    """embed(rows, key, text) gives key and v: the place of an embedding model; the default hashes words."""
+
+    def __init__(self, spark: SparkSession, path: str, doc_types: list[str] | None = None, modalities: list[str] | None = None, embed: Callable[[DataFrame, str, str], DataFrame] = search.hash_vectors):
         self.spark, self.path = spark, path
-        self.doc_types, self.modalities = doc_types or [], modalities or []
+        self.doc_types, self.modalities, self.embed = doc_types or [], modalities or [], embed
+        self._indexes: dict[str, index.Index] = {}
+
+    def _index(self, name: str, rows: DataFrame, key: str, text: str, heading: str | None, embedded: str) -> index.Index:
+        """Built once and read by every search until the indexed rows change."""
+        mark = index.stamp(rows, key, *[c for c in (text, heading, embedded) if c])
+        if name not in self._indexes or self._indexes[name].stamp != mark:
+            embed = lambda r, k, _: self.embed(r, k, embedded)
+            made = index.build(rows, f"{shared_dir(self.spark)}/lectern/index-{uuid.uuid4().hex}", key, text, heading, embed)
+            made.stamp = mark
+            self._indexes[name] = made
+        return self._indexes[name]
+
+    def scopes(self) -> list:
+        """id, name and aliases of the registered scopes, a registry of checked size; none where the table is missing."""
+        try:
+            rows = self.table("scopes").select("id", "name", "aliases")
+        except AnalysisException:
+            return []
+        return sorted(search._batch(rows, "scopes"), key=lambda r: r.id)
+
+    def scopes_inferred(self, queries: DataFrame) -> DataFrame:
+        """query_id, only: the scopes whose name or alias a query names as whole words, by id."""
+        names = [(r.id, n) for r in self.scopes() for n in (r.name, *(r.aliases or []))]
+        rows = search.infer_scopes(queries, self.spark.createDataFrame(names, "scope string, name string"))
+        return rows.groupBy("query_id").agg(F.sort_array(F.collect_set("scope")).alias("only"))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -31,24 +63,48 @@ class KnowledgeBase:
         return self.table("chunks").withColumnRenamed("id", "chunk_id").join(now, "version_id").join(docs, "document_id")
 
     def search(self, queries: DataFrame, scopes: list | None = None, tags: list | None = None, topic: list | None = None, limit: int = 10) -> DataFrame:
-        """queries: query_id, query. The best sections of each, equal texts once, with an excerpt."""
+        """queries: query_id, query. The best sections of each, equal texts once, with an excerpt.
+
+        Without scopes those hold that a query names. Unknown scopes and topics are errors that list the known ones.
+        """
+        names = self.scopes()
+        if names:
+            scopes = search.resolve(scopes, [r.id for r in names], "scope")
+        if topic:
+            search.resolve(topic, [r.topic for r in search._batch(self.table("statements").select("topic").distinct(), "topics")], "topic")
         parts = materialize(self.sections(), "sections")
-        heading = F.concat_ws(" ", "section_ref", F.array_join("heading_path", " "))
-        parts_ = parts.withColumn("heading", heading)
-        posts = materialize(search.postings(parts_, "chunk_id", "text", "heading"), "postings")
-        scored = search.bm25(queries, posts, search.lengths_of(parts_, "chunk_id", "text", "heading"), "chunk_id")
-        keyword = search.ranked(scored, "chunk_id", search.CUT)
-        allowed = search.allowed(parts, self.table("statements"), scopes, tags, topic)
-        keyword = search.filtered_list(keyword, allowed, "chunk_id")
         indexed = F.concat_ws("\n", "title", F.concat_ws(" > ", "section_ref", F.array_join("heading_path", " > ")), "text")
-        vectors = search.hash_vectors(allowed.select("chunk_id", indexed.alias("indexed")), "chunk_id", "indexed")
-        asked = materialize(search.hash_vectors(queries, "query_id", "query").withColumnRenamed("v", "q"), "asked")
-        near = search.ranked(search.vector_scores(asked, vectors, "chunk_id").where("score > 0"), "chunk_id", search.KEPT)
-        fused = search.fuse({"section_keyword": keyword, "section_vector": near}, "chunk_id")
+        parts = parts.withColumns({"heading": F.concat_ws(" ", "section_ref", F.array_join("heading_path", " ")), "indexed": indexed})
+        stated = self.table("statements").withColumnRenamed("id", "statement_id").join(parts.select("chunk_id"), "chunk_id", "left_semi")
+        # a statement has a row for each of its topics
+        stated = materialize(stated.select("statement_id", "chunk_id", "summary", "verbatim_quote").dropDuplicates(["statement_id"]), "stated")
+        of_sections = self._index("sections", parts, "chunk_id", "text", "heading", "indexed")
+        of_statements = self._index("statements", stated, "statement_id", "verbatim_quote", "summary", "summary")
+        asked = queries.select("query_id", "query")
+        if names and not scopes:
+            asked = materialize(asked.join(self.scopes_inferred(asked), "query_id", "left"), "asked")
+        else:
+            asked = asked.withColumn("only", F.lit(None).cast("array<string>"))
+        allowed = search.allowed(parts, self.table("statements"), scopes, tags, topic)
+        words = sorted({w for r in names for n in (r.name, *(r.aliases or [])) for w in n.lower().split()})
+        dropped = F.array(*[F.lit(w) for w in words]) if words else None
+        fused = search.four_lists(asked, allowed, stated.select("statement_id", "chunk_id"), of_sections, of_statements, self.embed, dropped)
         rows = fused.join(parts.select("chunk_id", "document_id", "section_ref", "title", "url", "text", "sha256"), "chunk_id")
         rows = rows.withColumn("label", F.concat_ws(" ", "document_id", "section_ref")).withColumn("excerpt", T.excerpt("text")).drop("text")
         return search.collapse(rows, "sha256", "label", [F.desc("score"), F.col("chunk_id")], topics.clamp(limit, 50))
 
+    def answers(self, queries: DataFrame, **filters) -> DataFrame:
+        """One row a query: results in order, the scopes that were inferred (null where none were), and a note where nothing matches."""
+        found = self.search(queries, **filters)
+        columns = [c for c in found.columns if c != "query_id"]
+        rows = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("result_no", *[c for c in columns if c != "result_no"]))).alias("results"))
+        out = queries.select("query_id").join(rows, "query_id", "left")
+        if self.scopes() and not filters.get("scopes"):
+            out = out.join(self.scopes_inferred(queries).withColumnRenamed("only", "scopes_inferred"), "query_id", "left")
+        else:
+            out = out.withColumn("scopes_inferred", F.lit(None).cast("array<string>"))
+        return out.withColumn("note", F.when(F.col("results").isNull(), "nothing matches; what isn't found here should not be made up"))
+
     def get(self, document_id: str, section_ref: str) -> DataFrame:
         """One section, its parts joined; no row (and similar() to ask) if there is none."""
         mine = self.sections().where((F.col("document_id") == document_id) & ((F.col("section_ref") == section_ref) | F.startswith("section_ref", F.lit(section_ref + " (part "))))

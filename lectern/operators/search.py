@@ -6,10 +6,15 @@ one. Ties end in ids, so that every order is total.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.session import materialize
 
 #: Fixed values of the ranking.
 B25_K1, B25_B = 1.2, 0.75
@@ -50,7 +55,8 @@ def bm25(queries: DataFrame, posts: DataFrame, lengths: DataFrame, doc: str, dro
     fits = F.when(F.col("is_prefix"), F.col("term").startswith(F.col("wanted"))).otherwise(F.col("term") == F.col("wanted"))
     expanded = vocabulary.join(wanted, "stem").where(fits).select("phrase", "term")
     weighted = HEADING_WEIGHT * F.sum("tf_heading") + TEXT_WEIGHT * F.sum("tf_text")
-    hits = posts.join(expanded, "term").groupBy("phrase", doc).agg(weighted.alias("tf"))
+    # read twice below; a frequent term's postings meet few expanded terms, so the join sends those to all or is split
+    hits = materialize(posts.join(expanded, "term").groupBy("phrase", doc).agg(weighted.alias("tf")), "hits")
     spread = hits.groupBy("phrase").agg(F.count("*").alias("n_docs"))
     stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("n_docs") + 0.5) / (F.col("n_docs") + 0.5))
@@ -84,6 +90,11 @@ def owner_list(cut: DataFrame, owners: DataFrame, allowed: DataFrame | None, ite
     rows = cut.join(owners, item)
     if allowed is not None:
         rows = rows.join(allowed.select(owner), owner, "left_semi")
+    return first_owners(rows, owner, kept)
+
+
+def first_owners(rows: DataFrame, owner: str, kept: int = KEPT) -> DataFrame:
+    """query_id, owner, rank: each owner once, at its first place, ranked anew."""
     first = rows.groupBy("query_id", owner).agg(F.min("rank").alias("old"))
     order = Window.partitionBy("query_id").orderBy("old", owner)
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept).drop("old")
@@ -110,20 +121,102 @@ def hash_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
     return listed.select(key, F.transform(dims, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("norm")).alias("v"))
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, item: str, digits: int | None = None) -> DataFrame:
-    """Cosines of unit vectors: queries (query_id, q) against all vectors (item, v).
+#: Queries or quotes of one batch, and of all their vectors' numbers: what goes out to every task is at most 160 MB.
+QUERY_LIMIT, QUERY_NUMBERS = 20_000, 20_000_000
+
 
-    The stated query set is small and goes to every block of vectors; it is checked against QUERY_LIMIT.
+def _batch(rows: DataFrame, what: str) -> list:
+    """A stated set of rows whose size is checked before it is brought together."""
+    found = rows.limit(QUERY_LIMIT + 1).collect()
+    if len(found) > QUERY_LIMIT:
+        raise ValueError(f"more than {QUERY_LIMIT} {what}; split the batch")
+    return found
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, item: str, cut: int, digits: int | None = None, positive: bool = False, others: bool = False, scope: str | None = None) -> DataFrame:
+    """query_id, item, score, rank: of each query (query_id, q) the `cut` vectors (item, v) with the highest inner products.
+
+    The stated query set goes out to all blocks of vectors; a block is one matrix product and gives at most `cut`
+    rows a query, so pairs are never rows. Ties go to the smaller item. positive: scores over 0 only; others:
+    not the vector whose item is the query's own id; scope: a column of the vectors that must be among the query's
+    `only`, where that isn't empty. Vectors of another length are no candidates.
+    """
+    asked = [r for r in _batch(queries.select("query_id", "q", *["only"] if scope else []), "queries") if r.q]
+    if sum(len(r.q) for r in asked) > QUERY_NUMBERS:
+        raise ValueError("the queries' vectors are too large; split the batch")
+    key = queries.schema["query_id"].dataType.simpleString()
+    kind = vectors.schema[item].dataType.simpleString()
+    schema = f"query_id {key}, {item} {kind}, score double"
+    ids = [r.query_id for r in asked]
+    sizes: dict[int, list[int]] = {}
+    for k, r in enumerate(asked):
+        sizes.setdefault(len(r.q), []).append(k)
+    matrices = {n: (np.array(at), np.array([asked[k].q for k in at], dtype=np.float64)) for n, at in sizes.items()}
+    held = queries.sparkSession.sparkContext.broadcast(matrices)
+
+    only = [frozenset(r.only or ()) if scope else frozenset() for r in asked]
+
+    def best(scores: np.ndarray, names: np.ndarray, k: int, scopes: pd.Series | None) -> np.ndarray:
+        """The places of the best `cut`, by score and then by name."""
+        ok = (scores > (0 if positive else -np.inf)) & (names != ids[k] if others else True)
+        live = np.flatnonzero(ok & scopes.isin(only[k]).to_numpy() if only[k] else ok)
+        if len(live) > cut:
+            bar = np.partition(scores[live], len(live) - cut)[len(live) - cut]
+            live = live[scores[live] >= bar]
+        return live[np.lexsort((names[live], -scores[live]))][:cut]
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch["v"].map(lambda v: -1 if v is None else len(v))
+            for n, (at, q) in held.value.items():
+                part = batch[lengths == n]
+                for lo in range(0, len(part), 2048):
+                    some = part.iloc[lo : lo + 2048]
+                    names = some[item].to_numpy()
+                    scores = q @ np.array(some["v"].tolist(), dtype=np.float64).T
+                    scores = np.round(scores, digits) if digits else scores
+                    picked = [best(scores[i], names, k, some[scope] if scope else None) for i, k in enumerate(at)]
+                    yield pd.DataFrame({
+                        "query_id": [ids[k] for k, p in zip(at, picked) for _ in p], item: names[np.concatenate(picked)], "score": np.concatenate([scores[i][p] for i, p in enumerate(picked)]),
+                    })
+
+    return ranked(vectors.select(item, "v", *[scope] if scope else []).mapInPandas(block, schema), item, cut)
+
+
+def containing(texts: DataFrame, key: str, text: str, quotes: DataFrame) -> DataFrame:
+    """quote_id, key for every text that holds a quote (quote_id, quote); an empty quote is in every text.
+
+    The first ANCHOR characters of all quotes are looked for in one pass over a text, however many quotes there
+    are; where one stands the whole quote is compared.
     """
-    if queries.limit(QUERY_LIMIT + 1).count() > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} queries; split the batch")
-    score = T.dot(F.col("q"), F.col("v"))
-    rows = vectors.select(item, "v").join(F.broadcast(queries.select("query_id", "q")), F.lit(True))
-    return rows.select("query_id", item, (F.round(score, digits) if digits else score).alias("score"))
+    asked = _batch(quotes.select("quote_id", "quote").where("quote is not null"), "quotes")
+    kind, name = quotes.schema["quote_id"].dataType.simpleString(), texts.schema[key].dataType.simpleString()
+    held = texts.sparkSession.sparkContext.broadcast([(r.quote_id, r.quote) for r in asked])
 
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
 
-#: Vectors of a batch of queries that are broadcast: 100,000 of 1,024 floats are 400 MB.
-QUERY_LIMIT = 20_000
+        machine, by_anchor, always = ahocorasick.Automaton(), {}, []
+        for i, quote in held.value:
+            by_anchor.setdefault(quote[:ANCHOR], []).append((i, quote)) if quote else always.append(i)
+        for anchor in by_anchor:
+            machine.add_word(anchor, anchor)
+        machine.make_automaton()
+        for batch in batches:
+            found = []
+            for k, t in zip(batch[key], batch[text]):
+                if t is None:
+                    continue
+                # of an anchor's quotes all that are somewhere in the text, asked once for each anchor
+                anchors = {a for _, a in machine.iter(t)} if by_anchor else ()
+                found += [(i, k) for a in anchors for i, quote in by_anchor[a] if quote in t] + [(i, k) for i in always]
+            yield pd.DataFrame(found, columns=["quote_id", key])
+
+    return texts.select(key, text).mapInPandas(look, f"quote_id {kind}, {key} {name}")
+
+
+#: Characters of a quote that are looked for first.
+ANCHOR = 48
 
 
 def fuse(lists: dict[str, DataFrame], item: str, weights: dict[str, float] = WEIGHTS, k: int = RRF_K) -> DataFrame:
@@ -137,6 +230,48 @@ def fuse(lists: dict[str, DataFrame], item: str, weights: dict[str, float] = WEI
     return rows.groupBy("query_id", item).agg(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("score"))
 
 
+def four_lists(queries: DataFrame, sections: DataFrame, statements: DataFrame, section_index, statement_index, embed, dropped: Column | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score: keywords and vectors of sections and of statements, fused by reciprocal ranks.
+
+    queries: query_id, query, only (scopes to keep to; empty: all). sections: chunk_id, scope of what may be found;
+    statements: statement_id, chunk_id. The indexes hold both by these ids. Keyword lists and the statements' vector
+    list are cut before they are filtered, the sections' vector list after; a statement stands for its section. `dropped`
+    words are no keywords. digits: scores are rounded before they are ranked.
+    """
+    allowed = materialize(sections.select("chunk_id", "scope"), "allowed")
+    per = queries.select("query_id", F.coalesce("only", F.array().cast("array<string>")).alias("only"))
+
+    def permitted(rows: DataFrame) -> DataFrame:
+        mine = rows.join(allowed, "chunk_id").join(per, "query_id")
+        return mine.where((F.size("only") == 0) | F.array_contains("only", F.col("scope"))).select("query_id", "chunk_id", "rank")
+
+    def keywords(index, item: str) -> DataFrame:
+        scored = bm25(queries.select("query_id", "query"), index.postings, index.lengths, item, dropped)
+        return ranked(scored.withColumn("score", F.round("score", digits)) if digits else scored, item, CUT)
+
+    asked = embed(queries.select("query_id", "query"), "query_id", "query").withColumnRenamed("v", "q")
+    asked = materialize(asked.join(per, "query_id"), "asked")
+    lists = {
+        "section_keyword": filtered_list(permitted(keywords(section_index, "chunk_id")), None, "chunk_id"),
+        "statement_keyword": first_owners(permitted(keywords(statement_index, "statement_id").join(statements, "statement_id")), "chunk_id"),
+        "section_vector": vector_topk(asked, section_index.vectors.join(allowed, "chunk_id"), "chunk_id", KEPT, digits, scope="scope"),
+        "statement_vector": first_owners(permitted(vector_topk(asked, statement_index.vectors, "statement_id", CUT, digits).join(statements, "statement_id")), "chunk_id"),
+    }
+    return fuse(lists, "chunk_id")
+
+
+def resolve(asked: list[str] | None, known: list[str], what: str) -> list[str] | None:
+    """Names as they are registered, found whatever their case; an unknown one is an error that lists the known."""
+    if not asked:
+        return None
+    if not known:
+        raise ValueError(f"there are no {what}s here; leave them out")
+    by_lower = {k.lower(): k for k in sorted(known)}
+    if unknown := [a for a in asked if a.lower() not in by_lower]:
+        raise ValueError(f"unknown {what}s {unknown}; known: {', '.join(by_lower.values())}")
+    return [by_lower[a.lower()] for a in asked]
+
+
 def collapse(results: DataFrame, digest: str, label: str, order: list[Column], limit: int, by: str = "query_id") -> DataFrame:
     """The best row of each text and query, with the labels of later copies in order, first `limit` of a query.
 

@@ -46,10 +46,10 @@ SELECT item_id, doc_id, sha256(substr(text, greatest(pos - 1500, 1), greatest(po
 )
 def judge_windows(spark: SparkSession, d: str) -> DataFrame:
     """What a judge gets to read: the text around each quote."""
-    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    if quotes.count() > search.QUERY_LIMIT:
-        raise ValueError("too many quotes for one batch")
-    rows = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(quotes), F.contains("text", F.col("quote")))
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    held = search.containing(texts, "doc_id", "text", quotes).distinct()
+    rows = texts.join(held, "doc_id").join(quotes, "quote_id").withColumnRenamed("quote_id", "item_id")
     return rows.select("item_id", "doc_id", T.sha(audit.window_around("text", "quote")).alias("sha256"))
 
 

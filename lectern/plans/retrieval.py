@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import audit, search, topics
+from lectern.operators import audit, index, search, topics
 from lectern.session import materialize, table
 
 QUERIES: dict = {}
@@ -51,10 +51,8 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    posts = materialize(search.postings(docs, "doc_id", "text"), "postings")
-    lengths = materialize(search.lengths_from(posts, docs, "doc_id"), "lengths")
-    return search.bm25(questions(spark, d), posts, lengths, "doc_id").withColumn("score", F.round("score", 6))
+    held = index.of(spark, d, lambda: table(spark, d, "documents"), "doc_id", "text")
+    return search.bm25(questions(spark, d), held.postings, held.lengths, "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM kw WHERE rank <= 10")
@@ -82,8 +80,7 @@ def knn_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: every vector whose id is divisible by 50, against all others."""
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    scored = search.vector_scores(asked, rows, "vec_id", 6).where("query_id <> vec_id")
-    return search.ranked(scored, "vec_id", 10).select("query_id", "vec_id", "score", "rank")
+    return search.vector_topk(asked, rows, "vec_id", 10, 6, others=True).select("query_id", "vec_id", "score", "rank")
 
 
 _HYBRID = f"""{_BM25}, {_EMBED.format(t="documents", k="doc_id")}, {_EMBED.format(t="benchmark", k="item_id")},
@@ -96,9 +93,8 @@ rk AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PAR
 def fused(spark: SparkSession, d: str) -> DataFrame:
     keyword = search.ranked(keyword_scores(spark, d), "doc_id", search.KEPT)
     asked = search.hash_vectors(questions(spark, d), "query_id", "query").withColumnRenamed("v", "q")
-    vectors = materialize(search.hash_vectors(table(spark, d, "documents"), "doc_id", "text"), "vectors")
-    near = search.vector_scores(materialize(asked, "asked"), vectors, "doc_id", 6).where("score > 0")
-    near = search.ranked(near, "doc_id", search.KEPT)
+    held = index.of(spark, d, lambda: table(spark, d, "documents"), "doc_id", "text")
+    near = search.vector_topk(asked, held.vectors, "doc_id", search.KEPT, 6, positive=True)
     out = search.fuse({"section_keyword": keyword, "section_vector": near}, "doc_id")
     return out.withColumn("score", F.round("score", 9))
 
@@ -107,6 +103,67 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked(fused(spark, d), "doc_id", 10).select("query_id", "doc_id", "score", "rank")
 
+_SCOPES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
+_SCOPED = "text || CASE item_id % 3 WHEN 0 THEN ' in French' WHEN 1 THEN ' in English or German' ELSE '' END"
+
+
+def _bm25_sql(p: str, source: str, key: str) -> str:
+    """The keyword ranking of `source` (key, text) for the questions of qq, in tables that end in _p."""
+    dropped = ", ".join(f"'{w.lower()}'" for w in _SCOPES.values())
+    return f"""
+tok_{p} AS (SELECT {key}, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {source}),
+post_{p} AS (SELECT term, {key}, count(*) AS tf FROM tok_{p} GROUP BY 1, 2),
+len_{p} AS (SELECT d.{key}, coalesce(n, 0) AS dl FROM (SELECT DISTINCT {key} FROM {source}) d LEFT JOIN (SELECT {key}, count(*) AS n FROM tok_{p} GROUP BY 1) USING ({key})),
+stat_{p} AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM len_{p}),
+ph_{p} AS (SELECT DISTINCT item_id AS query_id, phrase, lower(strip_accents(phrase)) AS wanted, length(phrase) >= 4 AS pre
+  FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS phrase FROM qq) WHERE length(phrase) > 1 AND phrase NOT IN ({_STOP}, {dropped})),
+ex_{p} AS (SELECT query_id, phrase, term FROM (SELECT DISTINCT term FROM post_{p}) v JOIN ph_{p} ON CASE WHEN pre THEN starts_with(term, wanted) ELSE term = wanted END),
+hit_{p} AS (SELECT query_id, phrase, {key}, sum(tf)::DOUBLE AS tf FROM post_{p} JOIN ex_{p} USING (term) GROUP BY 1, 2, 3),
+spr_{p} AS (SELECT query_id, phrase, CASE WHEN ln((n - k + 0.5) / (k + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - k + 0.5) / (k + 0.5)) END AS idf, avgdl FROM (SELECT query_id, phrase, count(*) AS k FROM hit_{p} GROUP BY 1, 2), stat_{p}),
+bm_{p} AS (SELECT query_id, {key}, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ORDER BY phrase) AS score FROM hit_{p} JOIN spr_{p} USING (query_id, phrase) JOIN len_{p} USING ({key}) GROUP BY 1, 2),
+kw_{p} AS (SELECT query_id, {key}, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, {key}) AS rank FROM bm_{p})"""
+
+
+def _near_sql(p: str, source: str, key: str, where: str) -> str:
+    return f"""
+vc_{p} AS (SELECT query_id, {key}, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM (
+  SELECT q.id AS query_id, v.id AS {key}, round(coalesce(s, 0), 6) AS score FROM (SELECT DISTINCT id FROM e_qq) q CROSS JOIN (SELECT DISTINCT id FROM e_{source}) v
+  LEFT JOIN (SELECT q.id AS a, v.id AS b, sum(q.x * v.x ORDER BY q.dim) AS s FROM e_qq q JOIN e_{source} v USING (dim) GROUP BY 1, 2) ON a = q.id AND b = v.id) {where})"""
+
+
+@query(
+    f"""
+WITH qq AS (SELECT item_id, {_SCOPED} AS text FROM benchmark), st AS (SELECT conv_id * 100000 + turn AS statement_id, conv_id AS doc_id, text FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents)),
+sco AS (SELECT item_id AS query_id, scope FROM qq, (VALUES {", ".join(f"('{k}', '{v.lower()}')" for k, v in _SCOPES.items())}) n(scope, name) WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' ', ' ' || name || ' ')),
+perm AS (SELECT item_id AS query_id, doc_id FROM qq, documents WHERE item_id NOT IN (SELECT query_id FROM sco) OR lang IN (SELECT scope FROM sco WHERE query_id = item_id)),
+{_bm25_sql("d", "documents", "doc_id")}, {_bm25_sql("s", "st", "statement_id")},
+{_EMBED.format(t="documents", k="doc_id")}, {_EMBED.format(t="st", k="statement_id")}, {_EMBED.format(t="qq", k="item_id")},
+{_near_sql("d", "documents", "doc_id", "SEMI JOIN perm USING (query_id, doc_id)")}, {_near_sql("s", "st", "statement_id", "")},
+l1 AS (SELECT query_id, doc_id, 0 AS o, 0.5 AS w, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM kw_d SEMI JOIN perm USING (query_id, doc_id) WHERE rank <= 1000),
+l2 AS (SELECT query_id, doc_id, 1 AS o, 0.5 AS w, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), doc_id) AS r FROM kw_s JOIN st USING (statement_id) SEMI JOIN perm USING (query_id, doc_id) WHERE rank <= 1000 GROUP BY 1, 2),
+l3 AS (SELECT query_id, doc_id, 2 AS o, 3.0 AS w, rank AS r FROM vc_d),
+l4 AS (SELECT query_id, doc_id, 3 AS o, 1.0 AS w, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), doc_id) AS r FROM vc_s JOIN st USING (statement_id) SEMI JOIN perm USING (query_id, doc_id) WHERE rank <= 1000 GROUP BY 1, 2),
+fu AS (SELECT query_id, doc_id, sum(w::DOUBLE / (10 + r) ORDER BY o) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4) WHERE r <= 200 GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fu) WHERE rank <= 10"""
+)
+def search_four_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as sections of a scope each, turns as statements on them; questions name scopes in words."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(_SCOPED).alias("query"))
+    names = spark.createDataFrame(list(_SCOPES.items()), "scope string, name string")
+    only = search.infer_scopes(asked, names).groupBy("query_id").agg(F.sort_array(F.collect_set("scope")).alias("only"))
+    asked = materialize(asked.join(only, "query_id", "left"), "questions")
+    docs = table(spark, d, "documents")
+    owner = docs.select(F.col("doc_id").alias("conv_id")).distinct()
+    stated = table(spark, d, "conversations").join(owner, "conv_id", "left_semi")
+    stated = stated.select((F.col("conv_id") * 100000 + F.col("turn")).alias("statement_id"), F.col("conv_id").alias("chunk_id"), "text")
+    parts = index.of(spark, d, lambda: docs, "doc_id", "text").renamed("doc_id", "chunk_id")
+    about = index.of(spark, d + "#turns", lambda: stated, "statement_id", "text")
+    sections = docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("scope"))
+    dropped = F.array(*[F.lit(w.lower()) for w in _SCOPES.values()])
+    found = search.four_lists(asked, sections, stated.select("statement_id", "chunk_id"), parts, about, search.hash_vectors, dropped, 6)
+    out = search.ranked(found.withColumn("score", F.round("score", 9)), "chunk_id", 10)
+    return out.select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
+
 
 @query(
     f"""WITH {_HYBRID}, dg AS (SELECT query_id, d.doc_id, rank, sha256(coalesce(text, '')) AS digest FROM rk JOIN documents d USING (doc_id)),
@@ -141,9 +198,9 @@ def allowed_set(spark: SparkSession, d: str) -> DataFrame:
     return search.allowed(chunks, topic, ["en", "fr"], ["fr", "src1", "src2", "src3"], ["good"]).select(F.col("chunk_id").alias("doc_id"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti_translated(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("translation_of"), F.lit(None).cast("long").alias("c_custkey"))
+    done = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("translation_of"), F.lit(None).cast("long").alias("c_custkey"))
     rows = table(spark, d, "customer").select("c_custkey", F.lit(None).cast("long").alias("translation_of")).unionByName(done)
     return topics.untranslated(rows, "c_custkey").where("c_custkey is not null").select("c_custkey")
 
@@ -223,11 +280,9 @@ _EXPECTED = f"SELECT item_id AS query_id, doc_id FROM (SELECT item_id, {_COMPARA
 @query(f"SELECT query_id AS item_id, doc_id FROM ({_EXPECTED})")
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
     """All quotes of a registry of checked size against all texts, whatever white space and hyphens do."""
-    quotes = materialize(table(spark, d, "benchmark").select("item_id", T.comparable("text").alias("q")), "quotes")
-    if quotes.count() > search.QUERY_LIMIT:
-        raise ValueError("too many quotes for one batch")
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), T.comparable("text").alias("quote"))
     texts = table(spark, d, "documents").select("doc_id", T.comparable("text").alias("t"))
-    return texts.join(F.broadcast(quotes), F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    return search.containing(texts, "doc_id", "t", quotes).select(F.col("quote_id").alias("item_id"), "doc_id")
 
 
 @query(

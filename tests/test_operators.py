@@ -210,7 +210,19 @@ def test_knowledge_base(spark, tmp_path):
     assert topics.clamp(500, 50) == 50
     from lectern.__main__ import evaluate
 
-    golden = spark.createDataFrame([(1, "recall of food", "code*", "code ?"), (2, "kosmetik", "code", "*")], "query_id int, query string, source_glob string, section_glob string")
+    # scopes: named in the query, or asked for whatever their case; unknown ones are errors that list the known
+    spark.createDataFrame([("GB", "Britain", ["UK"]), ("SE", "Sweden", [])], "id string, name string, aliases array<string>").write.parquet(f"{tmp_path}/scopes")
+    named = spark.createDataFrame([(1, "recall in Sweden"), (2, "recall of food")], "query_id int, query string")
+    answers = {r.query_id: r for r in kb.answers(named).collect()}
+    assert answers[1].scopes_inferred == ["SE"] and {x.document_id for x in answers[1].results} == {"lag"}
+    assert answers[2].scopes_inferred is None and answers[2].results[0].document_id == "code" and answers[2].note is None
+    assert {r.document_id for r in kb.search(named, scopes=["gb"]).collect()} == {"code"}
+    assert kb.answers(named, tags=["toys"]).first().note
+    with pytest.raises(ValueError, match="GB, SE"):
+        kb.search(named, scopes=["FR"])
+    with pytest.raises(ValueError, match="recalls"):
+        kb.search(named, topic=["nothing"])
+    golden = spark.createDataFrame([(1, "recall of food", "code*", "code ?"), (2, "kosmetik", "nowhere", "*")], "query_id int, query string, source_glob string, section_glob string")
     assert {r.query_id: (r.hit, r.first_rank) for r in evaluate(kb, golden).collect()} == {1: (True, 1), 2: (False, None)}
 
 
