@@ -106,3 +106,51 @@ def hit_rate(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """
     hits = results.where(F.col("rank") <= k).join(expected, ["query_id", "place"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return expected.select("query_id").distinct().join(hits, "query_id", "left").withColumn("hit", F.col("first_rank").isNotNull())
+
+
+def source_signals(sources: DataFrame, versions: DataFrame, chunks: DataFrame, statements: DataFrame, key: str, prompt: str, as_of: str) -> DataFrame:
+    """The signals of a source beside those of `structure`: versions, age in days of the last check, statements, sections
+    without any, statements of another prompt version and statements on sections of earlier versions.
+
+    versions: key, version_id, checked, is_current. chunks: key, chunk_id of current versions. statements: chunk_id, key,
+    prompt_version, stale. All counts are zero where there is nothing.
+    """
+    seen = versions.groupBy(key).agg(F.count("*").alias("versions"), F.datediff(F.lit(as_of).cast("date"), F.max("checked").cast("date")).alias("age_days"))
+    fresh = statements.where("not stale").select("chunk_id").distinct().withColumn("has", F.lit(1))
+    bare = chunks.join(fresh, "chunk_id", "left").groupBy(key).agg(F.count_if(F.col("has").isNull()).alias("without_statements"))
+    said = statements.groupBy(key).agg(
+        F.count_if(~F.col("stale")).alias("statements"), F.count_if(~F.col("stale") & ~F.col("prompt_version").eqNullSafe(F.lit(prompt))).alias("old_prompt"), F.count_if("stale").alias("stale")
+    )
+    out = sources.join(seen, key, "left").join(bare, key, "left").join(said, key, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("versions", "without_statements", "statements", "old_prompt", "stale")})
+
+
+def agreement(base: DataFrame, rerun: DataFrame, sections: DataFrame, section: str, topic: str, modality: str) -> DataFrame:
+    """How two readings of the same sections agree: a row for each section that either has statements on.
+
+    n_base, n_rerun, topics (Jaccard of the sets of topics), modalities (share of the base's that come again), equal and
+    close (counts within max(1, a quarter)).
+    """
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(section).agg(F.count("*").alias(f"n_{name}"), F.sort_array(F.collect_set(topic)).alias(f"t_{name}"))
+
+    met = side(base, "base").join(side(rerun, "rerun"), section, "full_outer").join(sections.select(section).distinct(), section, "left_semi")
+    again = modality_agreement(base, rerun, section, modality).withColumnRenamed("agreement", "modalities")
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce("n_base", F.lit(0)), F.coalesce("n_rerun", F.lit(0))
+    met = met.withColumns({"topics": T.jaccard(F.coalesce("t_base", none), F.coalesce("t_rerun", none)), "n_base": a, "n_rerun": b})
+    met = met.join(again, section, "left").withColumn("modalities", F.coalesce("modalities", F.lit(1.0)))
+    return met.select(section, "n_base", "n_rerun", "topics", "modalities", (F.col("n_base") == F.col("n_rerun")).alias("equal"), close_counts(F.col("n_base"), F.col("n_rerun")).alias("close"))
+
+
+def agreement_summary(rows: DataFrame) -> DataFrame:
+    """One row: sections, mean and median of topics, mean of modalities, shares of equal and close counts."""
+    return rows.agg(
+        F.count("*").alias("sections"), F.avg("topics").alias("mean_topics"), F.percentile("topics", F.lit(0.5)).alias("median_topics"), F.avg("modalities").alias("mean_modalities"),
+        F.avg(F.col("equal").cast("double")).alias("share_equal"), F.avg(F.col("close").cast("double")).alias("share_close"),
+    )
+
+
+def worst(rows: DataFrame, section: str, n: int) -> DataFrame:
+    """A report of the n sections that agree least."""
+    return rows.orderBy("topics", "modalities", section).limit(n)

@@ -25,6 +25,42 @@ def message(columns: dict[str, str], heading: str, text: str) -> Column:
     return F.concat_ws("\n", *lines, F.concat(F.lit("Headings: "), path), F.concat(F.lit("<section>\n"), F.col(text), F.lit("\n</section>")))
 
 
+def system_prompt(base: str, modalities: list[str], topics: list[tuple[str, str]]) -> tuple[str, str]:
+    """The system prompt of a domain, and its version: 12 hexadecimal digits that change with any word of it."""
+    import hashlib
+
+    lines = [base.strip(), "", "Modalities: " + ", ".join(modalities), "Topics:", *[f"- {i}: {label}" for i, label in topics]]
+    prompt = "\n".join(lines)
+    return prompt, hashlib.sha256(prompt.encode()).hexdigest()[:12]
+
+
+def eligibility(ref: str, text: str, skip: str | None = None, matching: str | None = None) -> Column:
+    """Why a section isn't read: preamble, skipped (its reference begins with `skip`), unmatched (its text lacks `matching`); else null."""
+    why = F.when(F.col(ref).startswith("(preamble)"), "preamble")
+    why = why.when(F.col(ref).rlike(f"^(?:{T.java_regex(skip)})"), "skipped") if skip else why
+    return why.when(~F.coalesce(F.col(text).rlike(T.java_regex(matching)), F.lit(False)), "unmatched") if matching else why
+
+
+def selected(rows: DataFrame, source: str, wanted: list[str] | None) -> DataFrame:
+    """Rows of the wanted sources; an unknown source is an error."""
+    if not wanted:
+        return rows
+    known = {r[0] for r in rows.where(F.col(source).isin(wanted)).select(source).distinct().collect()}  # of the wanted ones at most
+    if unknown := sorted(set(wanted) - known):
+        raise ValueError(f"unknown sources {unknown}")
+    return rows.where(F.col(source).isin(wanted))
+
+
+def outcomes(sections: DataFrame, kept: Column, rejected: Column) -> DataFrame:
+    """sections (why, cached, error) with `outcome`: what a run does to each section's statements.
+
+    Sections that aren't read keep theirs, but skipped ones lose them; a failed call leaves the old ones; an output of
+    which every record was rejected clears them.
+    """
+    read = F.when(F.col("error").isNotNull(), "failed: kept").when(kept > 0, "stored").when(rejected > 0, "rejected: cleared").otherwise("none: cleared")
+    return sections.withColumn("outcome", F.when(F.col("why") == "skipped", "skipped: cleared").when(F.col("why").isNotNull(), "not read").otherwise(read))
+
+
 def cached(sections: DataFrame, memo: DataFrame, key: list[str]) -> DataFrame:
     """Sections with the memo's output, null where the model has to be called."""
     return sections.join(memo, key, "left")

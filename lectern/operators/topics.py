@@ -83,3 +83,23 @@ def standing(doc_type: str, translation_of: str, non_binding: list[str]) -> Colu
     translated = F.col(translation_of).isNotNull()
     known = translated | F.lit(bool(non_binding))
     return F.when(known, ~translated & ~F.col(doc_type).isin(non_binding))
+
+
+def statement_rows(statements: DataFrame, topic_rows: DataFrame, originals: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Statements with their topics (joined by commas, in order) and, for translations, the original's label; `n` numbers
+    them in each section by `order`.
+
+    topic_rows: key, topic. originals: original_id, label. What isn't set is null, so that JSON leaves it out.
+    """
+    listed = topic_rows.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("topic")), ",").alias("topics"))
+    rows = statements.join(listed, key, "left").join(originals.withColumnRenamed("label", "original"), "original_id", "left")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).drop("original_id")
+
+
+def sources_full(listing: DataFrame, trust: DataFrame, notes: DataFrame, key: str, doc_type: str, translation_of: str, non_binding: list[str]) -> DataFrame:
+    """A listing with level and reason (trust: key, level, reason), whether each document binds, and the notes on its type
+    (notes: doc_type, note), joined with what is said of translations.
+    """
+    rows = listing.join(trust, key, "left").join(notes, doc_type, "left")
+    said = F.concat_ws("; ", "note", F.when(F.col(translation_of).isNotNull(), "a translation; its original binds"))
+    return rows.withColumns({"binding": standing(doc_type, translation_of, non_binding), "note": F.nullif(said, F.lit(""))})

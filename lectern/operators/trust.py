@@ -39,3 +39,28 @@ def quality(documents: DataFrame, chunks: DataFrame, statements: DataFrame, key:
     names = ["sections", "covered", "statements", "verified"]
     out = out.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in names})
     return out.withColumn("evidence", F.when(evidence, F.col("verified")).otherwise(0).cast("long"))
+
+
+def reason(provenance: Column, official: Column, binding: Column, vetted: Column, disputed: Column) -> Column:
+    """One line that says why a document has its level."""
+    base = F.when(~provenance, "the publisher is unknown or the host isn't its own").when(official & binding, "an official publisher's binding document").otherwise("a known publisher")
+    return F.when(disputed, "a reviewer disputes it").when(vetted, F.concat(base, F.lit("; vetted"))).otherwise(base)
+
+
+def review_problem(verdict: Column, note: Column, version: Column) -> Column:
+    """Why a review can't be recorded, or null: the verdict is none, a dispute has no note, nothing was fetched."""
+    return (
+        F.when(~F.coalesce(verdict.isin("vetted", "disputed"), F.lit(False)), "the verdict is unknown")
+        .when((verdict == "disputed") & (F.trim(F.coalesce(note, F.lit(""))) == ""), "a dispute needs a note")
+        .when(version.isNull(), "there is no fetched version")
+    )
+
+
+def record(reviews: DataFrame, incoming: DataFrame, current: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:
+    """Reviews with the incoming ones (document, reviewer, verdict, note, created_at) on each document's current version
+    (document, version_id), and the incoming ones that are refused, with `problem`.
+    """
+    met = incoming.join(current.select(document, "version_id"), document, "left")
+    met = met.withColumn("problem", review_problem(F.col("verdict"), F.col("note"), F.col("version_id")))
+    taken = met.where("problem is null").select("version_id", "reviewer", "verdict", "note", "created_at")
+    return reviews.unionByName(taken), met.where("problem is not null")

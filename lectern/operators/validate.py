@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
-SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
+SLUG = r"^[a-z0-9]+(?:[_-][a-z0-9]+)*$"
 LANGUAGE = r"^[a-z]{2}$"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 HOST = rf"^{_LABEL}(?:\.{_LABEL})+$"
@@ -64,7 +66,7 @@ def translations(rows: DataFrame) -> DataFrame:
 def scopes(rows: DataFrame) -> DataFrame:
     """Rules on scopes: id, name, languages."""
     rules = [
-        ("scope.id", ~F.col("id").rlike(r"^[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*$"), "the id is no name"),
+        ("scope.id", ~F.col("id").rlike(r"^[A-Za-z0-9]+(?:[_-][A-Za-z0-9]+)*$"), "the id is no name"),
         ("scope.name", F.trim(F.coalesce("name", F.lit(""))) == "", "the name is missing"),
         ("scope.languages", (F.size("languages") < 1) | F.exists("languages", lambda x: ~x.rlike(LANGUAGE)), "languages are missing or wrong"),
     ]
@@ -92,3 +94,109 @@ def publishers(rows: DataFrame) -> DataFrame:
         ("publisher.domains", (F.size("domains") < 1) | F.exists("domains", lambda x: ~x.rlike(HOST)), "domains are missing or no lower-case hosts"),
     ]
     return row_rules(rows, "publisher", rules).unionByName(duplicates(rows, F.trim("publisher"), "publisher.unique"))
+
+
+_BLANK = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+
+
+def fields(rows: DataFrame, entity: str, names: str, known: list[str], required: list[str], rule: str) -> DataFrame:
+    """Rules on the names of an entry's fields (an array): none that is unknown, all that are required."""
+    words = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return row_rules(rows, entity, [
+        (f"{rule}.fields", F.size(F.array_except(names, words(known))) > 0, "fields are unknown"),
+        (f"{rule}.required", F.size(F.array_except(words(required), names)) > 0, "fields are missing"),
+    ])
+
+
+def slugs(rows: DataFrame, entity: str, column: str, rule: str) -> DataFrame:
+    """Rules on a list of slugs: some, each a slug, none twice."""
+    return row_rules(rows, entity, [
+        (f"{rule}.some", F.coalesce(F.size(column) < 1, F.lit(True)), "the list is empty"),
+        (f"{rule}.slug", F.exists(column, lambda x: ~x.rlike(SLUG)), "an item is no slug"),
+        (f"{rule}.once", F.size(F.array_distinct(column)) < F.size(column), "items repeat"),
+    ])
+
+
+def doc_types(rows: DataFrame) -> DataFrame:
+    """Rules on document types: id, binding, note. What doesn't bind has to say why."""
+    rules = [
+        ("doc_type.id", ~F.coalesce(F.col("id").rlike(SLUG), F.lit(False)), "the id is no slug"),
+        ("doc_type.note", F.col("note").isNotNull() & _BLANK("note"), "the note is empty"),
+        ("doc_type.binding", ~F.coalesce("binding", F.lit(True)) & F.col("note").isNull(), "a type that doesn't bind needs a note"),
+    ]
+    return row_rules(rows, "id", rules).unionByName(duplicates(rows, F.col("id"), "doc_type.unique"))
+
+
+def terms(rows: DataFrame, rule: str) -> DataFrame:
+    """Rules on modalities or topics: id, label."""
+    rules = [(f"{rule}.id", ~F.coalesce(F.col("id").rlike(SLUG), F.lit(False)), "the id is no slug"), (f"{rule}.label", _BLANK("label"), "the label is missing")]
+    return row_rules(rows, "id", rules).unionByName(duplicates(rows, F.col("id"), f"{rule}.unique"))
+
+
+def domain_availability(rows: DataFrame) -> DataFrame:
+    """Rules on a domain's availability: id, has_scopes, tags, domain_tags, statuses."""
+    return row_rules(rows, "id", [
+        ("domain.availability_scopes", ~F.col("has_scopes") & F.col("tags").isNotNull(), "availability needs scopes"),
+        ("domain.availability_tags", F.size(F.array_except("tags", "domain_tags")) > 0, "tags are unknown"),
+        ("domain.availability_unknown", F.array_contains("statuses", "unknown"), "unknown is no status of its own"),
+    ])
+
+
+def source_options(rows: DataFrame) -> DataFrame:
+    """Rules on a source's options: id, extract_note, skip_classes, section_pattern, section_label, body_start, drop_preamble."""
+    return row_rules(rows, "id", [
+        ("source.extract_note", F.col("extract_note").isNotNull() & _BLANK("extract_note"), "the note is empty"),
+        ("source.skip_classes", F.exists("skip_classes", lambda x: (x == "") | x.rlike(r"\s")), "a class name is empty or has white space"),
+        ("source.pattern_ref", F.col("section_pattern").isNotNull() & ~F.contains("section_pattern", F.lit("(?P<ref>")), "the pattern has no ref group"),
+        ("source.label_pattern", F.col("section_label").isNotNull() & F.col("section_pattern").isNull(), "a label needs its pattern"),
+        ("source.label", F.col("section_label").isNotNull() & _BLANK("section_label"), "the label is empty"),
+        ("source.drop_preamble", F.coalesce("drop_preamble", F.lit(False)) & F.col("body_start").isNull(), "dropping the preamble needs a body start"),
+    ])
+
+
+def pattern_problem(pattern: str | None, label: str | None = None) -> str | None:
+    """What is wrong with a pattern (and the label made of it), or None; on the driver, a registry's patterns are few."""
+    if pattern is None:
+        return None
+    try:
+        found = re.compile(pattern)
+    except re.error as e:
+        return f"the pattern doesn't compile: {e}"
+    if "ref" not in found.groupindex and label is None:
+        return "the pattern has no ref group"
+    names = set(re.findall(r"\\g<([^>]+)>", label or ""))
+    unknown = {n for n in names if n not in found.groupindex and not (n.isdigit() and int(n) <= found.groups)}
+    return f"the label names unknown groups: {', '.join(sorted(unknown))}" if unknown else None
+
+
+def cross(sources_: DataFrame, scopes_: DataFrame, availability_: DataFrame) -> DataFrame:
+    """Rules between registries. sources: id, scope, language, translation_of; scopes: id, languages; availability: scope, tag, source_id."""
+    s = sources_.select("id", "scope", "language", "translation_of")
+    met = s.join(scopes_.select(F.col("id").alias("scope"), "languages", F.lit(True).alias("known")), "scope", "left")
+    foreign = F.col("known") & F.col("translation_of").isNull() & ~F.array_contains("languages", F.col("language"))
+    out = row_rules(met, "id", [
+        ("cross.scope", F.col("scope").isNotNull() & F.col("known").isNull(), "the scope is unknown"),
+        ("cross.language", foreign, "a source in another language has to be a translation"),
+    ])
+    backing = s.select(F.col("id").alias("source_id"), F.col("scope").alias("source_scope"), F.lit(True).alias("is_source"))
+    named = availability_.where(F.col("source_id").isNotNull()).join(backing, "source_id", "left").withColumn("entry", F.concat_ws("/", "scope", "tag"))
+    return out.unionByName(row_rules(named, "entry", [
+        ("cross.backing", F.col("is_source").isNull(), "the backing source is unknown"),
+        ("cross.backing_scope", F.col("is_source") & ~F.col("source_scope").eqNullSafe(F.col("scope")), "the backing source is of another scope"),
+    ]))
+
+
+def publishing(sources_: DataFrame, publishers_: DataFrame) -> DataFrame:
+    """Every source's publisher is declared and the source stands on its domains. sources: id, publisher, url."""
+    met = sources_.join(publishers_.select("publisher", "domains", F.lit(True).alias("known")), "publisher", "left")
+    return row_rules(met, "id", [
+        ("publisher.known", F.col("known").isNull(), "the publisher isn't declared"),
+        ("publisher.host", F.col("known") & ~F.coalesce(T.on_domains(T.host("url"), F.col("domains")), F.lit(False)), "the url isn't on the publisher's domains"),
+    ])
+
+
+def golden(rows: DataFrame) -> DataFrame:
+    """Rules on golden questions: id, question, n_expected."""
+    return row_rules(rows, "id", [
+        ("golden.question", _BLANK("question"), "the question is missing"), ("golden.expect", F.coalesce(F.col("n_expected") < 1, F.lit(True)), "nothing is expected"),
+    ])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.plans import documents, registry, reports, retrieval
+from lectern.plans import documents, registry, reports, retrieval, store
 
 
 def queries() -> dict:
-    return {**documents.QUERIES, **retrieval.QUERIES, **registry.QUERIES, **reports.QUERIES}
+    return {**documents.QUERIES, **retrieval.QUERIES, **registry.QUERIES, **reports.QUERIES, **store.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**documents.SQL, **retrieval.SQL, **registry.SQL, **reports.SQL}
+    return {**documents.SQL, **retrieval.SQL, **registry.SQL, **reports.SQL, **store.SQL}

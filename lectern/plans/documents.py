@@ -54,7 +54,16 @@ def fetch_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return versions.status_counts(version_status(spark, d), "user_id")
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS document, event_id AS seq, event_type AS sha, CASE WHEN event_type <> 'error' THEN substr(event_type, 1, 1) END AS body, event_type = 'view' AS is_html, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+w AS (SELECT document, seq, k, 'new' AS status, sha AS cur, body AS b, is_html AS m, [sha] AS known, true AS fresh FROM o WHERE k = 1
+  UNION ALL SELECT document, seq, k, status, CASE WHEN status = 'changed' THEN sha ELSE cur END, CASE WHEN status = 'changed' THEN body ELSE b END, CASE WHEN status = 'changed' THEN is_html ELSE m END,
+    CASE WHEN status = 'changed' THEN list_append(known, sha) ELSE known END, status = 'changed' AND NOT list_contains(known, sha)
+  FROM (SELECT o.*, w.cur, w.b, w.m, w.known, CASE WHEN o.sha = w.cur THEN 'unchanged' WHEN o.is_html AND NOT w.m OR w.b IS NOT NULL AND o.body IS NULL THEN 'failed' WHEN w.b IS NOT NULL AND o.body = w.b THEN 'unchanged' ELSE 'changed' END AS status
+    FROM w JOIN o ON o.document = w.document AND o.k = w.k + 1))
+SELECT document, seq, status, cur AS version, fresh AS is_new_version FROM w"""
+)
 def version_machine_stateful(spark: SparkSession, d: str) -> DataFrame:
     seen = table(spark, d, "events").select(
         F.col("user_id").cast("string").alias("document"), F.col("event_id").alias("seq"), F.col("event_type").alias("sha"),
@@ -80,7 +89,15 @@ def html_blocks_basic(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("ord", "block")).withColumn("block", T.clean("block"))
 
 
-@query()
+@query(
+    r"""
+WITH r AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?s)<body[\s>].*</body>') THEN regexp_extract(html, '(?s)<body[\s>].*</body>') ELSE html END AS h FROM pages),
+c AS (SELECT page_id, regexp_replace(h, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', '', 'g') AS h FROM r),
+m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<h1[^>]*>', chr(1) || '1' || chr(2), 'g'), '</?(p|div|article|h1|ul|li)( [^>]*)?>', chr(1) || chr(2), 'g'), '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS h FROM c),
+s AS (SELECT page_id, unnest(l) AS part, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, string_split(h, chr(1)) AS l FROM m)),
+b AS (SELECT page_id, pos, CASE WHEN starts_with(part, '1' || chr(2)) THEN 1 END AS level, trim(regexp_replace(replace(replace(regexp_replace(part, '^1?' || chr(2), ''), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g'), ' |') AS text FROM s)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INTEGER AS ord, text, level::INTEGER AS level, NULL::VARCHAR AS ref, NULL::INTEGER AS page, false AS quoted FROM b WHERE text <> ''"""
+)
 def html_blocks_full(spark: SparkSession, d: str) -> DataFrame:
     from lectern.sources import markup
 

@@ -157,7 +157,7 @@ def partial_date_valid(spark: SparkSession, d: str) -> DataFrame:
 WITH s AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'Doc_' || doc_id ELSE 'doc-' || (doc_id // 2) END AS id, source AS publisher, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE 't' END AS title, CASE WHEN doc_id % 4 = 0 THEN 'http://x.example' ELSE 'https://x.example/' || doc_id END AS url,
   CASE WHEN doc_id % 9 = 0 THEN 'eng' ELSE lang END AS language, CASE WHEN doc_id % 8 = 0 THEN 'poem' ELSE 'act' END AS doc_type, CASE WHEN doc_id % 6 = 0 THEN []::VARCHAR[] WHEN doc_id % 6 = 1 THEN ['a', 'a'] WHEN doc_id % 6 = 2 THEN ['z'] ELSE ['a', 'b'] END AS tags FROM documents)
 SELECT 'source.title' AS rule, id AS entity, 'title is missing' AS message FROM s WHERE trim(title) = ''
-UNION ALL SELECT 'source.id', id, 'the id is no slug' FROM s WHERE NOT regexp_matches(id, '^[a-z0-9]+(?:-[a-z0-9]+)*$')
+UNION ALL SELECT 'source.id', id, 'the id is no slug' FROM s WHERE NOT regexp_matches(id, '^[a-z0-9]+(?:[_-][a-z0-9]+)*$')
 UNION ALL SELECT 'source.language_code', id, 'the language isn''t two letters' FROM s WHERE NOT regexp_matches(language, '^[a-z]{2}$')
 UNION ALL SELECT 'source.known_type', id, 'the doc_type is unknown' FROM s WHERE doc_type <> 'act'
 UNION ALL SELECT 'source.https', id, 'the url isn''t an absolute https one' FROM s WHERE NOT starts_with(url, 'https://')
