@@ -297,8 +297,11 @@ def blockwise(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame, bool]:
     """Missed edges of the audited classes (a, b), and whether the share of their pairs that was found meets RECALL."""
-    placed = classes.select("node", "sig").join(groups, "node", "left")
-    placed = materialize(placed.select("node", "sig", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone")), "audited")
+    # only embeddings of classes that may be in a component move
+    rows = flagged(classes.select("node", "sig"), groups.select("node"), "node")
+    met = rows.where("maybe").drop("maybe").join(groups, "node", "left")
+    met = met.unionByName(rows.where("not maybe").select("node", "sig", F.lit(None).cast("long").alias("component")))
+    placed = materialize(met.select("node", "sig", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone")), "audited")
     order = [F.xxhash64("node", F.lit(seed)), F.col("node")]
     asked = [r for alone in (False, True) for r in placed.where(F.col("alone") == alone).orderBy(*order).limit(AUDIT).collect()]  # 2 x AUDIT classes
     held = classes.sparkSession.sparkContext.broadcast([(r.node, r.component, r.alone, bytes(r.sig)) for r in asked])
@@ -325,7 +328,7 @@ def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame,
 
 def near_components(classes: DataFrame) -> DataFrame:
     """node, component of the classes that candidate edges join; runs go on until the audit is content."""
-    edges, more, run = candidates(classes), RUNS, RUNS
+    edges, run = candidates(classes, 0, RUNS), RUNS
     for attempt in itertools.count():
         groups = materialize(components(edges), "near")
         missed, enough = audit(classes, groups, attempt)
@@ -385,12 +388,12 @@ def compare(rows: DataFrame) -> DataFrame:
     return tiles.groupBy("tile").applyInPandas(tile, "node long, links long, other long")
 
 
-def flagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows with `maybe`: whether text_key may be among the wanted ones, by a bit map of fixed size that is broadcast.
+def flagged(rows: DataFrame, wanted: DataFrame, key: str = "text_key") -> DataFrame:
+    """rows with `maybe`: whether the key may be among the wanted ones, by a bit map of fixed size that is broadcast.
 
     It has at most MAP_BITS / 64 words, however many keys there are; a full map says maybe to all rows.
     """
-    place = F.pmod("text_key", F.lit(MAP_BITS))
+    place = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
     words = wanted.select(word.alias("map_word"), bit.alias("bit")).groupBy("map_word").agg(F.bit_or("bit").alias("map_bits"))
     held = rows.withColumn("map_word", word).join(F.broadcast(words), "map_word", "left")
@@ -425,7 +428,7 @@ def join(docs: DataFrame) -> DataFrame:
     texts = mapped(keyed(docs), wanted).withColumnRenamed("text_key", "own_key")
     texts = texts.join(wanted, (F.col("own_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
     sets = texts.select("node", "copies", "component", "set_key", "text").mapInPandas(reread, "node long, copies long, component long, shingles binary")
-    found = materialize(compare(materialize(sets.dropDuplicates(["node"]), "sets")), "links")
+    found = materialize(compare(materialize(sets, "sets")), "links")
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = groups.join(classes.select("node", "first_id"), "node")

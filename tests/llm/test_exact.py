@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lectern.llm import html_text, neighbours, ngram_join, ogg, packing, pii, quality, registry, simple8b, tokens
+from lectern.llm import graph, html_text, neighbours, ngram_join, ogg, packing, pii, quality, registry, simple8b, tokens
 from tests.oracle import check, connect
 
 SF = "/root/testdata/sf0.001"
@@ -276,6 +276,32 @@ def test_op10_links(spark, docs):
         assert (r.class_id, r.n_links) == (root(r.doc_id), links[r.doc_id])
 
 
+def test_op10_ways_for_large_buckets(spark, docs, monkeypatch):
+    """With buckets that are always too large, one level and one run, what is left is compared in blocks, and the audit
+    calls for further runs until nothing is missed: the links stay the same.
+    """
+    rng = random.Random(8)
+    texts = dict(list(docs.items())[:60])
+    base = [f"w{rng.randrange(900)}" for _ in range(90)]
+    for i in range(80):
+        words = list(base)
+        words[rng.randrange(90)] = f"x{i}"
+        texts[10**6 + i] = " ".join(words)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    rows = lambda: sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(table).collect())
+    want = rows()
+    for name, value in (("FEW", 2), ("BRUTE", 8), ("DEPTH", 0), ("RUNS", 1), ("TILE", 16), ("TILE_BYTES", 4000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert rows() == want and len({c for _, c, n in want if n > 50}) == 1
+
+
+def test_components_raise_when_they_do_not_settle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in graph.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.components(edges, 1).count()
+
+
 def _main_text(page):
     tree = html_text.grow(*html_text.labelled())
     found = html_text.blocks(page)
