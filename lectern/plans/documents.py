@@ -92,10 +92,10 @@ def html_blocks_basic(spark: SparkSession, d: str) -> DataFrame:
 @query(
     r"""
 WITH r AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?s)<body[\s>].*</body>') THEN regexp_extract(html, '(?s)<body[\s>].*</body>') ELSE html END AS h FROM pages),
-c AS (SELECT page_id, regexp_replace(h, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', '', 'g') AS h FROM r),
+c AS (SELECT page_id, regexp_replace(regexp_replace(h, '&(amp|lt|gt|quot)([^;a-z]|$)', '&\1;\2', 'g'), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', '', 'g') AS h FROM r),
 m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<h1[^>]*>', chr(1) || '1' || chr(2), 'g'), '</?(p|div|article|h1|ul|li)( [^>]*)?>', chr(1) || chr(2), 'g'), '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS h FROM c),
 s AS (SELECT page_id, unnest(l) AS part, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, string_split(h, chr(1)) AS l FROM m)),
-b AS (SELECT page_id, pos, CASE WHEN starts_with(part, '1' || chr(2)) THEN 1 END AS level, trim(regexp_replace(replace(replace(regexp_replace(part, '^1?' || chr(2), ''), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g'), ' |') AS text FROM s)
+b AS (SELECT page_id, pos, CASE WHEN starts_with(part, '1' || chr(2)) THEN 1 END AS level, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(part, '^1?' || chr(2), ''), '&nbsp;', ' '), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'), ' |') AS text FROM s)
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INTEGER AS ord, text, level::INTEGER AS level, NULL::VARCHAR AS ref, NULL::INTEGER AS page, false AS quoted FROM b WHERE text <> ''"""
 )
 def html_blocks_full(spark: SparkSession, d: str) -> DataFrame:
