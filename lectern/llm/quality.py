@@ -157,14 +157,14 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.iloc[lo : lo + 200]
-                x = counts(part["text"].tolist()).astype(np.float16)
+                x = counts(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "x": [r.tobytes() for r in x]})
 
     rows = texts.mapInPandas(featurise, "doc_id long, quality int, x binary")
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.float16).reshape(len(rows), DIMS).astype(np.float32)
-    return np.minimum(x, 60_000), np.array([r.quality for r in rows], dtype=np.int64)
+    x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.float32).reshape(len(rows), DIMS)
+    return x, np.array([r.quality for r in rows], dtype=np.int64)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

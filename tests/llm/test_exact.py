@@ -183,6 +183,25 @@ def test_op7_held_out(spark):
     assert right / len(labels) > 0.95
 
 
+def test_op7_votes_are_plain_nearest_neighbours(spark):
+    """Blocked scores of all documents against sorting all cosines of each; a very long text counts in full in the sample too."""
+    docs_, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    long = "a b " * 90_000
+    extra = spark.createDataFrame([(10**7 + i, long, "en", "s", len(long)) for i in range(3)], docs_.schema)
+    docs_ = docs_.unionByName(extra)
+    labels = labels.unionByName(spark.createDataFrame([(10**7 + i, 0, 0) for i in range(3)], labels.schema))
+    x, y = quality.sample(docs_, labels)
+    assert x.max() > 70_000
+    model = quality.fit(x, y)
+    for r in quality.score(docs_, model).collect():
+        cos = (model.latent(quality.counts([r.text or ""])) @ model.vectors.T)[0].astype(np.float64)
+        near = np.argsort(-cos, kind="stable")[: quality.NEIGHBOURS]
+        weight = np.maximum(cos[near], 0) ** quality.SHARPNESS
+        want = (weight * model.labels[near]).sum() / weight.sum() if weight.sum() else model.prior
+        assert abs(r.score - want) < 1e-3 or np.ptp(np.sort(-cos)[quality.NEIGHBOURS - 1 : quality.NEIGHBOURS + 1]) < 1e-6
+        assert r.predicted == (r.score >= 0.3)
+
+
 def test_op8_round_trip():
     rng = random.Random(1)
     for ids in ([], [0] * 5000, [1 << 31, 5, (1 << 20) - 1, 1 << 20] * 700, list(range(3000)), [1] * 239 + [70000], [rng.randrange(1 << rng.randrange(1, 33)) for _ in range(9000)]):
