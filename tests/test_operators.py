@@ -78,20 +78,34 @@ def test_markup():
 
 
 def test_xml_dialects():
-    act = "<Legislation><Part><Number>Part 1</Number><Title>Start</Title><P1><Pnumber>1</Pnumber><Text>First rule</Text></P1></Part></Legislation>"
-    assert [(x.text, x.level, x.ref) for x in markup.read_xml(act)] == [("Part 1 Start", 1, None), ("1", None, "s. 1"), ("First rule", None, None)]
-    law = '<response><bloque tipo="precepto" titulo="Art 1"><version fecha_vigencia="2001"><p>old</p></version><version fecha_vigencia="2020"><p>Art 1</p><p>new</p></version></bloque></response>'
-    assert [(x.text, x.ref) for x in markup.read_xml(law)] == [("Art 1", "Art 1"), ("new", None)]
-    wet = "<toestand><hoofdstuk><kop>H 1</kop><artikel><kop><nr>5</nr></kop><al>Tekst</al></artikel><artikel status='vervallen'><kop><nr>6</nr></kop></artikel></hoofdstuk></toestand>"
-    assert [x.ref for x in markup.read_xml(wet)] == [None, "Artikel 5", None]
-    for wrong in ("<a>", "<unknown/>"):
+    read = lambda xml: [(x.text, x.level, x.ref) for x in markup.read_xml(xml)]
+    act = """<Legislation xmlns="u"><Metadata>m</Metadata><Primary><Body><Part><Number>Part 1</Number><Title>Start</Title><Pblock><Title>Basics</Title><P1group><Title>Scope</Title>
+      <P1><Pnumber>1</Pnumber><P1para><P2><Pnumber><CommentaryRef/>1</Pnumber><P2para>First rule<CommentaryRef/></P2para></P2></P1para></P1></P1group></Pblock></Part></Body></Primary></Legislation>"""
+    assert read(act) == [("Part 1 Start", 1, None), ("Basics", 3, None), ("Scope 1 (1) First rule", None, "s. 1")]
+    schedule = """<Legislation><Primary><Schedule><Number>SCHEDULE 9A</Number><P1><Pnumber>4</Pnumber><P1para>Text</P1para></P1><P1group><Title>Notes:</Title><P2><Pnumber>1</Pnumber>Means this</P2></P1group></Schedule></Primary></Legislation>"""
+    assert read(schedule) == [("SCHEDULE 9A", 1, None), ("4 Text", None, "Sch. 9A para. 4"), ("Notes: (1) Means this", None, "Sch. 9A Notes")]
+    law = """<response><data><texto><bloque tipo="encabezado"><version><p class="titulo_num">TITULO I</p><p class="titulo_tit">Start</p></version></bloque>
+      <bloque tipo="precepto" titulo="Art 1"><version><p>old</p></version><version><p>Art 1</p><p>new</p><blockquote><p>note</p></blockquote></version></bloque><bloque tipo="firma"><version><p>signed</p></version></bloque>
+      <bloque tipo="encabezado"><version><p class="anexo_num">ANEXO</p></version></bloque><bloque tipo="precepto" titulo="3. Tests"><version><p>3. Tests</p><p>3.1 First</p><p>3.2. Second</p></version></bloque></texto></data></response>"""
+    assert read(law) == [
+        ("TITULO I Start", 1, None), ("Art 1", None, "Art 1"), ("new", None, None), ("ANEXO", 1, None), ("3. Tests", None, "Anexo 3"), ("3.1 First", None, "Anexo 3.1"), ("3.2. Second", None, "Anexo 3.2")
+    ]
+    wet = """<toestand><wettekst><hoofdstuk><kop><label>Hoofdstuk</label> <nr>1</nr></kop><afdeling><kop>Afdeling 2</kop><artikel><kop><label>Artikel</label> <nr>5</nr></kop><lid>Text</lid></artikel>
+      <artikel status="vervallen"><kop><nr>6</nr></kop><lid>gone</lid></artikel></afdeling></hoofdstuk></wettekst></toestand>"""
+    assert read(wet) == [("Hoofdstuk 1", 1, None), ("Afdeling 2", 2, None), ("Artikel 5 Text", None, "Artikel 5")]
+    akoma = """<akomaNtoso><act><meta>m</meta><body><chapter><num>1 luku</num><heading>Start</heading><section><num>1 §</num><heading>Scope</heading><p>Text<authorialNote>n</authorialNote> goes on</p></section></chapter>
+      <section><num>Capo I</num><heading/><article><num>Art. 2.</num><p>More</p></article></section></body></act></akomaNtoso>"""
+    assert read(akoma) == [("1 luku Start", 2, None), ("1 § Scope Text goes on", None, "1 §"), ("Capo I", 3, None), ("Art. 2. More", None, "Art. 2")]
+    danish = """<Dokument><Meta>m</Meta><Kapitel><Explicatus>Kapitel 1</Explicatus><Rubrica>Start</Rubrica><ParagrafGruppe><Rubrica>Scope</Rubrica><Paragraf><Explicatus>§ 1.</Explicatus><Stk>First</Stk><Stk>Second</Stk></Paragraf></ParagrafGruppe></Kapitel>
+      <AendringCentreretParagraf><Explicatus>§ 2</Explicatus><Exitus>The law is amended</Exitus><AendringsNummer>1. <Paragraf><Explicatus>§ 9</Explicatus></Paragraf> goes</AendringsNummer></AendringCentreretParagraf></Dokument>"""
+    assert read(danish) == [("Kapitel 1 Start", 1, None), ("Scope", 2, None), ("§ 1. First", None, "§ 1"), ("Second", None, None), ("§ 2 The law is amended", None, "§ 2"), ("1. § 9 goes", None, None)]
+    deep = "<akomaNtoso><body>" + "<p>" * 20_000 + "x" + "</p>" * 20_000 + "</body></akomaNtoso>"
+    assert markup.read_xml(deep) == []
+    for wrong in ("<other/>", "<open>", "<response/>"):
         with pytest.raises(ValueError):
             markup.read_xml(wrong)
 
 
-OBSERVED = "document string, seq long, sha string, body string, is_html boolean"
-
-
 def test_version_machine(spark):
     rows = [("a", i, s, s, False) for i, s in enumerate(["v1", "v2", "v1", "v1"])]
     rows += [("b", 0, "x1", "body", False), ("b", 1, "x2", "body", False), ("b", 2, "x3", None, False), ("b", 3, "x4", "page", True)]
