@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+
 PREAMBLE = "(preamble)"
 MAX_CHARS = 12_000
 REF_CHARS = 120
@@ -224,3 +226,10 @@ def running_lines(pages: DataFrame, doc: str, page: str, ord_: str, line: str, e
     edges = kept.where((F.col("from_top") <= edge) | (F.col("from_end") <= edge))
     shapes = edges.select(doc, page, F.regexp_replace(line, r"\p{Nd}+", "#").alias("shape")).distinct().groupBy(doc, "shape").agg(F.count("*").alias("on_pages"))
     return shapes.join(total, doc).where(F.col("on_pages") >= F.col("n_pages") * share)
+
+
+def page_blocks(lines: DataFrame, doc: str, page: str, ord_: str, line: str, least_pages: int = 4, share: float = 0.5) -> DataFrame:
+    """doc, page, ord, text: the lines of paged documents (as a PDF's text gives them) as blocks, without running lines."""
+    running = running_lines(lines, doc, page, ord_, line, least_pages=least_pages, share=share).select(doc, "shape")
+    rows = lines.select(doc, page, F.col(ord_).alias("ord"), T.clean(line).alias("text")).where("text <> ''")
+    return rows.withColumn("shape", T.shape("text")).join(running, [doc, "shape"], "left_anti").drop("shape")

@@ -170,6 +170,22 @@ def running_lines(spark: SparkSession, d: str) -> DataFrame:
     return sections.running_lines(rows, "source", "doc_id", "ord", "line", share=0.02).select("source", "shape", "on_pages")
 
 
+@query(
+    f"""
+WITH l AS (SELECT source, doc_id, ord, line FROM {_LINES} JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY ord) AS t, row_number() OVER (PARTITION BY source, doc_id ORDER BY ord DESC) AS b FROM l WHERE trim(line) <> ''),
+s AS (SELECT source, regexp_replace(line, '[0-9]+', '#', 'g') AS shape, count(DISTINCT doc_id) AS on_pages FROM k WHERE t <= 3 OR b <= 3 GROUP BY 1, 2),
+n AS (SELECT source, count(DISTINCT doc_id) AS n_pages FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 4),
+r AS (SELECT source, shape FROM s JOIN n USING (source) WHERE on_pages >= n_pages * 0.02),
+c AS (SELECT source, doc_id, ord, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM l)
+SELECT source, doc_id, ord::INTEGER AS ord, sha256(text) AS sha256 FROM c WHERE text <> '' AND (source, regexp_replace(text, '[0-9]+', '#', 'g')) NOT IN (SELECT (source, shape) FROM r)"""
+)
+def page_line_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as paged documents: their lines without the running ones."""
+    rows = sections.lines(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return sections.page_blocks(rows, "source", "doc_id", "ord", "line", share=0.02).select("source", "doc_id", "ord", T.sha("text").alias("sha256"))
+
+
 @query(
     """
 WITH RECURSIVE l AS (SELECT doc_id, ord, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ord FROM documents)),

@@ -77,6 +77,15 @@ def test_markup():
     assert markup.charset(b'<meta charset="iso-8859-1">') == "cp1252" and markup.charset("é".encode()) == "utf-8" and markup.charset(b"\xe9") == "cp1252"
 
 
+def test_links_of_what_is_kept(spark):
+    page = """<body><nav><a href="/menu">m</a></nav><main><p><a href='a/b.html#x'>1</a> <a href=../c?x=1&amp;y=2>2</a> <a href="//other.org/">3</a> <a href="a/b.html">again</a>
+      <a href="mailto:x@y.z">no</a> <a href="#top">self</a> <a href="http://[bad">bad</a><div class=drop><a href="/d">4</a></div></p></main></body>"""
+    want = ["https://x.org/docs/a/b.html", "https://x.org/c?x=1&y=2", "https://other.org/", "https://x.org/d"]
+    assert markup.read_links(page, "https://x.org/docs/index.html#here") == want
+    rows = spark.createDataFrame([(1, page, "https://x.org/docs/index.html"), (2, None, None)], "id long, html string, url string")
+    assert [r.link for r in markup.kept_links(rows, "id", "html", "url", ["drop"]).orderBy("place").collect()] == want[:3]
+
+
 def test_xml_dialects():
     read = lambda xml: [(x.text, x.level, x.ref) for x in markup.read_xml(xml)]
     act = """<Legislation xmlns="u"><Metadata>m</Metadata><Primary><Body><Part><Number>Part 1</Number><Title>Start</Title><Pblock><Title>Basics</Title><P1group><Title>Scope</Title>
