@@ -82,10 +82,11 @@ def sections_by_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"SELECT page_id, ord::INTEGER AS ord, trim(regexp_replace(block, '\s+', ' ', 'g')) AS block FROM (SELECT page_id, unnest(l) AS block, generate_subscripts(l, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '<(?:p|h1|b)>([^<]+)', 1) AS l FROM pages))"
+    r"SELECT page_id, ord::INTEGER AS ord, trim(regexp_replace(block, '\s+', ' ', 'g')) AS block FROM (SELECT page_id, unnest(l) AS block, generate_subscripts(l, 1) - 1 AS ord FROM (SELECT page_id, regexp_extract_all(html, '>([^<]+)', 1) AS l FROM pages))"
 )
 def html_blocks_basic(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit("<(?:p|h1|b)>([^<]+)"), F.lit(1))
+    """All runs of text between tags."""
+    found = F.regexp_extract_all("html", F.lit(">([^<]+)"), F.lit(1))
     return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("ord", "block")).withColumn("block", T.clean("block"))
 
 
@@ -138,11 +139,11 @@ def ref_disambiguate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING), '-') AS chapter FROM conversations"
+    "SELECT conv_id, turn, sha256(coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING), '-')) AS chapter FROM conversations"
 )
 def chapter_forward_fill(spark: SparkSession, d: str) -> DataFrame:
-    chapter = F.when(F.col("role") == "user", F.substring("text", 1, 20))
-    return sections.carry_chapter(table(spark, d, "conversations"), ["conv_id"], chapter, ["turn", "role", "text"], "-").select("conv_id", "turn", "chapter")
+    chapter = F.when(F.col("role") == "user", F.col("text"))
+    return sections.carry_chapter(table(spark, d, "conversations"), ["conv_id"], chapter, ["turn", "role", "text"], "-").select("conv_id", "turn", T.sha("chapter").alias("chapter"))
 
 
 @query(
@@ -260,13 +261,14 @@ def multiset_diff(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """
 WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS s FROM conversations),
-p AS (SELECT conv_id, a.s AS s, b.s AS t FROM w a JOIN w b USING (conv_id) WHERE a.turn = 0 AND b.turn = 1)
-SELECT conv_id, round(CASE WHEN len(s) + len(t) = 0 THEN 1.0 ELSE len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))) END, 9) AS agreement FROM p"""
+p AS (SELECT a.conv_id, a.turn, a.s AS s, b.s AS t FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN len(s) + len(t) = 0 THEN 1.0 ELSE len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))) END, 9) AS agreement FROM p"""
 )
 def jaccard_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Of the words of each turn and the next."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(T.words("text")).alias("s"))
-    first, second = rows.where("turn = 0").select("conv_id", "s"), rows.where("turn = 1").select("conv_id", F.col("s").alias("t"))
-    return first.join(second, "conv_id").select("conv_id", F.round(T.jaccard(F.col("s"), F.col("t")), 9).alias("agreement"))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("t"))
+    return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("s"), F.col("t")), 9).alias("agreement"))
 
 
 @query(
