@@ -8,7 +8,8 @@ same granules, so that the streams stay in step). Each stream starts with a head
 its own; the samples' header holds rate and unpadded length.
 
 The reader verifies every page's checksum and number, reassembles packets from lacing values across pages,
-keeps streams apart by serial and derives times from granules; a broken file raises ValueError.
+keeps streams apart by serial, knows each by its first packet, and derives the times of pages and of the marked
+seconds from granules. A broken file raises ValueError; in a table it is a row with `error` and nothing else.
 
 Cases. A null text is empty; an empty payload is 64 zero bytes. Everything in a file follows from the
 payload, so equal texts give equal files. Rows with a null doc_id and repeated rows are kept. An empty
@@ -91,7 +92,9 @@ def store(payload: bytes, length: int) -> bytes:
 
 
 def streams(media: bytes) -> dict[int, dict]:
-    """Logical streams by serial: packets, end (granule of the last finished packet), pages, first and last flags."""
+    """Logical streams by serial: packets, end (granule of the last finished packet), pages, first and last flags, and
+    spans: for each page that ends packets the granules before and after it and how many packets end.
+    """
     found: dict[int, dict] = {}
     at = 0
     while at < len(media):
@@ -105,10 +108,11 @@ def streams(media: bytes) -> dict[int, dict]:
         whole = media[at:end]
         if len(lacing) < n or len(whole) < end - at or checksum(whole[:22] + b"\0\0\0\0" + whole[26:]) != crc:
             raise ValueError(f"wrong checksum at {at}")
-        s = found.setdefault(serial, {"packets": [], "open": b"", "end": 0, "pages": 0, "first": bool(flags & 2), "last": False})
+        s = found.setdefault(serial, {"packets": [], "open": b"", "end": 0, "pages": 0, "first": bool(flags & 2), "last": False, "spans": []})
         if number != s["pages"] or bool(flags & 1) != bool(s["open"]):
             raise ValueError(f"page {number} of stream {serial} is out of order")
         s["pages"] += 1
+        before = len(s["packets"])
         body, parts = at + 27 + n, [s["open"]]
         for value in lacing:
             parts.append(media[body : body + value])
@@ -118,6 +122,9 @@ def streams(media: bytes) -> dict[int, dict]:
                 parts = []
         s["open"] = b"".join(parts)
         if granule >= 0:
+            if granule < s["end"]:
+                raise ValueError(f"time runs back in stream {serial}")
+            s["spans"].append((s["end"], granule, len(s["packets"]) - before))
             s["end"] = granule
         s["last"] = bool(flags & 4)
         at = end
@@ -126,31 +133,55 @@ def streams(media: bytes) -> dict[int, dict]:
     return found
 
 
+def _known(found: dict[int, dict], magic: bytes) -> dict:
+    """The one stream whose first packet begins with the magic."""
+    mine = [s for s in found.values() if s["first"] and s["packets"] and s["packets"][0].startswith(magic)]
+    if len(mine) != 1:
+        raise ValueError(f"{len(mine)} streams begin with {magic!r}")
+    return mine[0]
+
+
 def load(media: bytes) -> dict:
-    """payload, length and what the granules tell: n_pages, n_streams, n_packets, seconds."""
+    """payload, length and what the granules tell: n_pages, n_streams, n_packets, seconds, and times (start and end of
+    each marked second).
+    """
     found = streams(media)
-    head, *parts = found[SAMPLES]["packets"]
+    samples, marks = _known(found, b"\x01pcm8"), _known(found, b"\x01mark")
+    head, *parts = samples["packets"]
+    if len(head) != 25:
+        raise ValueError("the samples' header is damaged")
     rate, length, size = struct.unpack("<IQQ", head[5:])
     payload = b"".join(parts)
-    if len(payload) != size or found[SAMPLES]["end"] != size or found[MARKS]["end"] != size:
+    if not rate or len(payload) != size or samples["end"] != size or marks["end"] != size:
         raise ValueError("granules and samples differ")
-    for mark in found[MARKS]["packets"][1:]:
+    times = []
+    # a mark ends its page, so the page's granules are the second's
+    for mark, (begin, end, ended) in zip(marks["packets"][1:], marks["spans"][1:], strict=True):
+        if len(mark) != 12 or ended != 1:
+            raise ValueError("a mark is damaged")
         place, crc = struct.unpack("<QI", mark)
-        if zlib.crc32(payload[place : place + rate]) != crc:
+        if place != begin or zlib.crc32(payload[begin:end]) != crc:
             raise ValueError(f"second at {place} is damaged")
+        times.append((begin / rate, end / rate))
     return {
-        "payload": payload, "length": length, "seconds": found[SAMPLES]["end"] / rate, "n_streams": len(found),
+        "payload": payload, "length": length, "seconds": samples["end"] / rate, "rate": rate, "times": times, "n_streams": len(found),
         "n_pages": sum(s["pages"] for s in found.values()), "n_packets": sum(len(s["packets"]) for s in found.values()),
     }
 
 
 def feature(payload: bytes, info: dict) -> str:
-    """Duration, level and crossings of the signal, as text."""
+    """Duration, level and crossings of the signal, and its loudest second, as text."""
     x = np.frombuffer(payload, dtype=np.uint8)
     signal = x.astype(np.float64) - 128
     crossings = int(np.count_nonzero((x[1:] < 128) != (x[:-1] < 128)))
     rms = float(np.sqrt(np.mean(signal * signal)))
-    return f"seconds={info['seconds']:.6f};rms={rms:.4f};crossings={crossings};pages={info['n_pages']};packets={info['n_packets']};streams={info['n_streams']}"
+    starts = np.array([round(a * info["rate"]) for a, _ in info["times"]])
+    power = np.add.reduceat(signal * signal, starts) / np.diff(np.r_[starts, len(x)])
+    loud = info["times"][int(np.argmax(power))]
+    return (
+        f"seconds={info['seconds']:.6f};rms={rms:.4f};crossings={crossings};loudest={loud[0]:.6f}-{loud[1]:.6f};"
+        f"pages={info['n_pages']};packets={info['n_packets']};streams={info['n_streams']}"
+    )
 
 
 def attach(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -167,7 +198,7 @@ def attach(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.withColumn("media", media(F.coalesce(F.col(column), F.lit(""))))
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -177,16 +208,19 @@ def features(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc, media in zip(batch["doc_id"], batch["media"]):
-                media = bytes(media)
-                info = load(media)
+                media, key = bytes(media or b""), None if pd.isna(doc) else int(doc)
+                try:
+                    info = load(media)
+                except ValueError as e:
+                    out.append((key, None, None, None, None, len(media), hashlib.sha256(media).hexdigest(), None, str(e)))
+                    continue
                 payload = info["payload"]
                 out.append((
-                    None if pd.isna(doc) else int(doc), info["length"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
-                    len(media), hashlib.sha256(media).hexdigest(), feature(payload, info),
+                    key, info["length"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
+                    len(media), hashlib.sha256(media).hexdigest(), feature(payload, info), None,
                 ))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield frame.astype({c: "Int64" for c in ("doc_id", "n_bytes", "payload_bytes", "tail_crc32")})
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInPandas(read, SCHEMA)
 

@@ -251,10 +251,24 @@ def test_op9_container():
         broken[len(media) // 2] ^= 1
         with pytest.raises(ValueError):
             ogg.load(bytes(broken))
+    info = ogg.load(ogg.store(bytes(20_000), 20_000))
+    assert info["times"] == [(0.0, 1.0), (1.0, 2.0), (2.0, 2.5)]
+    marks_only = b"".join(ogg.Writer(7).pages([(b"\x01mark" + bytes(4), 0)], first=True, last=True))
+    for wrong in (b"", marks_only, marks_only * 2, b"no ogg"):
+        with pytest.raises(ValueError):
+            ogg.load(wrong)
     long_packet = ogg.Writer(9).pages([(bytes(255 * 300), 7)], first=True, last=True)
     assert len(long_packet) == 2 and ogg.streams(b"".join(long_packet))[9]["packets"] == [bytes(255 * 300)]
 
 
+def test_op9_broken_files_are_rows(spark):
+    good = ogg.store(bytes(64), 3)
+    rows = spark.createDataFrame([(1, good), (2, good[:-1]), (None, b""), (3, None)], "doc_id long, media binary")
+    found = {r.doc_id: r for r in ogg.features(rows).collect()}
+    assert found[1].n_bytes == 3 and found[1].error is None
+    assert all(found[k].error and found[k].payload_bytes is None for k in (2, None, 3))
+
+
 def test_op9_reads_back(spark, docs):
     for r in ogg.op9_ogg_media(spark, SF).collect():
         raw = docs[r.doc_id].encode()
@@ -389,6 +403,49 @@ def test_op2_named_parts():
     assert _main_text(page) == "Big News & more First bold words of a story. Second one, unclosed. Third."
 
 
+def test_pipeline_near_duplicates_and_personal_data_by_brute_force(spark, docs):
+    """Of each group of texts that link by brute force the smallest id stays; personal data is replaced span by span."""
+    import corpus_pipeline as p
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {}
+    for i, t in docs.items():
+        w = re.findall(r"\w+", t.lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in docs}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(docs)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                group[max(a, b)] = min(a, b)
+    kept = p.near_duplicate_stage(spark, table, SF)
+    assert kept.columns == p.COLUMNS and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in ids if root(i) == i)
+    spans = {r.doc_id: r.spans for r in pii.find(table).collect()}
+    for r in p.personal_data_stage(spark, table, SF).collect():
+        text, out, at = docs[r.doc_id], "", 0
+        for s in sorted(spans[r.doc_id], key=lambda s: (s.start, -s.end)):
+            if s.end > at:
+                out += text[at : s.start] + {"removed": "", "general": "[TERM]"}.get(s.kind, f"[{s.kind.upper()}]")
+                at = s.end
+        assert r.text == out + text[at:] and r.n_chars == len(r.text)
+
+
+def test_op4_many_matches(spark):
+    """Positions and replacements of thousands of values in one text, in runs and across them."""
+    text = "".join(f"\U0001f600 n{i}@m.example.org, +1 555 {1000000 + i} é; " for i in range(3000))
+    rows = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    found = pii.find(rows).first().base
+    assert len(found) == 6000 and all(text[s.start : s.end] == s.value for s in found)
+    assert pii.redact(rows).first().text == "\U0001f600 [EMAIL], [PHONE] é; " * 3000
+
+
 def test_pipeline_stages_by_brute_force(spark):
     """Mixing keeps each document at most once and no more tokens than its budget; packing covers what was kept."""
     import corpus_pipeline as p
