@@ -9,7 +9,6 @@ Time is a parameter, and every listing is in a total order.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import index, search, topics, versions
-from lectern.session import materialize, shared_dir
+from lectern.session import materialize
 
 
 class KnowledgeBase:
@@ -27,17 +26,11 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, path: str, doc_types: list[str] | None = None, modalities: list[str] | None = None, embed: Callable[[DataFrame, str, str], DataFrame] = search.hash_vectors):
         self.spark, self.path = spark, path
         self.doc_types, self.modalities, self.embed = doc_types or [], modalities or [], embed
-        self._indexes: dict[str, index.Index] = {}
 
-    def _index(self, name: str, rows: DataFrame, key: str, text: str, heading: str | None, embedded: str) -> index.Index:
+    def _index(self, name: str, rows: DataFrame, key: str, text: str, heading: str, embedded: str, tells: tuple[str, ...]) -> index.Index:
         """Built once and read by every search until the indexed rows change."""
-        mark = index.stamp(rows, key, *[c for c in (text, heading, embedded) if c])
-        if name not in self._indexes or self._indexes[name].stamp != mark:
-            embed = lambda r, k, _: self.embed(r, k, embedded)
-            made = index.build(rows, f"{shared_dir(self.spark)}/lectern/index-{uuid.uuid4().hex}", key, text, heading, embed)
-            made.stamp = mark
-            self._indexes[name] = made
-        return self._indexes[name]
+        embed = lambda r, k, _: self.embed(r, k, embedded)
+        return index.of(self.spark, f"{self.path}#{name}#{id(self.embed)}", rows, key, text, heading, tells, embed)
 
     def scopes(self) -> list:
         """id, name and aliases of the registered scopes, a registry of checked size; none where the table is missing."""
@@ -72,14 +65,14 @@ class KnowledgeBase:
             scopes = search.resolve(scopes, [r.id for r in names], "scope")
         if topic:
             search.resolve(topic, [r.topic for r in search._batch(self.table("statements").select("topic").distinct(), "topics")], "topic")
-        parts = materialize(self.sections(), "sections")
+        parts = self.sections()
         indexed = F.concat_ws("\n", "title", F.concat_ws(" > ", "section_ref", F.array_join("heading_path", " > ")), "text")
         parts = parts.withColumns({"heading": F.concat_ws(" ", "section_ref", F.array_join("heading_path", " ")), "indexed": indexed})
         stated = self.table("statements").withColumnRenamed("id", "statement_id").join(parts.select("chunk_id"), "chunk_id", "left_semi")
         # a statement has a row for each of its topics
-        stated = materialize(stated.select("statement_id", "chunk_id", "summary", "verbatim_quote").dropDuplicates(["statement_id"]), "stated")
-        of_sections = self._index("sections", parts, "chunk_id", "text", "heading", "indexed")
-        of_statements = self._index("statements", stated, "statement_id", "verbatim_quote", "summary", "summary")
+        stated = stated.groupBy("statement_id", "chunk_id").agg(F.first("summary").alias("summary"), F.first("verbatim_quote").alias("verbatim_quote"))
+        of_sections = self._index("sections", parts, "chunk_id", "text", "heading", "indexed", ("sha256", "title"))
+        of_statements = self._index("statements", stated, "statement_id", "verbatim_quote", "summary", "summary", ("chunk_id", "summary", "verbatim_quote"))
         asked = queries.select("query_id", "query")
         if names and not scopes:
             asked = materialize(asked.join(self.scopes_inferred(asked), "query_id", "left"), "asked")

@@ -1,7 +1,8 @@
 """The stored search index of a table of texts: postings, lengths and vectors, built once and read by every query.
 
-An index is a folder of three tables and a stamp, the number of rows and the exclusive-or of the hashes of keys
-and texts. `of` builds one in the shared folder for a session and keeps it while the stamp of the source stays.
+An index is a folder of three tables and a stamp of its source: the number of rows, and an exclusive-or and a sum of
+hashes of keys and of the columns that tell a change (a digest where there is one, so that no text is read for it).
+`of` builds one in the shared folder for a session and keeps it while the stamp stays and the folder is there.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,17 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     vectors: DataFrame
+    path: str
+
+    def there(self) -> bool:
+        try:
+            self.lengths.sparkSession.read.parquet(f"{self.path}/lengths")
+        except AnalysisException:
+            return False
+        return True
 
     def renamed(self, key: str, other: str) -> Index:
-        return Index(self.stamp, *[t.withColumnRenamed(key, other) for t in (self.postings, self.lengths, self.vectors)])
+        return Index(self.stamp, *[t.withColumnRenamed(key, other) for t in (self.postings, self.lengths, self.vectors)], self.path)
 
 
 def stamp(rows: DataFrame, key: str, *columns: str) -> tuple:
@@ -34,10 +44,9 @@ def stamp(rows: DataFrame, key: str, *columns: str) -> tuple:
     return r.n, r.x, r.s
 
 
-def build(rows: DataFrame, path: str, key: str, text: str, heading: str | None = None, embed: Callable[[DataFrame, str, str], DataFrame] = search.hash_vectors) -> Index:
+def build(rows: DataFrame, path: str, key: str, text: str, heading: str | None = None, embed: Callable[[DataFrame, str, str], DataFrame] = search.hash_vectors, mark: tuple = ()) -> Index:
     """Writes the three tables below path. embed(rows, key, text) gives key and v: the model's place."""
     spark = rows.sparkSession
-    mark = stamp(rows, key, text, *[heading] if heading else [])
     made = {}
     for name, make in (
         ("postings", lambda: search.postings(rows, key, text, heading)),
@@ -47,16 +56,16 @@ def build(rows: DataFrame, path: str, key: str, text: str, heading: str | None =
         df = make()
         df.write.parquet(f"{path}/{name}")
         made[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}")
-    return Index(mark, made["postings"], made["lengths"], made["vectors"])
+    return Index(mark, made["postings"], made["lengths"], made["vectors"], path)
 
 
 _HELD: dict[tuple, Index] = {}
 
 
-def of(spark: SparkSession, name: str, rows: Callable[[], DataFrame], key: str, text: str, heading: str | None = None) -> Index:
-    """The session's index of a source by name; built anew when the source's stamp is another."""
+def of(spark: SparkSession, name: str, rows: DataFrame, key: str, text: str, heading: str | None = None, tells: tuple[str, ...] = (), embed: Callable[[DataFrame, str, str], DataFrame] = search.hash_vectors) -> Index:
+    """The session's index of a source by name; built anew when the stamp of key and `tells` (or all texts) is another."""
     at = (spark.sparkContext.applicationId, name, key, text, heading)
-    source = rows()
-    if at not in _HELD or _HELD[at].stamp != stamp(source, key, text, *[heading] if heading else []):
-        _HELD[at] = build(source, f"{shared_dir(spark)}/lectern/index-{uuid.uuid4().hex}", key, text, heading)
+    mark = stamp(rows, key, *(tells or [c for c in (text, heading) if c]))
+    if at not in _HELD or _HELD[at].stamp != mark or not _HELD[at].there():
+        _HELD[at] = build(rows, f"{shared_dir(spark)}/lectern/index-{uuid.uuid4().hex}", key, text, heading, embed, mark)
     return _HELD[at]

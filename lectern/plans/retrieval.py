@@ -51,7 +51,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
-    held = index.of(spark, d, lambda: table(spark, d, "documents"), "doc_id", "text")
+    held = index.of(spark, d, table(spark, d, "documents"), "doc_id", "text", tells=("n_chars",))
     return search.bm25(questions(spark, d), held.postings, held.lengths, "doc_id").withColumn("score", F.round("score", 6))
 
 
@@ -93,7 +93,7 @@ rk AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PAR
 def fused(spark: SparkSession, d: str) -> DataFrame:
     keyword = search.ranked(keyword_scores(spark, d), "doc_id", search.KEPT)
     asked = search.hash_vectors(questions(spark, d), "query_id", "query").withColumnRenamed("v", "q")
-    held = index.of(spark, d, lambda: table(spark, d, "documents"), "doc_id", "text")
+    held = index.of(spark, d, table(spark, d, "documents"), "doc_id", "text", tells=("n_chars",))
     near = search.vector_topk(asked, held.vectors, "doc_id", search.KEPT, 6, positive=True)
     out = search.fuse({"section_keyword": keyword, "section_vector": near}, "doc_id")
     return out.withColumn("score", F.round("score", 9))
@@ -156,8 +156,8 @@ def search_four_lists(spark: SparkSession, d: str) -> DataFrame:
     owner = docs.select(F.col("doc_id").alias("conv_id")).distinct()
     stated = table(spark, d, "conversations").join(owner, "conv_id", "left_semi")
     stated = stated.select((F.col("conv_id") * 100000 + F.col("turn")).alias("statement_id"), F.col("conv_id").alias("chunk_id"), "text")
-    parts = index.of(spark, d, lambda: docs, "doc_id", "text").renamed("doc_id", "chunk_id")
-    about = index.of(spark, d + "#turns", lambda: stated, "statement_id", "text")
+    parts = index.of(spark, d, docs, "doc_id", "text", tells=("n_chars",)).renamed("doc_id", "chunk_id")
+    about = index.of(spark, d + "#turns", stated, "statement_id", "text")
     sections = docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("scope"))
     dropped = F.array(*[F.lit(w.lower()) for w in _SCOPES.values()])
     found = search.four_lists(asked, sections, stated.select("statement_id", "chunk_id"), parts, about, search.hash_vectors, dropped, 6)

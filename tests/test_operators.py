@@ -1,6 +1,7 @@
 """Rules of the operators on small literal tables."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -77,6 +78,33 @@ def test_markup():
     assert markup.charset(b'<meta charset="iso-8859-1">') == "cp1252" and markup.charset("é".encode()) == "utf-8" and markup.charset(b"\xe9") == "cp1252"
 
 
+def test_patterns_prompts_and_selections(spark):
+    assert validate.pattern_problem(None) is None and validate.pattern_problem(r"(?P<ref>\d+)") is None
+    assert "compile" in validate.pattern_problem("(") and "ref" in validate.pattern_problem(r"\d+")
+    assert validate.pattern_problem(r"(\d+)", r"Art. \g<1>") is None and "unknown" in validate.pattern_problem(r"(?P<ref>\d)", r"\g<other>")
+    prompt, version = extraction.system_prompt("Read.", ["must"], [("recalls", "Recalls")])
+    assert "- recalls: Recalls" in prompt and re.fullmatch("[0-9a-f]{12}", version)
+    assert extraction.system_prompt("Read.", ["must"], [("recalls", "Recall")])[1] != version
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "source string, n int")
+    assert [r.n for r in extraction.selected(rows, "source", ["b"]).collect()] == [2] and extraction.selected(rows, "source", None).count() == 2
+    with pytest.raises(ValueError, match="c"):
+        extraction.selected(rows, "source", ["a", "c"])
+
+
+def test_topk_and_containment(spark):
+    """Ties end in ids across blocks, other lengths and nulls are no candidates, scopes keep to their own; anchors shared by quotes."""
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, 1.0], "ab"[i % 2]) for i in range(60)] + [(98, [1.0], "a"), (99, None, "a")], "item int, v array<double>, scope string").repartition(7)
+    asked = spark.createDataFrame([("x", [1.0, 0.0], []), ("y", [1.0, 0.0], ["b"]), ("z", None, [])], "query_id string, q array<double>, only array<string>")
+    found = search.vector_topk(asked, vectors, "item", 4, scope="scope").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["item"]) for r in found] == [("x", 1), ("x", 2), ("x", 4), ("x", 5), ("y", 1), ("y", 5), ("y", 7), ("y", 11)]
+    assert search.vector_topk(asked, vectors, "item", 100, positive=True).where("query_id = 'x'").count() == 40
+    long = "q" * 60
+    texts = spark.createDataFrame([(1, f"a {long}1 b"), (2, f"{long}2"), (3, None), (4, "")], "id int, t string")
+    quotes = spark.createDataFrame([(1, long + "1"), (2, long + "2"), (3, long), (4, "absent"), (5, ""), (6, None)], "quote_id int, quote string")
+    pairs = {(r.quote_id, r.id) for r in search.containing(texts, "id", "t", quotes).collect()}
+    assert pairs == {(1, 1), (2, 2), (3, 1), (3, 2), (5, 1), (5, 2), (5, 4)}
+
+
 def test_links_of_what_is_kept(spark):
     page = """<body><nav><a href="/menu">m</a></nav><main><p><a href='a/b.html#x'>1</a> <a href=../c?x=1&amp;y=2>2</a> <a href="//other.org/">3</a> <a href="a/b.html">again</a>
       <a href="mailto:x@y.z">no</a> <a href="#top">self</a> <a href="http://[bad">bad</a><div class=drop><a href="/d">4</a></div></p></main></body>"""
