@@ -113,18 +113,19 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, text_key, set_key (null without a set), sig."""
+    """A row for each document: doc_id, text_key, set_key (null without a set), sig, size (of the set)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, sigs = [], []
+            keys, sigs, sizes = [], [], []
             for text in batch["text"]:
                 found = shingles(text)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sigs.append(signature(found).tobytes() if len(found) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "set_key": keys, "sig": sigs})
+                sizes.append(len(found))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "set_key": keys, "sig": sigs, "size": sizes})
 
-    return keyed(docs).mapInPandas(read, "doc_id long, text_key long, set_key binary, sig binary")
+    return keyed(docs).mapInPandas(read, "doc_id long, text_key long, set_key binary, sig binary, size long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -340,12 +341,10 @@ def near_components(classes: DataFrame) -> DataFrame:
 
 
 def compare(rows: DataFrame) -> DataFrame:
-    """rows: node, copies, component, shingles (binary). Returns node, links (rows linked), other (forest edge or null)."""
-    sizes = rows.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.length("shingles")).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("bytes") / TILE_BYTES))
-    sizes = materialize(sizes.select("component", F.least(blocks, F.col("members")).cast("int").alias("blocks")), "component-sizes")
-    spread = rows.join(sizes, "component")
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """rows: node, copies, component, blocks (of the component), shingles (binary). Returns node, links (rows linked),
+    other (forest edge or null).
+    """
+    spread = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # one key, so that the tiles of a large component are dealt to different tasks
     key = F.concat_ws("-", "component", F.least("block", "k"), F.greatest("block", "k"))
@@ -410,24 +409,29 @@ def join(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(sketches(docs), "sketches")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min(F.struct("text_key", "doc_id")).alias("one"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min(F.struct("text_key", "doc_id")).alias("one"), F.first("sig").alias("sig"),
+        F.first("size").alias("size"),
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     near = near_components(classes)
-    member = materialize(near.join(classes.select("node", "copies", "one", "set_key"), "node"), "members")
-    wanted = member.select("node", "component", "copies", "set_key", F.col("one.text_key").alias("text_key"), F.col("one.doc_id").alias("one_id"))
+    member = materialize(near.join(classes.select("node", "copies", "one", "set_key", "size"), "node"), "members")
+    # a component's blocks are known before its texts move
+    totals = member.groupBy("component").agg(F.count("*").alias("members"), F.sum(8 * F.col("size")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("bytes") / TILE_BYTES))
+    totals = materialize(totals.select("component", F.least(blocks, F.col("members")).cast("int").alias("blocks")), "component-sizes")
+    wanted = member.join(totals, "component").select("node", "component", "blocks", "copies", "set_key", F.col("one.text_key").alias("text_key"), F.col("one.doc_id").alias("one_id"))
 
     def reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t) for t in batch["text"]]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(k) for s, k in zip(sets, batch["set_key"])]
-            out = batch[["node", "copies", "component"]].assign(shingles=[s.tobytes() for s in sets])
+            out = batch[["node", "copies", "component", "blocks"]].assign(shingles=[s.tobytes() for s in sets])
             yield out[same]
 
     # by text and doc_id, so that the copies of a hot text do not come together
     texts = mapped(keyed(docs), wanted).withColumnRenamed("text_key", "own_key")
     texts = texts.join(wanted, (F.col("own_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
-    sets = texts.select("node", "copies", "component", "set_key", "text").mapInPandas(reread, "node long, copies long, component long, shingles binary")
+    sets = texts.select("node", "copies", "component", "blocks", "set_key", "text").mapInPandas(reread, "node long, copies long, component long, blocks int, shingles binary")
     found = materialize(compare(materialize(sets, "sets")), "links")
     groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
