@@ -66,7 +66,8 @@ MAP_BITS = 1 << 24
 #: Sets of a tile's block, and bytes of their shingles, on average.
 TILE, TILE_BYTES = 256, 16 << 20
 AUDIT = 128
-#: Agreements from which a pair that the runs missed counts for the audit; near 0.8, so that its Jaccard may be that.
+#: Agreements from which a pair that the runs missed becomes an edge, as its Jaccard may be 0.8; the audit's share is
+#: that of the pairs which agree in 0.8 or more.
 AUDITED = 0.76
 _WORD = re.compile(r"\w+")
 _KNOWN: dict[str, int] = {}
@@ -312,18 +313,21 @@ def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame,
         for batch in batches:
             nodes, comps = batch["node"].to_numpy(), batch["component"].to_numpy()
             columns = np.ascontiguousarray(_matrix(batch["sig"]).astype(np.uint8))
-            a, b, kinds, found = [0, 0], [0, 0], [False, True], [0, 0]
+            a, b, kinds, found, counts = [0, 0], [0, 0], [False, True], [0, 0], [0, 0]
             for n, c, alone, sig in queries:
-                pair = (np.count_nonzero(columns == sig, axis=1) >= AUDITED * COORDINATES) & (nodes != n)
-                missed = nodes[pair & (comps != c)]
-                found[alone] += int(pair.sum()) - len(missed)
-                a += missed.tolist()
+                agree = np.count_nonzero(columns == sig, axis=1)
+                other = (nodes != n) & (comps != c)
+                at_bar = agree * SIMILAR[1] >= SIMILAR[0] * COORDINATES
+                missed = np.flatnonzero((agree >= AUDITED * COORDINATES) & other)
+                found[alone] += int(np.count_nonzero(at_bar & (nodes != n) & ~other))
+                a += nodes[missed].tolist()
                 b += [n] * len(missed)
                 kinds += [alone] * len(missed)
-            yield pd.DataFrame({"a": a, "b": b, "alone": kinds, "found": found + [0] * (len(a) - 2)})
+                counts += at_bar[missed].astype(int).tolist()
+            yield pd.DataFrame({"a": a, "b": b, "alone": kinds, "found": found + [0] * (len(a) - 2), "missed": counts})
 
-    seen = materialize(placed.mapInPandas(look, "a long, b long, alone boolean, found long"), "audit")
-    there = seen.groupBy("alone").agg(F.sum("found").alias("found"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("missed")).collect()  # two rows
+    seen = materialize(placed.mapInPandas(look, "a long, b long, alone boolean, found long, missed long"), "audit")
+    there = seen.groupBy("alone").agg(F.sum("found").alias("found"), F.sum("missed").alias("missed")).collect()  # two rows
     return seen.where("a <> b").select("a", "b"), all(r.found >= RECALL * (r.found + r.missed) for r in there)
 
 
