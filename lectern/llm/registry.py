@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from lectern.llm import chat, html_text, mixing, neighbours, ngram_join, ogg, packing, pii, quality, simple8b
+    from lectern.llm import chat, codes, html_text, mixing, neighbours, ngram_join, ogg, packing, pattern_packing, pii, quality, simple8b, turns
 
     return {
         "op1_snapshot_collapse": chat.op1_snapshot_collapse,
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op10_chosen_path": ngram_join.op10_chosen_path,
         "op9_ogg_media": ogg.op9_ogg_media,
         "op8_token_binary": simple8b.op8_token_binary,
+        "op11_pattern_packing": pattern_packing.op11_pattern_packing,
+        "op12_yinyang_codes": codes.op12_yinyang_codes,
+        "op13_turn_repair": turns.op13_turn_repair,
     }
 
 
