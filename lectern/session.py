@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,15 +57,47 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     that all executors share. The written schema is given, so nothing is inferred.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+#: Folders of the scratch blocks that are open, the innermost last.
+_OPEN: ContextVar[tuple[str, ...]] = ContextVar("open", default=())
+
+
+def _folder(spark: SparkSession) -> str:
+    return _OPEN.get()[-1] if _OPEN.get() else f"{shared_dir(spark)}/lectern"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialize() writes in the block goes to one folder that is dropped at its end, also after an error."""
+    path = f"{_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _OPEN.set((*_OPEN.get(), path))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        _delete(spark, path)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """materialize() to the folder around the innermost scratch block, so that it outlives the block."""
+    token = _OPEN.set(_OPEN.get()[:-1])
+    try:
+        return materialize(df, name)
+    finally:
+        _OPEN.reset(token)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table that materialize() gave, once nothing reads them any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    _delete(df.sparkSession, df._written)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
