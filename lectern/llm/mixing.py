@@ -14,7 +14,8 @@ that a leaf with a third of all rows is summed by many tasks, and only the bucke
 Cases. A null text has no tokens and is taken where the prefix reaches it; null languages and sources are
 leaves of their own named "(none)"; rows that are equal in doc_id and text share a key and are taken
 together or not at all; a leaf without any
-tokens has the budget 0, into which all its rows fit, so they are taken once. An empty table gives no rows. Extra columns stay, except where named as below.
+tokens has the budget 0, into which all its rows fit, so they are taken once. An empty table gives no rows. Extra columns
+stay, except n_copies and those that begin with "mix_", which are replaced.
 """
 
 from __future__ import annotations
@@ -130,14 +131,15 @@ def mix(docs: DataFrame, fraction: float = 0.6, max_epochs: int = 3, seed: str =
     rows = tagged(docs)
     small = materialize(rows.select("doc_id", *LEAF, "mix_tokens", "mix_digest"), "mix-rows")
     leaf = materialize(plan(small, fraction, max_epochs, seed), "mix-plan")
-    out = rows.join(leaf.select(*LEAF, "budget", "whole", "last_key"), LEAF)
-    more = F.coalesce(order_key(F.col("whole"), seed) <= F.col("last_key"), F.lit(False)).cast("long")
-    return out.withColumn("n_copies", F.col("whole") + more).where("n_copies > 0")
+    own = {"budget": "mix_budget", "whole": "mix_whole", "last_key": "mix_last"}
+    out = rows.drop(*own.values()).join(leaf.select(*LEAF, *(F.col(c).alias(n) for c, n in own.items())), LEAF)
+    more = F.coalesce(order_key(F.col("mix_whole"), seed) <= F.col("mix_last"), F.lit(False)).cast("long")
+    return out.withColumn("n_copies", F.col("mix_whole") + more).where("n_copies > 0")
 
 
 def op6_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_language").alias("language"), F.col("mix_source").alias("origin"), F.col("mix_tokens").alias("n_tokens"), F.col("budget").alias("leaf_budget"), "n_copies")
+    return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_language").alias("language"), F.col("mix_source").alias("origin"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_budget").alias("leaf_budget"), "n_copies")
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
