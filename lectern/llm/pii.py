@@ -7,15 +7,20 @@ come from the pieces between the matches.
 
 Information-theoretic part. Over the whole corpus of N rows, n(t) rows hold the term, n(e) the value, n(t, e)
 both. The share of the value's information that the term gives away is PMI(t, e) / IC(e), with
-PMI = log2(n(t, e) N / (n(t) n(e))) and IC = log2(N / n(e)). A term is generalised where that share is at least
-GENERALISE and removed where it is at least REMOVE, in all rows that hold both, however far apart and however
-few they are. As n(t, e) <= n(e), terms with n(t) > N (n(e) / N)^GENERALISE cannot reach the share; they are
-left out before pairs are made. The values that stand in one row alone score alike there and count as one.
+PMI = log2(n(t, e) N / (n(t) n(e))) and IC = log2(N / n(e)). A single row says little: there every rare word has the
+share 1. So a term of a row is scored on the rows with other texts alone (each count less the rows of this text: what
+the rest of the corpus tells of the value), unless it stands in one sentence with a base match, where all rows count.
+A term is generalised where its share is at least GENERALISE and removed where it is at least REMOVE, in every row
+that holds both, however far apart. As n(t, e) <= n(e), terms with n(t) > N (n(e) / N)^GENERALISE cannot reach the
+share; they are left out before pairs are made. Values that stand in the same rows score alike and are one (a list
+of addresses that comes again is one value), so pairs grow with a row's terms times its different sets of rows.
 
 Every step is DataFrame functions. Only rows that hold a digit or "@" carry their texts beyond the scan.
 
-Cases. A null text is empty and has no spans. Rows with equal doc_id and text are equal cases; all stay,
-also with a null doc_id. An empty table gives no rows. Terms inside base spans are never added.
+Cases. A null text is empty and has no spans. Rows with equal texts are equal cases; all stay, also with a null
+doc_id. An empty table gives no rows. Terms inside base spans are never added. find() replaces columns of the caller
+that are called base or spans; redact() gives all columns back as they were but for text. Inner names begin with
+"pii_"; columns of the caller that begin so are lost. Ties have no part: shares are compared with thresholds only.
 """
 
 from __future__ import annotations
@@ -100,68 +105,100 @@ def _base(text: Column, kind: str) -> Column:
 
 
 def suspects(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that can hold base spans (with `base` and the key `row_key`), and the other rows."""
+    """Rows that can hold base spans (with `pii_base` and the key `pii_key` of their text), and the other rows."""
     docs = docs.withColumn("pii_text", F.coalesce("text", F.lit("")))
     may = F.col("pii_text").rlike("[0-9@]")
     spans = F.concat(*[_base(F.col("pii_text"), k) for k in KINDS])
-    hits = docs.where(may).withColumn("base", spans)
-    return hits.withColumn("row_key", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "pii_text"), 256)), docs.where(~may)
+    hits = docs.where(may).withColumn("pii_base", spans)
+    return hits.withColumn("pii_key", F.sha2("pii_text", 256)), docs.where(~may)
 
 
 def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{3,})"), F.lit(1)))
 
 
+def beside(text: Column) -> Column:
+    """The words in one sentence with a match of a base pattern."""
+    near = []
+    for kind in KINDS:
+        gaps = F.split(text, PATTERNS[kind], -1)
+        cut = lambda g: F.split(g, r"[.!?\n]", -1)
+        last, n = lambda g: F.element_at(cut(g), -1), F.size(gaps)
+        ends = F.transform(gaps, lambda g, k: F.concat_ws(" ", F.when(k > 0, cut(g)[0]), F.when(k < n - 1, last(g))))  # noqa: B023
+        ends = F.when(n > 1, F.array_join(ends, " "))
+        near.append(F.when(F.contains(text, F.lit(GUARDS[kind])), ends) if kind in GUARDS else ends)
+    return words(F.concat_ws(" ", *near))
+
+
+def _share(n_te: Column, n_t: Column, n_e: Column, n: Column) -> Column:
+    """PMI / IC; 0 where a count leaves nothing to say."""
+    fine = (n_te > 0) & (n_e > 0) & (n_e < n)
+    return F.when(fine, F.log2(n_te * n / (n_t * n_e)) / F.log2(n / n_e)).otherwise(F.lit(0.0))
+
+
 def disclosing(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """row_key, generalise and remove: the row's terms that give a protected value of the row away."""
+    """pii_key, pii_generalise and pii_remove: a text's terms that give a protected value in it away."""
     value = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", "")))
-    rows = hits.where(F.size("base") > 0).select("row_key", F.array_distinct(F.transform("base", value)).alias("values"), words(F.col("pii_text")).alias("terms"))
-    # equal rows are one here and count `same` times
-    rows = materialize(rows.groupBy("row_key").agg(F.count("*").alias("same"), F.first("values").alias("values"), F.first("terms").alias("terms")), "pii-rows")
-    held = rows.select("row_key", "same", F.explode("values").alias("value"))
-    held = held.join(held.groupBy("value").agg(F.sum("same").alias("n_e")), "value")
-    one = F.when(F.col("n_e") == F.col("same"), F.concat(F.lit("only:"), "row_key")).otherwise(F.col("value"))
-    held = materialize(held.select("row_key", "same", "n_e", one.alias("value")).distinct(), "pii-values")
+    rows = hits.where(F.size("pii_base") > 0).select("pii_key", "pii_base", "pii_text")
+    # equal texts are one here and count `same` times
+    rows = rows.groupBy("pii_key").agg(F.count("*").alias("same"), F.first("pii_base").alias("base"), F.first("pii_text").alias("body"))
+    rows = rows.select("pii_key", "same", F.array_distinct(F.transform("base", value)).alias("values"), words(F.col("body")).alias("terms"), beside(F.col("body")).alias("close"))
+    rows = materialize(rows, "pii-rows")
+    held = rows.select("pii_key", "same", F.explode("values").alias("value"))
+    # a value's set of texts: two independent hashes, each folded by exclusive or, and its size
+    of = held.groupBy("value").agg(
+        F.sum("same").alias("n_e"), F.count("*").alias("texts"), F.bit_xor(F.xxhash64("pii_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "pii_key")).alias("y")
+    )
+    held = held.join(of, "value").select("pii_key", "same", "n_e", F.concat_ws(":", "texts", "x", "y").alias("value"))
+    held = materialize(held.distinct(), "pii-values")
     n = float(docs.count())
     most = held.agg(F.max("n_e")).first()[0] or 0
-    reach = lambda n_e: (1 + 1e-9) * n * F.pow(n_e / F.lit(n or 1.0), F.lit(GENERALISE))
+    reach = lambda n_e: 1 + (1 + 1e-9) * n * F.pow(n_e / F.lit(n or 1.0), F.lit(GENERALISE))
     counts = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     counts = counts.where(F.col("n_t") <= reach(F.lit(most)))
-    terms = rows.select("row_key", F.explode("terms").alias("term")).join(counts, "term")
-    near = terms.join(held, "row_key").where(F.col("n_t") <= reach(F.col("n_e")))
-    near = materialize(near.select("row_key", "same", "value", "n_e", "term", "n_t"), "pii-near")
-    scored = near.groupBy("value", "term", "n_e", "n_t").agg(F.sum("same").alias("n_te"))
-    pmi = F.log2(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
-    share = F.when(F.col("n_e") < n, pmi / F.log2(F.lit(n) / F.col("n_e"))).otherwise(F.lit(0.0))
-    flagged = scored.withColumn("share", share).where(F.col("share") >= GENERALISE).select("value", "term", (F.col("share") >= REMOVE).alias("remove"))
-    mine = near.join(flagged, ["value", "term"]).groupBy("row_key", "term").agg(F.max("remove").alias("remove"))
-    listed = mine.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("terms"))
+    terms = rows.select("pii_key", F.explode("terms").alias("term"), "close").withColumn("close", F.array_contains("close", F.col("term"))).join(counts, "term")
+    near = terms.join(held, "pii_key").where(F.col("n_t") <= reach(F.col("n_e")))
+    near = materialize(near.select("pii_key", "same", "value", "n_e", "term", "n_t", "close"), "pii-near")
+    both = near.groupBy("value", "term").agg(F.sum("same").alias("n_te"))
+    others = lambda c: F.col(c) - F.when(F.col("close"), F.lit(0)).otherwise(F.col("same"))
+    total = F.lit(n) - F.when(F.col("close"), F.lit(0)).otherwise(F.col("same"))
+    share = _share(others("n_te"), others("n_t"), others("n_e"), total)
+    mine = near.join(both, ["value", "term"]).groupBy("pii_key", "term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE)
+    listed = mine.groupBy("pii_key").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("share") >= REMOVE).alias("remove")))).alias("terms"))
     pick = lambda flag: F.transform(F.filter("terms", lambda t: t["remove"] == flag), lambda t: t["term"])
-    return listed.select("row_key", pick(False).alias("generalise"), pick(True).alias("remove"))
+    return listed.select("pii_key", pick(False).alias("pii_generalise"), pick(True).alias("pii_remove"))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs with `base` and `spans`: arrays of kind, start, end, value; spans are base spans, then terms."""
+def _found(docs: DataFrame) -> DataFrame:
+    """docs with pii_text, pii_base and pii_spans: arrays of kind, start, end, value; spans are base spans, then terms."""
+    docs = docs.select(*[c for c in docs.columns if not c.startswith("pii_")])
     hits, clean = suspects(docs)
     hits = materialize(hits, "pii-hits")
-    terms = disclosing(docs, hits)
-    out = hits.join(terms, "row_key", "left")
+    # two written tables: adaptive execution splits the copies of a hot text
+    out = hits.join(materialize(disclosing(docs, hits), "pii-terms"), "pii_key", "left")
     none = F.from_json(F.lit("[]"), f"array<{_SPAN}>")
+    no_terms = F.array().cast("array<string>")
+    terms = F.concat(F.coalesce("pii_generalise", no_terms), F.coalesce("pii_remove", no_terms))
+    regex = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
+    outside = F.filter(located(F.col("pii_text"), regex, "general"), lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    out = out.withColumn("pii_terms", F.when(F.size(terms) > 0, outside).otherwise(none))
+    gone = lambda s: F.array_contains("pii_remove", F.lower(s["value"]))
+    removed = F.transform(F.filter("pii_terms", gone), lambda s: s.withField("kind", F.lit("removed")))
+    out = out.withColumn("pii_spans", F.concat("pii_base", F.filter("pii_terms", lambda s: ~F.coalesce(gone(s), F.lit(False))), F.coalesce(removed, none)))
+    clean = clean.withColumns({"pii_base": none, "pii_spans": none})
+    return out.drop("pii_key", "pii_generalise", "pii_remove", "pii_terms").unionByName(clean)
 
-    def added(column: str, kind: str) -> Column:
-        regex = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(column, "|"), F.lit(r")(?!\p{L})"))
-        found = F.filter(located(F.col("pii_text"), regex, kind), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.when(F.size(F.coalesce(column, F.array().cast("array<string>"))) > 0, found).otherwise(none)
 
-    out = out.withColumn("spans", F.concat("base", added("generalise", "general"), added("remove", "removed")))
-    clean = clean.withColumns({"base": none, "spans": none})
-    return out.drop("row_key", "generalise", "remove").unionByName(clean)
+def find(docs: DataFrame) -> DataFrame:
+    """docs with `base` and `spans`: arrays of kind, start, end, value; spans are base spans, then terms."""
+    own = [c for c in docs.columns if c not in ("base", "spans") and not c.startswith("pii_")]
+    return _found(docs).select(*own, "pii_text", F.col("pii_base").alias("base"), F.col("pii_spans").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by its kind, generalised terms by a class, removed terms by nothing."""
-    found = find(docs)
-    by_place = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"].cast("int") - a["end"].cast("int")))
+    found = _found(docs)
+    by_place = F.array_sort("pii_spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"].cast("int") - a["end"].cast("int")))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(acc["part"], (acc["at"] - acc["from"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
@@ -180,8 +217,8 @@ def redact(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate(_pieces(by_place), start, run)
     rest = F.substring("pii_text", (done["at"] + 1).cast("int"), F.length("pii_text"))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(done["out"], ""), rest))
-    return found.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.size("pii_spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(done["out"], ""), rest))
+    return found.withColumn("text", text).select(*[c for c in docs.columns if not c.startswith("pii_")])
 
 
 def spelt(spans: Column) -> Column:
