@@ -16,7 +16,11 @@ words is one shingle). Two sets link at Jaccard 0.8 or more, computed exactly.
    many as miss a pair at 0.8 with a probability under 1 - RECALL if a run keeps it with PER_RUN; that is then
    measured: AUDIT classes of components and AUDIT others (fixed numbers, by hash, others each time) are compared
    with the embeddings of all classes in blocks. Pairs that the runs did not bring together become edges, and
-   while of either kind the share found is under RECALL, further runs follow.
+   while of either kind more than one pair and more than 1 - AUDIT_BAR of the pairs were missed, further runs follow.
+   (The bar is one that some hundred audited pairs can tell; the runs are laid out for RECALL.)
+
+The root split reads two bytes a coordinate, where the sketch is made; all else compares, and all that is shuffled for
+it carries, one byte a coordinate, which agrees where the value does and otherwise by chance in 1 of 256.
 4. Inside each component of candidates the exact sets are compared in tiles of at most 2 x TILE classes, so
    that links found and links merely implied by a path are both counted once, and links that are none drop
    out. A tile gives link counts and a spanning forest; the forests' components are the groups.
@@ -45,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
-from lectern.session import materialize, table
+from lectern.session import keep, materialize, scratch, table
 
 WORDS = 5
 #: Jaccard of 4/5: 5 * both >= 4 * either.
@@ -53,6 +57,7 @@ SIMILAR = (4, 5)
 COORDINATES = 128
 CANDIDATE = 0.65
 RECALL = 0.9999
+AUDIT_BAR = 0.99
 #: A root splits by two coordinates, so it keeps a pair at 0.8 with probability 0.64; down the path of a large
 #: bucket this is assumed.
 PER_RUN = 0.3
@@ -61,8 +66,9 @@ RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - PER_RUN))
 FEW = 64
 BRUTE = 2048
 DEPTH = 8
-#: Bits of the map that keeps texts that are in no component from being moved; its size is fixed.
-MAP_BITS = 1 << 24
+#: Bits a key of the map that keeps texts that are in no component from being moved, and the most keys it is made for
+#: (a broadcast of 2 M words, 32 MB); more of them are joined.
+MAP_SHARE, MAP_KEYS = 16, 1 << 23
 #: Sets of a tile's block, and bytes of their shingles, on average.
 TILE, TILE_BYTES = 256, 16 << 20
 AUDIT = 128
@@ -105,12 +111,13 @@ _FACTORS = np.random.default_rng(11).integers(1 << 20, 1 << 31, COORDINATES, dty
 _SHIFTS = np.random.default_rng(12).integers(0, 1 << 32, COORDINATES, dtype=np.uint32)[:, None]
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray) -> bytes:
+    """COORDINATES low bytes of the min-hash values, then as many next higher ones."""
     x = (found >> _U(32)).astype(np.uint32)
     out = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint32)
     for lo in range(0, len(x), 4096):
         np.minimum(out, (x[lo : lo + 4096] * _FACTORS + _SHIFTS).min(axis=1), out=out)
-    return out
+    return (out & 255).astype(np.uint8).tobytes() + (out >> 8 & 255).astype(np.uint8).tobytes()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -122,7 +129,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 found = shingles(text)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                sigs.append(signature(found).tobytes() if len(found) else None)
+                sigs.append(signature(found) if len(found) else None)
                 sizes.append(len(found))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "set_key": keys, "sig": sigs, "size": sizes})
 
@@ -163,7 +170,18 @@ def _split(paths: np.ndarray, sigs: np.ndarray, once: np.ndarray) -> tuple[np.nd
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), COORDINATES)
+    """Sketches of one byte a coordinate."""
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), COORDINATES)
+
+
+def _wide(column: pd.Series) -> np.ndarray:
+    """Sketches of two bytes a coordinate."""
+    both = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), 2, COORDINATES).astype(np.uint16)
+    return both[:, 0] | both[:, 1] << 8
+
+
+def narrow(classes: DataFrame) -> DataFrame:
+    return classes.select("node", F.substring("sig", 1, COORDINATES).alias("sig"))
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -188,14 +206,13 @@ def agreeing(sigs: np.ndarray) -> list[tuple[int, int]]:
 
     Rows that are reached are not compared again, so a bucket of near copies costs a pass or a few.
     """
-    short = sigs.astype(np.uint8)  # one byte agrees where the whole value does, and by chance in 1 of 256
-    left, short_left, out, todo = np.arange(len(sigs)), short, [], []
+    left, short_left, out, todo = np.arange(len(sigs)), sigs, [], []
     while len(left):
         if todo:
             u = todo.pop()
         else:
             u, left, short_left = int(left[0]), left[1:], short_left[1:]
-        near = np.count_nonzero(short_left == short[u], axis=1) >= CANDIDATE * COORDINATES
+        near = np.count_nonzero(short_left == sigs[u], axis=1) >= CANDIDATE * COORDINATES
         if near.any():
             new = left[near].tolist()
             out += [(u, v) for v in new]
@@ -209,7 +226,7 @@ def candidates(classes: DataFrame, first_run: int = 0, runs: int = RUNS) -> Data
 
     def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sigs, nodes = _matrix(batch["sig"]), batch["node"].to_numpy()
+            sigs, nodes = _wide(batch["sig"]), batch["node"].to_numpy()
             for run in range(first_run, first_run + runs):
                 yield pd.DataFrame({"path": _root(run, sigs).view(np.int64), "node": nodes})
 
@@ -228,7 +245,7 @@ def candidates(classes: DataFrame, first_run: int = 0, runs: int = RUNS) -> Data
             a, b = [], []
             for members in batch["members"]:
                 nodes = [m["node"] for m in members]
-                pairs = agreeing(np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint32).reshape(-1, COORDINATES))
+                pairs = agreeing(_matrix([m["sig"] for m in members]))
                 a += [nodes[i] for i, _ in pairs]
                 b += [nodes[j] for _, j in pairs]
             yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
@@ -255,7 +272,7 @@ def candidates(classes: DataFrame, first_run: int = 0, runs: int = RUNS) -> Data
             break
         held = paths.join(large, "path")
         if level == 0:  # further down, large buckets' rows bring their embeddings along
-            held = held.join(classes.select("node", "sig"), "node")
+            held = held.join(narrow(classes), "node")
         # one seeded order a level: a group that many runs keep together has few leaders, so edges are equal ones
         lead = held.groupBy("path").agg(F.min(F.struct(F.xxhash64(F.lit(level), "node"), "node", "sig")).alias("l"))
         lead = lead.select("path", F.col("l.node").alias("leader"), F.col("l.sig").alias("leader_sig"))
@@ -268,14 +285,14 @@ def candidates(classes: DataFrame, first_run: int = 0, runs: int = RUNS) -> Data
         buckets = buckets.unionByName(more)
     # many runs give the same bucket
     buckets = buckets.groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("nodes")).groupBy("nodes").agg(F.min("path").alias("path"))
-    rows = buckets.select("path", F.explode("nodes").alias("node")).join(classes.select("node", "sig"), "node")
+    rows = buckets.select("path", F.explode("nodes").alias("node")).join(narrow(classes), "node")
     rows = rows.groupBy("path").agg(F.collect_list(F.struct("node", "sig")).alias("members"))
     out = rows.select("members").mapInPandas(brute, "a long, b long")
     if some:
         rows = some[0]
         for more in some[1:]:
             rows = rows.unionByName(more)
-        out = out.unionByName(rows.join(classes.select("node", "sig"), "node").groupBy("path").applyInPandas(bucket, "a long, b long"))
+        out = out.unionByName(rows.join(narrow(classes), "node").groupBy("path").applyInPandas(bucket, "a long, b long"))
     for more in edges:
         out = out.unionByName(more)
     return out
@@ -287,7 +304,7 @@ def blockwise(rows: DataFrame, classes: DataFrame) -> DataFrame:
     spread = rows.withColumn("blocks", F.ceil(F.col("size") / half).cast("int"))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = spread.select(F.concat_ws("-", "path", F.least("block", "k"), F.greatest("block", "k")).alias("tile"), "node").join(classes.select("node", "sig"), "node")
+    tiles = spread.select(F.concat_ws("-", "path", F.least("block", "k"), F.greatest("block", "k")).alias("tile"), "node").join(narrow(classes), "node")
 
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("node")
@@ -298,21 +315,21 @@ def blockwise(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame, bool]:
-    """Missed edges of the audited classes (a, b), and whether the share of their pairs that was found meets RECALL."""
+    """Missed edges of the audited classes (a, b), and whether the share of their pairs that was found meets AUDIT_BAR."""
     # only embeddings of classes that may be in a component move
-    rows = flagged(classes.select("node", "sig"), groups.select("node"), "node")
-    met = rows.where("maybe").drop("maybe").join(groups, "node", "left")
-    met = met.unionByName(rows.where("not maybe").select("node", "sig", F.lit(None).cast("long").alias("component")))
+    rows = flagged(narrow(classes), groups.select("node"), "node")
+    met = rows.where("map_maybe").drop("map_maybe").join(groups, "node", "left")
+    met = met.unionByName(rows.where("not map_maybe").select("node", "sig", F.lit(None).cast("long").alias("component")))
     placed = materialize(met.select("node", "sig", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone")), "audited")
     order = [F.xxhash64("node", F.lit(seed)), F.col("node")]
     asked = [r for alone in (False, True) for r in placed.where(F.col("alone") == alone).orderBy(*order).limit(AUDIT).collect()]  # 2 x AUDIT classes
     held = classes.sparkSession.sparkContext.broadcast([(r.node, r.component, r.alone, bytes(r.sig)) for r in asked])
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries = [(n, c, alone, np.frombuffer(sig, dtype=np.uint32).astype(np.uint8)) for n, c, alone, sig in held.value]
+        queries = [(n, c, alone, np.frombuffer(sig, dtype=np.uint8)) for n, c, alone, sig in held.value]
         for batch in batches:
             nodes, comps = batch["node"].to_numpy(), batch["component"].to_numpy()
-            columns = np.ascontiguousarray(_matrix(batch["sig"]).astype(np.uint8))
+            columns = _matrix(batch["sig"])
             a, b, kinds, found, counts = [0, 0], [0, 0], [False, True], [0, 0], [0, 0]
             for n, c, alone, sig in queries:
                 agree = np.count_nonzero(columns == sig, axis=1)
@@ -328,20 +345,22 @@ def audit(classes: DataFrame, groups: DataFrame, seed: int) -> tuple[DataFrame,
 
     seen = materialize(placed.mapInPandas(look, "a long, b long, alone boolean, found long, missed long"), "audit")
     there = seen.groupBy("alone").agg(F.sum("found").alias("found"), F.sum("missed").alias("missed")).collect()  # two rows
-    return seen.where("a <> b").select("a", "b"), all(r.found >= RECALL * (r.found + r.missed) for r in there)
+    return seen.where("a <> b").select("a", "b"), all(r.missed <= max(1, (1 - AUDIT_BAR) * (r.found + r.missed)) for r in there)
 
 
 def near_components(classes: DataFrame) -> DataFrame:
     """node, component of the classes that candidate edges join; runs go on until the audit is content."""
-    edges, run = candidates(classes, 0, RUNS), RUNS
+    spark = classes.sparkSession
+    edges, first, runs = None, 0, RUNS
     for attempt in itertools.count():
-        groups = materialize(components(edges), "near")
+        with scratch(spark):  # a run's paths go once its components are written
+            found = candidates(classes, first, runs)
+            groups = keep(components(found if edges is None else edges.unionByName(found)), "near")
         missed, enough = audit(classes, groups, attempt)
         edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)
         if enough:
             return components(edges) if not missed.isEmpty() else groups
-        more = max(4, RUNS // 4)
-        edges, run = edges.unionByName(candidates(classes, run, more)), run + more
+        first, runs = first + runs, max(4, RUNS // 4)
 
 
 def compare(rows: DataFrame) -> DataFrame:
@@ -392,25 +411,35 @@ def compare(rows: DataFrame) -> DataFrame:
 
 
 def flagged(rows: DataFrame, wanted: DataFrame, key: str = "text_key") -> DataFrame:
-    """rows with `maybe`: whether the key may be among the wanted ones, by a bit map of fixed size that is broadcast.
-
-    It has at most MAP_BITS / 64 words, however many keys there are; a full map says maybe to all rows.
+    """rows with `map_maybe`: whether the key may be among the wanted ones, by a bit map that is sized for their number
+    and broadcast; where it would be larger than for MAP_KEYS keys, a join says it exactly.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    keys = wanted.count()
+    if keys > MAP_KEYS:
+        there = wanted.select(F.col(key).alias("map_key")).distinct().withColumn("map_maybe", F.lit(True))
+        held = rows.join(there, rows[key] == there["map_key"], "left").drop("map_key")
+        return held.withColumn("map_maybe", F.coalesce("map_maybe", F.lit(False)))
+    bits = max(1 << 16, 1 << (MAP_SHARE * keys - 1).bit_length())
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
     words = wanted.select(word.alias("map_word"), bit.alias("bit")).groupBy("map_word").agg(F.bit_or("bit").alias("map_bits"))
     held = rows.withColumn("map_word", word).join(F.broadcast(words), "map_word", "left")
-    return held.withColumn("maybe", F.coalesce(F.col("map_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("map_word", "map_bits")
+    return held.withColumn("map_maybe", F.coalesce(F.col("map_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("map_word", "map_bits")
 
 
 def mapped(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    return flagged(rows, wanted).where("maybe").drop("maybe")
+    return flagged(rows, wanted).where("map_maybe").drop("map_maybe")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_key, group (of linked sets; null without a set), class_id (smallest doc_id
     of its group), n_links (other rows linked directly).
     """
+    with scratch(docs.sparkSession):
+        return keep(_join(docs), "placed")
+
+
+def _join(docs: DataFrame) -> DataFrame:
     rows = materialize(sketches(docs), "sketches")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min(F.struct("text_key", "doc_id")).alias("one"), F.first("sig").alias("sig"),
@@ -462,19 +491,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: that with the smallest doc_id, then the smallest text_key.
 
     Null doc_ids stay only where a group has no other. Rows without a set stay, but rows equal in doc_id and
-    text are one. Further columns stay; of rows equal in doc_id and text any one is taken.
+    text are one. Further columns stay, except those that begin with map_; of rows equal in doc_id and text any one is taken.
     """
-    found = materialize(join(docs), "placed")
+    found = join(docs)
     alone = found.where("`group` is null")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    first = found.where("`group` is not null").groupBy("group").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("keep_id"), F.col("f.text_key").alias("text_key"))
-    first = materialize(first.unionByName(alone.select(F.col("doc_id").alias("keep_id"), "text_key").distinct()), "first")
+    first = found.where("`group` is not null").groupBy("group").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("map_id"), F.col("f.text_key").alias("map_first"))
+    first = materialize(first.unionByName(alone.select(F.col("doc_id").alias("map_id"), F.col("text_key").alias("map_first")).distinct()), "first")
     # only rows whose text is a copy, or comes again, move; all others are known to stay where they are read
-    same = [found["text_key"] == first["text_key"], found["doc_id"].eqNullSafe(first["keep_id"])]
-    copies = found.join(first, same, "left_anti").select("text_key")
+    copies = found.join(first, [found["text_key"] == first["map_first"], found["doc_id"].eqNullSafe(first["map_id"])], "left_anti").select("text_key")
     again = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key")
-    rows = flagged(docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))), materialize(copies.unionByName(again).distinct(), "copies"))
-    doubtful = rows.where("maybe")
-    kept = doubtful.join(first, (doubtful["text_key"] == first["text_key"]) & doubtful["doc_id"].eqNullSafe(first["keep_id"])).drop(first["text_key"]).drop("keep_id")
-    kept = kept.dropDuplicates(["doc_id", "text_key"])
-    return rows.where("not maybe").unionByName(kept).drop("text_key", "maybe")
+    own = [c for c in docs.columns if not c.startswith("map_")]
+    rows = docs.select(*own, F.xxhash64(F.coalesce("text", F.lit(""))).alias("map_text"))
+    rows = flagged(rows, materialize(copies.unionByName(again).select(F.col("text_key").alias("map_text")).distinct(), "copies"), "map_text")
+    doubtful = rows.where("map_maybe")
+    kept = doubtful.join(first, (doubtful["map_text"] == first["map_first"]) & doubtful["doc_id"].eqNullSafe(first["map_id"]))
+    kept = kept.dropDuplicates(["doc_id", "map_text"])
+    return rows.where("not map_maybe").select(*own).unionByName(kept.select(*own))
