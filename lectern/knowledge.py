@@ -30,7 +30,7 @@ class KnowledgeBase:
     def _index(self, name: str, rows: DataFrame, key: str, text: str, heading: str, embedded: str, tells: tuple[str, ...]) -> index.Index:
         """Built once and read by every search until the indexed rows change."""
         embed = lambda r, k, _: self.embed(r, k, embedded)
-        return index.of(self.spark, f"{self.path}#{name}#{id(self.embed)}", rows, key, text, heading, tells, embed)
+        return index.of(self.spark, f"{self.path}#{name}", rows, key, text, heading, tells, embed, self.embed)
 
     def scopes(self) -> list:
         """id, name and aliases of the registered scopes, a registry of checked size; none where the table is missing."""

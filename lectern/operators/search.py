@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.quotes import containing as containing  # searches use it beside rankings
 from lectern.session import materialize
 
 #: Fixed values of the ranking.
@@ -183,42 +184,6 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, item: str, cut: int, dig
     return ranked(vectors.select(item, "v", *[scope] if scope else []).mapInPandas(block, schema), item, cut)
 
 
-def containing(texts: DataFrame, key: str, text: str, quotes: DataFrame) -> DataFrame:
-    """quote_id, key for every text that holds a quote (quote_id, quote); an empty quote is in every text.
-
-    The first ANCHOR characters of all quotes are looked for in one pass over a text, however many quotes there
-    are; where one stands the whole quote is compared.
-    """
-    asked = _batch(quotes.select("quote_id", "quote").where("quote is not null"), "quotes")
-    kind, name = quotes.schema["quote_id"].dataType.simpleString(), texts.schema[key].dataType.simpleString()
-    held = texts.sparkSession.sparkContext.broadcast([(r.quote_id, r.quote) for r in asked])
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine, by_anchor, always = ahocorasick.Automaton(), {}, []
-        for i, quote in held.value:
-            by_anchor.setdefault(quote[:ANCHOR], []).append((i, quote)) if quote else always.append(i)
-        for anchor in by_anchor:
-            machine.add_word(anchor, anchor)
-        machine.make_automaton()
-        for batch in batches:
-            found = []
-            for k, t in zip(batch[key], batch[text]):
-                if t is None:
-                    continue
-                # of an anchor's quotes all that are somewhere in the text, asked once for each anchor
-                anchors = {a for _, a in machine.iter(t)} if by_anchor else ()
-                found += [(i, k) for a in anchors for i, quote in by_anchor[a] if quote in t] + [(i, k) for i in always]
-            yield pd.DataFrame(found, columns=["quote_id", key])
-
-    return texts.select(key, text).mapInPandas(look, f"quote_id {kind}, {key} {name}")
-
-
-#: Characters of a quote that are looked for first.
-ANCHOR = 48
-
-
 def fuse(lists: dict[str, DataFrame], item: str, weights: dict[str, float] = WEIGHTS, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: query_id, item, score; the terms are added in the order of the lists."""
     names = list(lists)

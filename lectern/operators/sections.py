@@ -1,10 +1,12 @@
 """From the blocks of a document to its sections.
 
-`split` is the whole rule set. Each block gets an anchor: itself, or for a heading the next block that is no
-heading. The number of section starts up to the anchor is the block's section; that places headings that
-travel with what they introduce without a state machine. Only the title line before a number, which depends
-on what the section before has left, is decided in a loop over starts. One document is one group.
-The native functions below express single rules over any partitioned, ordered rows.
+`split` is the whole rule set as windows over a document's blocks. A block's section is the number of section starts
+up to it; a heading, which travels with what it introduces, takes the least such number among the later blocks that are
+none (a running minimum from the end). Heading paths are forward fills, one a level, each void once a higher one came
+later. The title line before a number, which depends on what the section before has left, is told by runs.
+The functions below express single rules over any partitioned, ordered rows. Patterns are regular expressions that
+mean the same in Python and in Java; a section pattern that matches nothing of a line starts no section. Blocks without a
+doc_id are no document's. Of heading levels beyond DEPTH all count as DEPTH.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from lectern.functions import text as T
 PREAMBLE = "(preamble)"
 MAX_CHARS = 12_000
 REF_CHARS = 120
-_CLOSED = re.compile(r"[.;:,!?)\]»”\"]$")
+DEPTH = 9
 
 
 @dataclass(frozen=True)
@@ -43,128 +44,137 @@ BLOCKS = "doc_id string, ord int, text string, level int, ref string, page int,
 SECTIONS = "doc_id string, section_no int, section_ref string, heading_path array<string>, text string, error string"
 
 
-def _view(b) -> str:
-    text = "#" * b.level + " " + b.text if b.level else b.text
-    return "> " + text if b.quoted else text
+def _at_start(pattern: str) -> str:
+    """A Python pattern as one of Java's that is matched at a line's start."""
+    re.compile(pattern)
+    return r"\A(?:" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")) + ")"
 
 
-def _titled(text: str) -> bool:
-    return len(text) <= 150 and not _CLOSED.search(text) and not text[:1].islower()
+def _group(view: Column, pattern: str, name: str | int) -> Column:
+    number = int(name) if str(name).isdigit() else re.compile(pattern).groupindex[str(name)]
+    return F.regexp_extract(view, _at_start(pattern), number)
 
 
-def sections_of(blocks: list, rules: Rules) -> list[tuple[str, tuple[str, ...], str]]:
-    """(ref, heading path, text) of each section of one document; blocks have text, level, ref, page, quoted."""
-    views = [_view(b) for b in blocks]
-    begin, stop = 0, len(blocks)
-    if rules.body_start is not None:
-        begin = next((i for i, v in enumerate(views) if re.match(rules.body_start, v)), -1)
-        if begin < 0:
-            raise ValueError(f"no line begins the body (body_start {rules.body_start!r})")
+def _label(view: Column, pattern: str, template: str | None) -> Column:
+    """What a matching line is called: its group "ref", or a template of groups (\\g<name>, \\1)."""
+    if template is None:
+        return _group(view, pattern, "ref")
+    pieces = re.split(r"\\g<(\w+)>|\\(\d)", template)
+    out = [F.lit(pieces[0])]
+    for k in range(1, len(pieces), 3):
+        out += [_group(view, pattern, pieces[k] or pieces[k + 1]), F.lit(pieces[k + 2])]
+    return F.concat(*out)
+
+
+def _placed(blocks: DataFrame, rules: Rules) -> DataFrame:
+    """Blocks up to the body's end with `start` (a section's own reference), `head`, `chapter` and `place` (the section's
+    number, 0 for what stands before the first). Documents whose body isn't found have `error` and nothing else.
+    """
+    doc = Window.partitionBy("doc_id")
+    upto = doc.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.when(F.col("level") > 0, F.col("level"))
+    view = F.concat(F.when(F.coalesce("quoted", F.lit(False)), "> ").otherwise(""), F.when(level.isNotNull(), F.concat(F.expr("repeat('#', level)"), F.lit(" "))).otherwise(""), F.col("text"))
+    rows = blocks.withColumns({"view": view, "level": level})
+    begins = F.col("view").rlike(_at_start(rules.body_start)) if rules.body_start is not None else F.lit(True)
+    rows = rows.withColumn("begin", F.min(F.when(begins, F.col("ord"))).over(doc))
+    error = F.when(F.col("begin").isNull(), f"no line begins the body (body_start {rules.body_start!r})")
     if rules.body_end is not None:
-        stop = next((i for i, v in enumerate(views) if i > begin and re.match(rules.body_end, v)), -1)
-        if stop < 0:
-            raise ValueError(f"no line ends the body (body_end {rules.body_end!r})")
-    blocks, views = blocks[:stop], views[:stop]
-    by_pattern = False
-    if any(b.ref for b in blocks):
-        start = lambda i: blocks[i].ref
-    elif rules.section_pattern:
-        by_pattern = True
-
-        def start(i: int) -> str | None:
-            m = re.match(rules.section_pattern, views[i])
-            return m and (m.expand(rules.section_label) if rules.section_label else m["ref"])
-    elif any(b.level for b in blocks):
-        start = lambda i: blocks[i].text[:REF_CHARS] if blocks[i].level else None
+        ends = F.col("view").rlike(_at_start(rules.body_end)) & (F.col("ord") > F.col("begin"))
+        rows = rows.withColumn("stop", F.min(F.when(ends, F.col("ord"))).over(doc))
+        error = F.coalesce(error, F.when(F.col("stop").isNull(), f"no line ends the body (body_end {rules.body_end!r})"))
+        rows = rows.withColumn("error", error).where("error is not null or ord < stop")
     else:
-
-        def start(i: int) -> str | None:
-            page = blocks[i].page
-            before = blocks[i - 1].page if i > begin else None
-            return f"p. {page}" if page is not None and page != before else None
-
-    refs = [start(i) if i >= begin else None for i in range(len(blocks))]
-    chapters = [re.match(rules.chapter_pattern, v) if rules.chapter_pattern and i >= begin else None for i, v in enumerate(views)]
-    heads = [refs[i] is None and bool(b.level or chapters[i]) for i, b in enumerate(blocks)]
-    # anchors, from the end; a heading with nothing after it stays in the last section
-    counts, n = [], 0
-    for r in refs:
-        n += r is not None
-        counts.append(n)
-    place, ahead = [0] * len(blocks), n
-    for i in range(len(blocks) - 1, -1, -1):
-        if not heads[i]:
-            ahead = counts[i]
-        place[i] = ahead
-    texts: list[list[str]] = [[] for _ in range(n + 1)]
-    for i, b in enumerate(blocks):
-        texts[place[i]].append(b.text)
-    # headings as a tree: each knows the nearest one before it that is higher; a chapter line without a level is a new root
-    tree: list[tuple[int, str, int]] = []
-    last = -1
-
-    def above(k: int, level: int) -> int:
-        while k >= 0 and tree[k][0] >= level:
-            k = tree[k][2]
-        return k
-
-    def titles(k: int) -> tuple[str, ...]:
-        found: list[str] = []
-        while k >= 0:
-            found.insert(0, tree[k][1])
-            k = tree[k][2]
-        return tuple(found)
-
-    named: list[tuple[str, tuple[str, ...]]] = [(PREAMBLE, ())]
-    chapter = rules.first_chapter
-    for i, b in enumerate(blocks):
-        opens = chapters[i]
-        if opens:
-            chapter = opens.expand(rules.chapter_label) if rules.chapter_label else opens["ref"]
-        parent = above(last, b.level) if b.level else -1 if opens else last
-        if refs[i] is not None:
-            k, own = counts[i], refs[i]
-            named.append((own if not chapter or own.startswith(chapter) else " ".join((chapter, own)), titles(parent)))
-            # in pattern mode a title line just before a number belongs to it
-            if by_pattern and not (i and heads[i - 1]) and (k > 1 or texts[0]) and len(texts[k - 1]) > 1 and _titled(texts[k - 1][-1]):
-                texts[k].insert(0, texts[k - 1].pop())
-        if b.level or opens:
-            tree.append((b.level or 1, b.text, parent))
-            last = len(tree) - 1
-    out, seen = [], {}
-    for k, (ref, heading_path) in enumerate(named):
-        if k == 0 and not texts[0]:
-            continue
-        seen[ref] = seen.get(ref, 0) + 1
-        ref = ref if seen[ref] == 1 else f"{ref} ({seen[ref]})"
-        parts, size = [[]], 0
-        for t in texts[k]:
-            if parts[-1] and size + len(t) > rules.max_chars:
-                parts.append([])
-                size = 0
-            parts[-1].append(t)
-            size += len(t) + 1
-        for p, lines in enumerate(parts, 1):
-            out.append((ref if len(parts) == 1 else f"{ref} (part {p})", heading_path, "\n".join(lines)))
-    return [s for s in out if not (rules.drop_preamble and s[0].startswith(PREAMBLE))]
+        rows = rows.withColumn("error", error)
+    inside, v = F.col("ord") >= F.col("begin"), F.col("view")
+    by_ref = F.max(F.coalesce(F.col("ref") != "", F.lit(False))).over(doc)
+    by_level = F.max(F.col("level").isNotNull()).over(doc)
+    before = F.when(F.col("ord") > F.col("begin"), F.lag("page").over(doc.orderBy("ord")))
+    page = F.when(F.col("page").isNotNull() & ~F.col("page").eqNullSafe(before), F.concat(F.lit("p. "), F.col("page").cast("string")))
+    other = F.when(by_level, F.when(F.col("level").isNotNull(), F.substring("text", 1, REF_CHARS))).otherwise(page)
+    if rules.section_pattern:
+        label = _label(v, rules.section_pattern, rules.section_label)
+        other = F.when(v.rlike(_at_start(rules.section_pattern)) & (_group(v, rules.section_pattern, 0) != ""), label)
+    rows = rows.withColumn("by_ref", by_ref).withColumn("start", F.when(inside, F.when(F.col("by_ref"), F.col("ref")).otherwise(other)))
+    opens = inside & v.rlike(_at_start(rules.chapter_pattern)) if rules.chapter_pattern else F.lit(False)
+    rows = rows.withColumn("opens", opens)
+    named = F.when(F.col("opens"), _label(v, rules.chapter_pattern, rules.chapter_label)) if rules.chapter_pattern else F.lit(None).cast("string")
+    rows = rows.withColumn("chapter", F.coalesce(F.last(named, ignorenulls=True).over(upto), F.lit(rules.first_chapter)))
+    rows = rows.withColumn("head", F.col("start").isNull() & (F.col("level").isNotNull() | F.col("opens")))
+    rows = rows.withColumn("count", F.count("start").over(upto))
+    # a heading goes with what comes next: the least count of what is no heading, from the end on
+    back = doc.orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.coalesce(F.min(F.when(~F.col("head"), F.col("count"))).over(back), F.count("start").over(doc))
+    return rows.withColumn("place", F.when(F.col("head"), ahead).otherwise(F.col("count")))
+
+
+def _paths(rows: DataFrame) -> DataFrame:
+    """Adds `heading_path`: headings before a block, of each level the last one unless a higher one came after it."""
+    earlier = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.when(F.col("level").isNotNull(), F.least("level", F.lit(DEPTH))).when(F.col("opens"), F.lit(1))
+    last = {k: F.last(F.when(depth == k, F.struct("ord", "text")), ignorenulls=True).over(earlier) for k in range(1, DEPTH + 1)}
+    rows = rows.withColumns({f"last_{k}": c for k, c in last.items()})
+    own = F.when(F.col("level").isNotNull(), F.least("level", F.lit(DEPTH))).when(F.col("opens"), F.lit(1)).otherwise(F.lit(DEPTH + 1))
+    found, newest = [], F.lit(-1)
+    for k in range(1, DEPTH + 1):
+        at = F.coalesce(F.col(f"last_{k}.ord"), F.lit(-1))
+        found.append(F.when((own > k) & (at > newest), F.col(f"last_{k}.text")))
+        newest = F.greatest(newest, at)
+    return rows.withColumn("heading_path", F.filter(F.array(*found), lambda t: t.isNotNull())).drop(*last, *[f"last_{k}" for k in last])
+
+
+def _with_titles(rows: DataFrame) -> DataFrame:
+    """In pattern mode a title line just before a section's number moves on to it.
+
+    Whether one may depends on the section before having more than one line, its own or one that has moved to it, so
+    a line of a section with one line moves where the one before it does: an unbroken run of such moves counts back to
+    a section with several.
+    """
+    doc = Window.partitionBy("doc_id")
+    lines = Window.partitionBy("doc_id", "place")
+    rows = rows.withColumns({"lines": F.count("*").over(lines), "is_last": F.col("ord") == F.max("ord").over(lines), "head_before": F.lag("head", 1, False).over(doc.orderBy("ord"))})
+    # the last line of a section meets the next start: a start's head_before, brought to the section's number
+    starts = rows.where("start is not null").select("doc_id", F.col("count").alias("k"), F.col("head_before").alias("travels"))
+    ends = rows.where("is_last and not by_ref").select("doc_id", (F.col("place") + 1).alias("k"), "ord", "lines", T.is_title("text").alias("title"))
+    met = starts.join(ends, ["doc_id", "k"])
+    upto = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    may = F.col("title") & ~F.col("travels")
+    met = met.withColumns({"broken": F.max(F.when(~may, F.col("k"))).over(upto), "rooted": F.max(F.when(may & (F.col("lines") > 1), F.col("k"))).over(upto)})
+    moved = met.where(may & (F.col("rooted") > F.coalesce("broken", F.lit(-1)))).select("doc_id", "ord", F.lit(1).alias("moves"))
+    rows = rows.join(moved, ["doc_id", "ord"], "left")
+    return rows.withColumn("place", F.col("place") + F.coalesce("moves", F.lit(0))).drop("lines", "is_last", "head_before", "moves")
 
 
 def split(blocks: DataFrame, rules: Rules) -> DataFrame:
-    """Sections of every document; a document that fails is one row with `error`, the others go on."""
-
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord").astype(object)
-        rows = list(frame.where(frame.notna(), None).itertuples(index=False))
-        try:
-            found = sections_of(rows, rules)
-            if not found:
-                raise ValueError("no sections")
-            out = [(key[0], i, ref, list(path), text, None) for i, (ref, path, text) in enumerate(found)]
-        except ValueError as e:
-            out = [(key[0], 0, None, None, None, str(e))]
-        return pd.DataFrame(out, columns=["doc_id", "section_no", "section_ref", "heading_path", "text", "error"])
-
-    return blocks.groupBy("doc_id").applyInPandas(one, SECTIONS)
+    """Sections of every document; a document that fails is one row with `error`, the others go on.
+
+    Windows over a document's blocks, which Spark sorts and spills; only a section's lines come together in a row.
+    """
+    rows = _paths(_placed(blocks.where("doc_id is not null"), rules))
+    failed = rows.where("error is not null").groupBy("doc_id").agg(F.first("error").alias("error"))
+    rows = rows.where("error is null")
+    if rules.section_pattern:
+        rows = _with_titles(rows)
+    own = F.when((F.col("chapter") == "") | F.startswith("start", "chapter"), F.col("start")).otherwise(F.concat_ws(" ", "chapter", "start"))
+    begun = F.col("start").isNotNull()
+    found = rows.groupBy("doc_id", "place").agg(
+        F.first(F.when(begun, own), ignorenulls=True).alias("ref"), F.first(F.when(begun, F.col("heading_path")), ignorenulls=True).alias("heading_path"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]).alias("texts"), F.sum(F.length("text") + 1).alias("chars"),
+    )
+    found = found.withColumns({"ref": F.when(F.col("place") == 0, PREAMBLE).otherwise(F.col("ref")), "heading_path": F.coalesce("heading_path", F.array().cast("array<string>"))})
+    found = disambiguate(found, ["doc_id"], "ref", ["place"])
+    whole = F.array(F.col("texts"))
+    parts = F.when(F.col("chars") - 1 <= rules.max_chars, whole).otherwise(cap(F.col("texts"), rules.max_chars))
+    found = found.select("doc_id", "place", "unique_ref", "heading_path", F.posexplode(parts).alias("part", "lines"), F.size(parts).alias("n_parts"))
+    ref = F.when(F.col("n_parts") == 1, F.col("unique_ref")).otherwise(F.format_string("%s (part %d)", F.col("unique_ref"), F.col("part") + 1))
+    found = found.select("doc_id", "place", "part", ref.alias("section_ref"), "heading_path", F.array_join("lines", "\n").alias("text"))
+    if rules.drop_preamble:
+        kept = found.where(~F.startswith("section_ref", F.lit(PREAMBLE)))
+        none = found.select("doc_id").distinct().join(kept.select("doc_id"), "doc_id", "left_anti")
+        failed, found = failed.unionByName(none.withColumn("error", F.lit("no sections"))), kept
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "part")) - 1
+    done = found.select("doc_id", number.alias("section_no"), "section_ref", "heading_path", "text", F.lit(None).cast("string").alias("error"))
+    nothing = {c: F.lit(None).cast(done.schema[c].dataType) for c in ("section_ref", "heading_path", "text")}
+    return done.unionByName(failed.select("doc_id", F.lit(0).alias("section_no"), *[c.alias(n) for n, c in nothing.items()], "error"))
 
 
 def chunk_rows(sections: DataFrame, version: str = "version_id", number: str = "section_no") -> DataFrame:

@@ -207,6 +207,63 @@ def section_split_lines(spark: SparkSession, d: str) -> DataFrame:
     return found.join(first, "doc_id").select("doc_id", number.cast("int").alias("section_no"), T.sha("text").alias("sha256"))
 
 
+def _turn_blocks(spark: SparkSession, d: str, **columns) -> DataFrame:
+    """Conversations as documents, a block a turn."""
+    given = {"level": F.lit(None).cast("int"), "ref": F.lit(None).cast("string"), "page": F.lit(None).cast("int"), "quoted": F.lit(False), **columns}
+    rows = table(spark, d, "conversations")
+    return rows.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("ord"), "text", *[c.alias(n) for n, c in given.items()])
+
+
+def _digested(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "section_no", "section_ref", F.array_join("heading_path", " > ").alias("path"), T.sha("text").alias("sha256"))
+
+
+_NUMBERED = """n AS (SELECT doc_id, k, min(ref) AS ref, coalesce(min(path), '') AS path, string_agg(text, chr(10) ORDER BY turn) AS text FROM p GROUP BY doc_id, k),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, coalesce(ref, '(preamble)') ORDER BY k) AS again FROM n)
+SELECT doc_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS section_no, coalesce(ref, '(preamble)') || CASE WHEN again > 1 THEN ' (' || again || ')' ELSE '' END AS section_ref, path, sha256(text) AS sha256 FROM m"""
+
+
+@query(
+    f"""
+WITH b AS (SELECT conv_id AS doc_id, turn, text, role = 'system' AS top, role IN ('system', 'user') AS heads FROM conversations),
+p AS (SELECT doc_id, turn, text, count(*) FILTER (heads) OVER w AS k, CASE WHEN heads THEN left(text, 120) END AS ref,
+  CASE WHEN heads AND NOT top THEN last_value(CASE WHEN top THEN text END IGNORE NULLS) OVER w END AS path FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY turn)),
+{_NUMBERED}"""
+)
+def section_split_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by headings: system turns of level 1, user turns of level 2."""
+    blocks = _turn_blocks(spark, d, level=F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2))
+    return _digested(sections.split(blocks, sections.Rules(max_chars=10**9)))
+
+
+@query(
+    f"""
+WITH b AS (SELECT conv_id AS doc_id, turn, text, role = 'system' AS top, role = 'user' AS marked, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM conversations),
+q AS (SELECT *, coalesce(first_value(CASE WHEN NOT top THEN c END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(c) OVER (PARTITION BY doc_id)) AS k FROM b),
+p AS (SELECT doc_id, turn, text, k, CASE WHEN marked THEN 'turn ' || turn END AS ref, CASE WHEN marked THEN last_value(CASE WHEN top THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY turn) END AS path FROM q),
+{_NUMBERED}"""
+)
+def section_split_marked(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by marked blocks: user turns bear references, system turns are headings that go with what follows."""
+    ref = F.when(F.col("role") == "user", F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    blocks = _turn_blocks(spark, d, level=F.when(F.col("role") == "system", 1), ref=ref)
+    return _digested(sections.split(blocks, sections.Rules(max_chars=10**9)))
+
+
+@query(
+    f"""
+WITH p AS (SELECT doc_id, ord AS turn, line AS text, ord // 7 AS k, 'p. ' || (ord // 7 + 1) AS ref, '' AS path FROM {_LINES}),
+{_NUMBERED}"""
+)
+def section_split_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by pages of seven lines."""
+    rows = sections.lines(table(spark, d, "documents"))
+    none = {"level": "int", "ref": "string"}
+    page = (F.floor(F.col("ord") / 7) + 1).cast("int")
+    blocks = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "ord", F.col("line").alias("text"), page.alias("page"), F.lit(False).alias("quoted"), *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
+    return _digested(sections.split(blocks, sections.Rules(max_chars=10**9)))
+
+
 @query("SELECT source, count(*) AS n, min(length(text)) AS min_len, floor(quantile_cont(length(text), 0.5))::BIGINT AS median_len, max(length(text)) AS max_len FROM documents GROUP BY source")
 def parse_report(spark: SparkSession, d: str) -> DataFrame:
     out = audit.length_report(table(spark, d, "documents"), "source", "text")

@@ -5,12 +5,15 @@ The questions are the benchmark's texts, a registry of fixed size; every one of
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import audit, index, search, topics
-from lectern.session import materialize, table
+from lectern.operators import quotes as quotes_in
+from lectern.session import materialize, shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,7 +54,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
-    held = index.of(spark, d, table(spark, d, "documents"), "doc_id", "text", tells=("n_chars",))
+    held = index.of(spark, d, table(spark, d, "documents"), "doc_id", "text")
     return search.bm25(questions(spark, d), held.postings, held.lengths, "doc_id").withColumn("score", F.round("score", 6))
 
 
@@ -93,7 +96,7 @@ rk AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PAR
 def fused(spark: SparkSession, d: str) -> DataFrame:
     keyword = search.ranked(keyword_scores(spark, d), "doc_id", search.KEPT)
     asked = search.hash_vectors(questions(spark, d), "query_id", "query").withColumnRenamed("v", "q")
-    held = index.of(spark, d, table(spark, d, "documents"), "doc_id", "text", tells=("n_chars",))
+    held = index.of(spark, d, table(spark, d, "documents"), "doc_id", "text")
     near = search.vector_topk(asked, held.vectors, "doc_id", search.KEPT, 6, positive=True)
     out = search.fuse({"section_keyword": keyword, "section_vector": near}, "doc_id")
     return out.withColumn("score", F.round("score", 9))
@@ -103,6 +106,27 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked(fused(spark, d), "doc_id", 10).select("query_id", "doc_id", "score", "rank")
 
+@query(SQL["hybrid_rrf"])
+def delta_index_rrf(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of hybrid_rrf from an index that was built on other rows and has followed them since.
+
+    Of the rows before, every seventh document was not there yet, every fifth had another text, and each
+    had a twin that is gone now.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    text = F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("an older text, "), F.reverse(F.coalesce("text", F.lit(""))))).otherwise(F.col("text"))
+    twins = docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    held = index.Index(spark, f"{shared_dir(spark)}/lectern/delta-{uuid.uuid4().hex}", "doc_id", "text")
+    for rows in (docs.where("doc_id % 7 <> 3").withColumn("text", text).unionByName(twins.where("doc_id % 4 = 0")), docs):
+        held.follow(rows)
+        held.part("words"), held.part("vectors")
+    keyword = search.bm25(questions(spark, d), held.postings, held.lengths, "doc_id").withColumn("score", F.round("score", 6))
+    asked = search.hash_vectors(questions(spark, d), "query_id", "query").withColumnRenamed("v", "q")
+    near = search.vector_topk(asked, held.vectors, "doc_id", search.KEPT, 6, positive=True)
+    out = search.fuse({"section_keyword": search.ranked(keyword, "doc_id", search.KEPT), "section_vector": near}, "doc_id")
+    return search.ranked(out.withColumn("score", F.round("score", 9)), "doc_id", 10).select("query_id", "doc_id", "score", "rank")
+
+
 _SCOPES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
 _SCOPED = "text || CASE item_id % 3 WHEN 0 THEN ' in French' WHEN 1 THEN ' in English or German' ELSE '' END"
 
@@ -156,7 +180,7 @@ def search_four_lists(spark: SparkSession, d: str) -> DataFrame:
     owner = docs.select(F.col("doc_id").alias("conv_id")).distinct()
     stated = table(spark, d, "conversations").join(owner, "conv_id", "left_semi")
     stated = stated.select((F.col("conv_id") * 100000 + F.col("turn")).alias("statement_id"), F.col("conv_id").alias("chunk_id"), "text")
-    parts = index.of(spark, d, docs, "doc_id", "text", tells=("n_chars",)).renamed("doc_id", "chunk_id")
+    parts = index.of(spark, d, docs, "doc_id", "text").renamed("doc_id", "chunk_id")
     about = index.of(spark, d + "#turns", stated, "statement_id", "text")
     sections = docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("scope"))
     dropped = F.array(*[F.lit(w.lower()) for w in _SCOPES.values()])
@@ -279,10 +303,23 @@ _EXPECTED = f"SELECT item_id AS query_id, doc_id FROM (SELECT item_id, {_COMPARA
 
 @query(f"SELECT query_id AS item_id, doc_id FROM ({_EXPECTED})")
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
-    """All quotes of a registry of checked size against all texts, whatever white space and hyphens do."""
+    """All quotes against all texts, whatever white space and hyphens do."""
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), T.comparable("text").alias("quote"))
     texts = table(spark, d, "documents").select("doc_id", T.comparable("text").alias("t"))
-    return search.containing(texts, "doc_id", "t", quotes).select(F.col("quote_id").alias("item_id"), "doc_id")
+    return quotes_in.containing(texts, "doc_id", "t", quotes).select(F.col("quote_id").alias("item_id"), "doc_id")
+
+
+@query(
+    """
+WITH s AS (SELECT DISTINCT trim(s) AS quote FROM (SELECT unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT string_split_regex(coalesce(text, ''), '[.!?\\n]') AS l FROM documents)) WHERE k % 3 = 1 AND trim(s) <> '')
+SELECT sha256(quote) AS quote_sha, doc_id FROM s JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) ON contains(text, quote)"""
+)
+def sentence_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Every third sentence of the documents as a quote (the stated query set), against all documents."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    said = docs.select(F.posexplode(F.split("text", r"[.!?\n]", -1)).alias("k", "s")).where("k % 3 = 0").select(F.trim("s").alias("quote")).where("quote <> ''").distinct()
+    found = quotes_in.containing(docs, "doc_id", "text", said.select(T.sha("quote").alias("quote_id"), "quote"))
+    return found.select(F.col("quote_id").alias("quote_sha"), "doc_id")
 
 
 @query(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.knowledge import KnowledgeBase
 from lectern.operators import audit, extraction, search, sections, snapshot, topics, trust, validate, versions
-from lectern.operators.sections import Rules, sections_of
+from lectern.operators.sections import Rules
+from tests.sections_by_rule import sections_of
 from lectern.sources import markup
 from lectern.sources.markup import Block
 
