@@ -119,7 +119,7 @@ def _paths(rows: DataFrame) -> DataFrame:
         at = F.coalesce(F.col(f"last_{k}.ord"), F.lit(-1))
         found.append(F.when((own > k) & (at > newest), F.col(f"last_{k}.text")))
         newest = F.greatest(newest, at)
-    return rows.withColumn("heading_path", F.filter(F.array(*found), lambda t: t.isNotNull())).drop(*last, *[f"last_{k}" for k in last])
+    return rows.withColumn("heading_path", F.filter(F.array(*found), lambda t: t.isNotNull())).drop(*[f"last_{k}" for k in last])
 
 
 def _with_titles(rows: DataFrame) -> DataFrame:
@@ -140,8 +140,13 @@ def _with_titles(rows: DataFrame) -> DataFrame:
     may = F.col("title") & ~F.col("travels")
     met = met.withColumns({"broken": F.max(F.when(~may, F.col("k"))).over(upto), "rooted": F.max(F.when(may & (F.col("lines") > 1), F.col("k"))).over(upto)})
     moved = met.where(may & (F.col("rooted") > F.coalesce("broken", F.lit(-1)))).select("doc_id", "ord", F.lit(1).alias("moves"))
-    rows = rows.join(moved, ["doc_id", "ord"], "left")
-    return rows.withColumn("place", F.col("place") + F.coalesce("moves", F.lit(0))).drop("lines", "is_last", "head_before", "moves")
+    rows = rows.join(moved, ["doc_id", "ord"], "left").withColumn("moves", F.coalesce("moves", F.lit(0)))
+    # a start that moves leaves its name behind
+    leaves = F.when((F.col("moves") == 1) & F.col("start").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.col("moves") == 1))
+    rows = rows.withColumn("moved", F.explode(leaves))
+    stays = ~F.col("moved") & (F.col("moves") == 1)
+    changed = {"place": F.col("place") + F.col("moved").cast("int"), "start": F.when(~F.col("moved"), F.col("start")), "text": F.when(~stays, F.col("text"))}
+    return rows.withColumns(changed).drop("lines", "is_last", "head_before", "moves", "moved")
 
 
 def split(blocks: DataFrame, rules: Rules) -> DataFrame:
@@ -158,7 +163,7 @@ def split(blocks: DataFrame, rules: Rules) -> DataFrame:
     begun = F.col("start").isNotNull()
     found = rows.groupBy("doc_id", "place").agg(
         F.first(F.when(begun, own), ignorenulls=True).alias("ref"), F.first(F.when(begun, F.col("heading_path")), ignorenulls=True).alias("heading_path"),
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]).alias("texts"), F.sum(F.length("text") + 1).alias("chars"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text")))), lambda b: b["text"]).alias("texts"), F.sum(F.length("text") + 1).alias("chars"),
     )
     found = found.withColumns({"ref": F.when(F.col("place") == 0, PREAMBLE).otherwise(F.col("ref")), "heading_path": F.coalesce("heading_path", F.array().cast("array<string>"))})
     found = disambiguate(found, ["doc_id"], "ref", ["place"])
