@@ -162,7 +162,7 @@ def _entries(maps: DataFrame) -> DataFrame:
     most = maps.groupBy("document").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if most <= FAN:
         return maps.groupBy("document").applyInPandas(whole, ENTRY)
-    maps = maps.withColumn("upper", F.floor(F.col("at") / FAN))
+    maps = maps.withColumn("upper", F.expr(f"at div {FAN}"))
     above = materialize(maps.groupBy("document", "upper").applyInPandas(joined, "document string, at long, map string"), "upper-maps")
     entered = _entries(above).select(F.col("document").alias("of"), F.col("at").alias("of_upper"), F.col("entry").alias("upper_entry"))
     held = maps.join(entered, (F.col("document") == F.col("of")) & (F.col("upper") == F.col("of_upper")))
@@ -179,7 +179,7 @@ def version_machine(observations: DataFrame) -> DataFrame:
     """
     columns = ["document", "seq", "sha", "body", "is_html"]
     ranged = observations.select(*columns).repartitionByRange("document", "seq").sortWithinPartitions("document", "seq")
-    rows = materialize(ranged.withColumn("place", F.monotonically_increasing_id()).withColumn("at", F.floor(F.col("place") / BLOCK)), "observed")
+    rows = materialize(ranged.withColumn("place", F.monotonically_increasing_id()).withColumn("at", F.expr(f"place div {BLOCK}")), "observed")
 
     def records(frame: pd.DataFrame) -> list[dict]:
         return [

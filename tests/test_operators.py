@@ -73,10 +73,19 @@ def test_markup():
     assert [(x.text, x.level, x.quoted) for x in found] == [("Head", 2, False), ("One two", None, False), ("a | b", None, False), ("quoted", None, True), ("end", None, False)]
     form = '<body><form><input name="__VIEWSTATE"><p>kept</p><form><p>x</p></form></form></body>'
     assert [x.text for x in markup.read_html(form)][:1] == ["kept"]
-    assert [x.text for x in markup.read_json_item('{"title": "T", "details": {"body": "<p>x</p>"}}')] == ["T", "x"]
-    with pytest.raises(ValueError):
-        markup.read_json_item("{}")
-    assert markup.charset(b'<meta charset="iso-8859-1">') == "cp1252" and markup.charset("é".encode()) == "utf-8" and markup.charset(b"\xe9") == "cp1252"
+
+
+def test_json_items_and_encodings(spark):
+    bodies = [(1, '{"title": "T", "details": {"body": "<p>x</p>"}}', "application/json"), (2, "{}", "application/json; charset=utf-8"), (3, "no json", "text/json"), (4, "<p>y</p>", "text/html"), (5, None, "application/json"), (6, '{"details": {"body": ""}}', "application/json")]
+    found = markup.html_blocks(spark.createDataFrame(bodies, "id int, body string, kind string"), "id", "body", content_type="kind").collect()
+    assert sorted((r.id, r.ord, r.text, r.level) for r in found if r.text) == [(1, 0, "T", 1), (1, 1, "x", None), (4, 0, "y", None)]
+    assert sorted({r.id for r in found if r.text is None}) == [2, 3, 5]
+    raw = [b'<meta charset="iso-8859-1">\x80', "é".encode(), b"\xe9", b"<META http-equiv=x content='text/html; charset=UTF-16LE'>", b"<meta charset=odd>\xc3\xa9", None, b""]
+    rows = markup.decoded(spark.createDataFrame(list(enumerate(map(lambda b: b and bytearray(b), raw))), "id int, raw binary"), "raw")
+    names = {r.id: r.n for r in rows.select("id", markup.charset(F.col("raw")).alias("n")).collect()}
+    assert [names[k] for k in (0, 1, 2, 3, 4, 6)] == ["cp1252", "utf-8", "cp1252", "utf-16le", "odd", "utf-8"]
+    texts = {r.id: r.text for r in rows.collect()}
+    assert texts[0].endswith("€") and texts[1] == texts[2] == "é" and texts[4].endswith("é") and texts[5] is None and texts[6] == ""
 
 
 def test_patterns_prompts_and_selections(spark):
@@ -115,7 +124,12 @@ def test_links_of_what_is_kept(spark):
     assert [r.link for r in markup.kept_links(rows, "id", "html", "url", ["drop"]).orderBy("place").collect()] == want[:3]
 
 
-def test_xml_dialects():
+def test_xml_dialects(spark):
+    def by_events(*bodies):
+        rows = spark.createDataFrame([(k, "<?xml version='1.0'?>" + b) for k, b in enumerate(bodies)], "id int, body string")
+        found = markup.html_blocks(rows, "id", "body").orderBy("id", "ord").collect()
+        return [[(r.text, r.level, r.ref) for r in found if r.id == k] for k in range(len(bodies))]
+
     read = lambda xml: [(x.text, x.level, x.ref) for x in markup.read_xml(xml)]
     act = """<Legislation xmlns="u"><Metadata>m</Metadata><Primary><Body><Part><Number>Part 1</Number><Title>Start</Title><Pblock><Title>Basics</Title><P1group><Title>Scope</Title>
       <P1><Pnumber>1</Pnumber><P1para><P2><Pnumber><CommentaryRef/>1</Pnumber><P2para>First rule<CommentaryRef/></P2para></P2></P1para></P1></P1group></Pblock></Part></Body></Primary></Legislation>"""
@@ -125,7 +139,7 @@ def test_xml_dialects():
     law = """<response><data><texto><bloque tipo="encabezado"><version><p class="titulo_num">TITULO I</p><p class="titulo_tit">Start</p></version></bloque>
       <bloque tipo="precepto" titulo="Art 1"><version><p>old</p></version><version><p>Art 1</p><p>new</p><blockquote><p>note</p></blockquote></version></bloque><bloque tipo="firma"><version><p>signed</p></version></bloque>
       <bloque tipo="encabezado"><version><p class="anexo_num">ANEXO</p></version></bloque><bloque tipo="precepto" titulo="3. Tests"><version><p>3. Tests</p><p>3.1 First</p><p>3.2. Second</p></version></bloque></texto></data></response>"""
-    assert read(law) == [
+    expected_law = [
         ("TITULO I Start", 1, None), ("Art 1", None, "Art 1"), ("new", None, None), ("ANEXO", 1, None), ("3. Tests", None, "Anexo 3"), ("3.1 First", None, "Anexo 3.1"), ("3.2. Second", None, "Anexo 3.2")
     ]
     wet = """<toestand><wettekst><hoofdstuk><kop><label>Hoofdstuk</label> <nr>1</nr></kop><afdeling><kop>Afdeling 2</kop><artikel><kop><label>Artikel</label> <nr>5</nr></kop><lid>Text</lid></artikel>
@@ -136,7 +150,12 @@ def test_xml_dialects():
     assert read(akoma) == [("1 luku Start", 2, None), ("1 § Scope Text goes on", None, "1 §"), ("Capo I", 3, None), ("Art. 2. More", None, "Art. 2")]
     danish = """<Dokument><Meta>m</Meta><Kapitel><Explicatus>Kapitel 1</Explicatus><Rubrica>Start</Rubrica><ParagrafGruppe><Rubrica>Scope</Rubrica><Paragraf><Explicatus>§ 1.</Explicatus><Stk>First</Stk><Stk>Second</Stk></Paragraf></ParagrafGruppe></Kapitel>
       <AendringCentreretParagraf><Explicatus>§ 2</Explicatus><Exitus>The law is amended</Exitus><AendringsNummer>1. <Paragraf><Explicatus>§ 9</Explicatus></Paragraf> goes</AendringsNummer></AendringCentreretParagraf></Dokument>"""
-    assert read(danish) == [("Kapitel 1 Start", 1, None), ("Scope", 2, None), ("§ 1. First", None, "§ 1"), ("Second", None, None), ("§ 2 The law is amended", None, "§ 2"), ("1. § 9 goes", None, None)]
+    expected_danish = [("Kapitel 1 Start", 1, None), ("Scope", 2, None), ("§ 1. First", None, "§ 1"), ("Second", None, None), ("§ 2 The law is amended", None, "§ 2"), ("1. § 9 goes", None, None)]
+    two = law.replace("3. Tests", "Sin numero").replace('tipo="encabezado"><version><p class="anexo_num">ANEXO', 'tipo="encabezado"><version><p class="nota">Nota</p></version><version><p class="x">y</p><p class="anexo_tit">ANEXO')
+    assert by_events(law, danish, "<Dokument/>", "<response/>", "<Dokument><open></Dokument>", two) == [
+        expected_law, expected_danish, [], [(None, None, None)], [(None, None, None)], [*expected_law[:4], ("Sin numero", None, "Anexo Sin numero"), *[(t, None, None) for t in ("3.1 First", "3.2. Second")]],
+    ]
+    assert by_events("<Dokument>" + "<x>" * 20_000 + "<Paragraf/>" + "</x>" * 20_000 + "</Dokument>") == [[]]
     deep = "<akomaNtoso><body>" + "<p>" * 20_000 + "x" + "</p>" * 20_000 + "</body></akomaNtoso>"
     assert markup.read_xml(deep) == []
     for wrong in ("<other/>", "<open>", "<response/>"):
