@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,16 +63,41 @@ def multiset_difference(left: DataFrame, right: DataFrame, columns: list[str]) -
     return a.join(b, columns, "left").withColumn("surplus", surplus).where("surplus > 0").select(*columns, "surplus")
 
 
+#: Vectors of one side of a tile.
+TILE = 1024
+
+
 def best_match(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
-    """Mean best cosine in both directions between the vectors (id, v) of two sides that share a section.
+    """Mean best inner product in both directions between the vectors (id, v) of two sides that share a section.
 
-    The pairs are those inside a section only; its size is bounded by what a section states.
+    Each side of a section is dealt to blocks of TILE vectors; a tile of two blocks is one matrix product that gives the
+    best of each row and of each column, and their maxima are merged. So pairs are never rows and a section
+    may have any number of vectors. Vectors meet those of their own length only; null ones and null sections meet none.
     """
-    pairs = left.select(by, F.col("id").alias("a"), F.col("v").alias("va")).join(right.select(by, F.col("id").alias("b"), F.col("v").alias("vb")), by)
-    pairs = pairs.select(by, "a", "b", T.dot(F.col("va"), F.col("vb")).alias("cos"))
-    one = pairs.groupBy(by, "a").agg(F.max("cos").alias("m")).groupBy(by).agg(F.avg("m").alias("forth"))
-    two = pairs.groupBy(by, "b").agg(F.max("cos").alias("m")).groupBy(by).agg(F.avg("m").alias("back"))
-    return one.join(two, by).select(by, ((F.col("forth") + F.col("back")) / 2).alias("similarity"))
+    def dealt(rows: DataFrame, other: DataFrame, mine: str, its: str) -> DataFrame:
+        size = lambda r, name: r.groupBy(by, "dims").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+        held = rows.join(size(rows, "own"), [by, "dims"]).join(size(other, "others"), [by, "dims"])
+        held = held.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("own")).cast("int")).withColumn(its, F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        return held.select(by, "dims", mine, its, "id", "v").groupBy(by, "dims", "i", "j")
+
+    kind = left.schema[by].dataType.simpleString()
+    names = {s: r.schema["id"].dataType.simpleString() for s, r in (("a", left), ("b", right))}
+
+    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        columns = [by, "a", "b", "m"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in columns})
+        cos = np.stack(a["v"].to_numpy()).astype(float) @ np.stack(b["v"].to_numpy()).astype(float).T
+        one = pd.DataFrame({by: key[0], "a": a["id"].to_numpy(), "b": None, "m": cos.max(axis=1)})
+        two = pd.DataFrame({by: key[0], "a": None, "b": b["id"].to_numpy(), "m": cos.max(axis=0)})
+        return pd.concat([one.astype(object), two.astype(object)])[columns]
+
+    # both sides may come from one table, so each names its columns anew
+    sides = [r.select(*[F.col(c).alias(c) for c in (by, "id", "v")]).where(F.col(by).isNotNull() & F.col("v").isNotNull()).withColumn("dims", F.size("v")) for r in (left, right)]
+    met = dealt(sides[0], sides[1], "i", "j").cogroup(dealt(sides[1], sides[0], "j", "i")).applyInPandas(tile, f"{by} {kind}, a {names['a']}, b {names['b']}, m double")
+    best = met.groupBy(by, "a", "b").agg(F.max("m").alias("m"))
+    mean = lambda column: F.avg(F.when(F.col(column).isNotNull(), F.col("m")))
+    return best.groupBy(by).agg(((mean("a") + mean("b")) / 2).alias("similarity"))
 
 
 def modality_agreement(left: DataFrame, right: DataFrame, by: str, modality: str) -> DataFrame:

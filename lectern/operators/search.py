@@ -137,14 +137,16 @@ def _batch(rows: DataFrame, what: str) -> list:
 def vector_topk(queries: DataFrame, vectors: DataFrame, item: str, cut: int, digits: int | None = None, positive: bool = False, others: bool = False, scope: str | None = None) -> DataFrame:
     """query_id, item, score, rank: of each query (query_id, q) the `cut` vectors (item, v) with the highest inner products.
 
-    The stated query set goes out to all blocks of vectors; a block is one matrix product and gives at most `cut`
-    rows a query, so pairs are never rows. Ties go to the smaller item. positive: scores over 0 only; others:
+    Up to QUERY_LIMIT queries go out to all blocks of vectors; a block is one matrix product and gives at most `cut`
+    rows a query, so pairs are never rows. More queries meet the vectors in tiles of a block of each. Ties go to the smaller item. positive: scores over 0 only; others:
     not the vector whose item is the query's own id; scope: a column of the vectors that must be among the query's
     `only`, where that isn't empty. Vectors of another length are no candidates.
     """
-    asked = [r for r in _batch(queries.select("query_id", "q", *["only"] if scope else []), "queries") if r.q]
-    if sum(len(r.q) for r in asked) > QUERY_NUMBERS:
-        raise ValueError("the queries' vectors are too large; split the batch")
+    columns = ["query_id", "q", *(["only"] if scope else [])]
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("numbers")).first()
+    if size.n > QUERY_LIMIT or size.numbers > QUERY_NUMBERS:
+        return _tiled_topk(queries.select(*columns), vectors, item, cut, digits, positive, others, scope)
+    asked = [r for r in _batch(queries.select(*columns), "queries") if r.q]
     key = queries.schema["query_id"].dataType.simpleString()
     kind = vectors.schema[item].dataType.simpleString()
     schema = f"query_id {key}, {item} {kind}, score double"
@@ -184,6 +186,50 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, item: str, cut: int, dig
     return ranked(vectors.select(item, "v", *[scope] if scope else []).mapInPandas(block, schema), item, cut)
 
 
+#: Queries and vectors of a tile.
+TILE_QUERIES, TILE_ITEMS = 4096, 1 << 15
+
+
+def _tiled_topk(queries: DataFrame, vectors: DataFrame, item: str, cut: int, digits: int | None, positive: bool, others: bool, scope: str | None) -> DataFrame:
+    """vector_topk for any number of queries: each tile gives its queries' best `cut`, and these are ranked together."""
+    key, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema[item].dataType.simpleString()
+    n_queries, n_items = queries.count(), vectors.count()
+    across, down = -(-n_queries // TILE_QUERIES) or 1, -(-n_items // TILE_ITEMS) or 1
+    spread = lambda rows, name, own, n, other, m: rows.withColumns({own: F.pmod(F.xxhash64(name), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    queries, vectors = (r.select(*[F.col(c).alias(c) for c in r.columns]) for r in (queries, vectors))  # may come from one table
+    asked = spread(queries.where("size(q) > 0"), "query_id", "tile_q", across, "tile_i", down)
+    held = spread(vectors.where("v is not null").select(item, "v", *([scope] if scope else [])), item, "tile_i", down, "tile_q", across)
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], item: [], "score": []})]
+        lengths = b["v"].map(len)
+        for n, some in a.groupby(a["q"].map(len)):
+            part = b[lengths == n]
+            if not len(part):
+                continue
+            names, matrix = part[item].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.float64)
+            for lo in range(0, len(some), 256):
+                block = some.iloc[lo : lo + 256]
+                scores = np.stack(block["q"].to_numpy()).astype(np.float64) @ matrix.T
+                scores = np.round(scores, digits) if digits else scores
+                for k, (query, row) in enumerate(zip(block["query_id"], scores)):
+                    ok = row > (0 if positive else -np.inf)
+                    if others:
+                        ok &= names != query
+                    if scope and block["only"].iloc[k] is not None and len(block["only"].iloc[k]):
+                        ok &= part[scope].isin(list(block["only"].iloc[k])).to_numpy()
+                    live = np.flatnonzero(ok)
+                    if len(live) > cut:
+                        bar = np.partition(row[live], len(live) - cut)[len(live) - cut]
+                        live = live[row[live] >= bar]
+                    best = live[np.lexsort((names[live], -row[live]))][:cut]
+                    found.append(pd.DataFrame({"query_id": [query] * len(best), item: names[best], "score": row[best]}))
+        return pd.concat(found)
+
+    met = asked.groupBy("tile_q", "tile_i").cogroup(held.groupBy("tile_q", "tile_i"))
+    return ranked(met.applyInPandas(tile, f"query_id {key}, {item} {kind}, score double"), item, cut)
+
+
 def fuse(lists: dict[str, DataFrame], item: str, weights: dict[str, float] = WEIGHTS, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: query_id, item, score; the terms are added in the order of the lists."""
     names = list(lists)

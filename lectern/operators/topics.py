@@ -28,14 +28,20 @@ def topic_listing(
     put in `order`. Each row carries the group's number of statements that are left.
     """
     rows = statements.withColumn("quote_key", T.dedupe_key(quote))
-    first = Window.partitionBy(*by, "quote_key").orderBy(*scan)
-    rows = rows.withColumn("copy_no", F.row_number().over(first))
-    copies = rows.where("copy_no > 1").groupBy(*by, "quote_key").agg(F.array_sort(F.collect_list(F.struct("copy_no", label))).alias("later"))
-    kept = rows.where("copy_no = 1").join(copies, [*by, "quote_key"], "left")
-    also = F.coalesce(F.transform("later", lambda x: x[label]), F.array().cast("array<string>"))
+    columns, group = statements.columns, [*by, "quote_key"]
+    # of each quote the first row and the number of rows combine before the shuffle
+    kept = rows.groupBy(*group).agg(F.min_by(F.struct(*columns), F.struct(*scan)).alias("kept"), F.count("*").alias("copies"))
+    totals = kept.groupBy(*by).agg(F.count("*").alias("total"))
+    kept = kept.select("quote_key", "copies", "kept.*")
     place = Window.partitionBy(*by).orderBy(*order)
-    kept = kept.withColumns({"also_in": also, "total": F.count("*").over(Window.partitionBy(*by)), "place": F.row_number().over(place)})
-    return kept.where(F.col("place") <= limit).drop("copy_no", "later", "quote_key")
+    top = kept.withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit)
+    # labels are listed for the rows of the result only
+    wanted = top.where("copies > 1").select(*group)
+    listed = rows.join(wanted, group, "left_semi").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*scan, F.col(label).alias("copy_label")))).alias("all"))
+    later = listed.select(*group, F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: x["copy_label"]).alias("also_in"))
+    out = top.join(later, group, "left").join(totals, by)
+    also = F.coalesce("also_in", F.array().cast("array<string>"))
+    return out.select(*columns, also.alias("also_in"), "total", "place")
 
 
 def availability(rows: DataFrame, as_of: str, tags: list[str] | None = None) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
-SLUG = r"^[a-z0-9]+(?:[_-][a-z0-9]+)*$"
-LANGUAGE = r"^[a-z]{2}$"
+#: The forms of names in a domain, of a source's id, of languages and of hosts; a line's end at the end counts.
+SLUG = r"^[a-z0-9]+(?:[_-][a-z0-9]+)*\z"
+SOURCE_ID = r"^[a-z0-9]+(?:-[a-z0-9]+)*\z"
+LANGUAGE = r"^[a-z]{2}\z"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-HOST = rf"^{_LABEL}(?:\.{_LABEL})+$"
+HOST = rf"^{_LABEL}(?:\.{_LABEL})+\z"
 
 
 def row_rules(rows: DataFrame, entity: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
@@ -37,7 +39,7 @@ def sources(rows: DataFrame, doc_types: list[str], tags: list[str], scoped: bool
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     rules = [(f"source.{c}", blank(c), f"{c} is missing") for c in ("publisher", "title", "url", "language", "doc_type")]
     rules += [
-        ("source.id", ~F.col("id").rlike(SLUG), "the id is no slug"),
+        ("source.id", ~F.col("id").rlike(SOURCE_ID), "the id is no slug"),
         ("source.language_code", ~blank("language") & ~F.col("language").rlike(LANGUAGE), "the language isn't two letters"),
         ("source.known_type", ~blank("doc_type") & ~F.col("doc_type").isin(doc_types), "the doc_type is unknown"),
         ("source.https", ~blank("url") & (~F.col("url").startswith("https://") | T.host("url").isNull()), "the url isn't an absolute https one"),

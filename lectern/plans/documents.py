@@ -330,14 +330,15 @@ def jaccard_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-WITH p AS (SELECT a.vec_id // 10 AS section, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id // 10 = b.vec_id // 10 WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
-x AS (SELECT section, avg(m) AS f FROM (SELECT section, a, max(cos) AS m FROM p GROUP BY 1, 2) GROUP BY 1), y AS (SELECT section, avg(m) AS g FROM (SELECT section, b, max(cos) AS m FROM p GROUP BY 1, 2) GROUP BY 1)
-SELECT section, round((f + g) / 2, 6) AS similarity FROM x JOIN y USING (section)"""
+WITH p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+x AS (SELECT label, avg(m) AS f FROM (SELECT label, a, max(cos) AS m FROM p GROUP BY 1, 2) GROUP BY 1), y AS (SELECT label, avg(m) AS g FROM (SELECT label, b, max(cos) AS m FROM p GROUP BY 1, 2) GROUP BY 1)
+SELECT label, round((f + g) / 2, 6) AS similarity FROM x JOIN y USING (label)"""
 )
 def best_match_similarity(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("section"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    out = audit.best_match(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "section")
-    return out.select("section", F.round("similarity", 6).alias("similarity"))
+    """Vectors of even and of odd ids as two sides of each label."""
+    rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    out = audit.best_match(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "label")
+    return out.select("label", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

@@ -154,11 +154,11 @@ def partial_date_valid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-WITH s AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'Doc_' || doc_id ELSE 'doc-' || (doc_id // 2) END AS id, source AS publisher, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE 't' END AS title, CASE WHEN doc_id % 4 = 0 THEN 'http://x.example' ELSE 'https://x.example/' || doc_id END AS url,
-  CASE WHEN doc_id % 9 = 0 THEN 'eng' ELSE lang END AS language, CASE WHEN doc_id % 8 = 0 THEN 'poem' ELSE 'act' END AS doc_type, CASE WHEN doc_id % 6 = 0 THEN []::VARCHAR[] WHEN doc_id % 6 = 1 THEN ['a', 'a'] WHEN doc_id % 6 = 2 THEN ['z'] ELSE ['a', 'b'] END AS tags FROM documents)
+WITH s AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'Doc_' || doc_id WHEN doc_id % 10 = 3 THEN 'doc_' || doc_id WHEN doc_id % 10 = 7 THEN 'doc' || doc_id || chr(10) ELSE 'doc-' || (doc_id // 2) END AS id, source AS publisher, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE 't' END AS title, CASE WHEN doc_id % 4 = 0 THEN 'http://x.example' ELSE 'https://x.example/' || doc_id END AS url,
+  CASE WHEN doc_id % 9 = 0 THEN 'eng' WHEN doc_id % 9 = 4 THEN lang || chr(10) ELSE lang END AS language, CASE WHEN doc_id % 8 = 0 THEN 'poem' ELSE 'act' END AS doc_type, CASE WHEN doc_id % 6 = 0 THEN []::VARCHAR[] WHEN doc_id % 6 = 1 THEN ['a', 'a'] WHEN doc_id % 6 = 2 THEN ['z'] ELSE ['a', 'b'] END AS tags FROM documents)
 SELECT 'source.title' AS rule, id AS entity, 'title is missing' AS message FROM s WHERE trim(title) = ''
-UNION ALL SELECT 'source.id', id, 'the id is no slug' FROM s WHERE NOT regexp_matches(id, '^[a-z0-9]+(?:[_-][a-z0-9]+)*$')
-UNION ALL SELECT 'source.language_code', id, 'the language isn''t two letters' FROM s WHERE NOT regexp_matches(language, '^[a-z]{2}$')
+UNION ALL SELECT 'source.id', id, 'the id is no slug' FROM s WHERE NOT regexp_full_match(id, '[a-z0-9]+(-[a-z0-9]+)*')
+UNION ALL SELECT 'source.language_code', id, 'the language isn''t two letters' FROM s WHERE NOT regexp_full_match(language, '[a-z]{2}')
 UNION ALL SELECT 'source.known_type', id, 'the doc_type is unknown' FROM s WHERE doc_type <> 'act'
 UNION ALL SELECT 'source.https', id, 'the url isn''t an absolute https one' FROM s WHERE NOT starts_with(url, 'https://')
 UNION ALL SELECT 'source.tags', id, 'there are no tags' FROM s WHERE len(tags) = 0
@@ -170,10 +170,11 @@ def registry_violations(spark: SparkSession, d: str) -> DataFrame:
     k = lambda n: F.col("doc_id") % n
     words = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     rows = table(spark, d, "documents").select(
-        F.when(k(10) == 0, F.concat(F.lit("Doc_"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("doc-"), F.expr("cast(doc_id div 2 as string)"))).alias("id"),
+        F.when(k(10) == 0, F.concat(F.lit("Doc_"), F.col("doc_id").cast("string"))).when(k(10) == 3, F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
+        .when(k(10) == 7, F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(F.concat(F.lit("doc-"), F.expr("cast(doc_id div 2 as string)"))).alias("id"),
         F.col("source").alias("publisher"), F.when(k(13) == 0, " ").otherwise("t").alias("title"),
         F.when(k(4) == 0, "http://x.example").otherwise(F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string"))).alias("url"),
-        F.when(k(9) == 0, "eng").otherwise(F.col("lang")).alias("language"), F.when(k(8) == 0, "poem").otherwise("act").alias("doc_type"),
+        F.when(k(9) == 0, "eng").when(k(9) == 4, F.concat("lang", F.lit("\n"))).otherwise(F.col("lang")).alias("language"), F.when(k(8) == 0, "poem").otherwise("act").alias("doc_type"),
         F.when(k(6) == 0, words()).when(k(6) == 1, words("a", "a")).when(k(6) == 2, words("z")).otherwise(words("a", "b")).alias("tags"),
         F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("translation_of"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import audit, extraction, index, store, topics, trust, validate, versions
+from lectern.operators import audit, extraction, store, topics, trust, validate, versions
 from lectern.session import table
 
 QUERIES: dict = {}
@@ -272,9 +272,9 @@ def publishing_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT t AS name, n FROM (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents)")
 def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The row counts of a manifest, by the stamp that also tells an index's source from another."""
-    keys = {"orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
-    return spark.createDataFrame([(name, index.stamp(table(spark, d, name), key)[0]) for name, key in keys.items()], "name string, n long")
+    """The row counts of a manifest: one aggregation a table."""
+    counts = [table(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in ("orders", "events", "documents")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query(
