@@ -24,9 +24,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lectern.llm import chat, mixing
+    from lectern.llm import chat, html_text, mixing
 
     return {
         "op1_snapshot_collapse": chat.ORACLE,
+        "op2_flat_blocks": html_text.ORACLE,
         "op6_hierarchical_mixing": mixing.ORACLE,
     }

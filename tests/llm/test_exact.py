@@ -339,19 +339,24 @@ def _main_text(page):
     tree = html_text.grow(*html_text.labelled())
     found = html_text.blocks(page)
     keep = html_text.judge(tree, html_text.features(found)) >= 0.5
-    return " ".join(b.text for b, k in zip([b for b in found if not b.cut], keep) if k)
+    return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
-def test_op2_tree_reads_words_and_densities():
-    """What the tree splits on: words and link densities of the block and of both neighbours; names are not among its columns."""
+def test_op2_tree_decides(spark):
+    """The tree splits on words and densities of the block and of both neighbours beside what the markup says, and drops blocks of pages."""
 
     def columns(tree):
         return set() if tree.at < 0 else {html_text.FEATURES[tree.at]} | columns(tree.low) | columns(tree.high)
 
     tree = html_text.grow(*html_text.labelled())
-    assert html_text.FEATURES[tree.at] == "links" and {"words", "words_before", "words_after", "links_before", "links_after"} <= columns(tree)
+    assert {"links", "words", "words_before", "words_after", "links_before", "links_after", "sink", "strong", "inside"} <= columns(tree)
     x, y = html_text.labelled(seed=1)  # the outlines with other words
     assert ((html_text.judge(tree, x) >= 0.5) == y).mean() > 0.99
+    seen = dropped = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        keep = html_text.judge(tree, html_text.features(html_text.blocks(r.html))) >= 0.5
+        seen, dropped = seen + len(keep), dropped + int((~keep).sum())
+    assert 0.2 * seen < dropped < 0.8 * seen
 
 
 W = lambda n, w="word": " ".join([w] * n)
@@ -380,6 +385,14 @@ PAGES = [
     (f"<p>{W(50)}</p><p>{W(30)}</p>", f"{W(50)} {W(30)}"),
     (f"<div style='display: none'>{W(50, 'gone')}</div><h1>Title</h1><p>{W(50)}</p>", f"Title {W(50)}"),
     ("<nav>" + LINKS + "</nav><script>var x = '<p>no</p>'</script><style>p{}</style>", ""),
+    (f"<article><h1>Title</h1><p>{W(20)}</p><section id='social'><p>{W(40, 'people')}</p></section></article>", f"Title {W(20)} {W(40, 'people')}"),  # odd names
+    (f"<article id='search-results-story' class='legal'><h1>Title</h1><p>{W(20)}</p><p>{W(5)}</p></article>", f"Title {W(25)}"),
+    (f"<nav><a href=/>Home</a><article><h1>Title</h1><p>{W(20)}</p></article>", f"Title {W(20)}"),  # sinks that nothing closes
+    (f"<header><p>The site</p><main><p>{W(20)}</p><p>{W(30)}</p></main>", W(50)),
+    (f"<aside><a href=/x>More</a><h1>Title</h1><p>{W(40)}</p><p>{W(30)}</p>", f"Title {W(70)}"),
+    ("<nav><a href=/>Home</a></nav><article><p><a href=/report>The whole report</a></p></article><footer>By us</footer>", "The whole report"),  # links that are the text
+    (f"<article><h1>Title</h1><p>{W(30)}</p><h2>References</h2><ul>{LINKS}</ul></article>", f"Title {W(30)} References {' '.join(['go there'] * 5)}"),
+    (f"<article><p>{W(30)}</p><div class='sponsored'><p>{W(60, 'buy')}</p></div><p>{W(9)}</p><nav>{LINKS}</nav></article>", W(39)),
 ]
 
 
