@@ -5,7 +5,9 @@ writing) and the share of words that repeat the word before. Counts are damped a
 document frequency, the kinds are scaled to one length each, and a truncated singular value decomposition
 of the labelled sample gives the latent space. Every document's vector is compared exactly, block by block,
 with all labelled vectors; its NEIGHBOURS nearest vote with the weight of their similarity, and the score
-is label 1's part of the votes.
+is label 1's part of the votes. Similarities are computed in double precision and rounded to DIGITS digits, so that a text
+has one score, whatever texts it is worked on with; of equally near neighbours those of label 0 come first, then those
+with the smaller doc_id.
 
 Bounds. The labelled sample holds at most SAMPLE rows a label (those with the smallest hashes of doc_id), so
 that what is broadcast is at most 2 x SAMPLE vectors of RANK floats plus the projection, about 2 MB at the
@@ -37,6 +39,10 @@ THRESHOLD = 0.3
 GRAMS = 2048
 SHAPES = 6**4
 DIMS = GRAMS + SHAPES + 1
+#: Digits of a similarity.
+DIGITS = 9
+#: Characters and texts that are worked on at once.
+BLOCK, TEXTS = 500_000, 256
 #: Vote weight: similarity to this power.
 SHARPNESS = 4
 #: What the three kinds of terms weigh.
@@ -109,16 +115,20 @@ class Model:
         return out
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        z = self.weighted(x) @ self.axes
+        z = self.weighted(x).astype(np.float64) @ self.axes.astype(np.float64)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(x), self.prior)
-        near = self.latent(x) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** SHARPNESS
+        near = np.round(self.latent(x) @ self.vectors.T.astype(np.float64), DIGITS)
+        n = near.shape[1]
+        k = min(NEIGHBOURS, n)
+        # one key tells similarity and then place; vectors stand in order of label and doc_id
+        key = (near * 10**DIGITS).round().astype(np.int64) * n - np.arange(n)
+        top = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        top.sort(axis=1)  # votes are added in one order
+        weight = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** SHARPNESS
         total = weight.sum(axis=1)
         votes = (weight * self.labels[top]).sum(axis=1)
         return np.where(total > 0, votes / np.maximum(total, 1e-12), self.prior)
@@ -162,13 +172,13 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple
 
     rows = texts.mapInPandas(featurise, "doc_id long, quality int, x binary")
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).collect()
-    rows.sort(key=lambda r: r.doc_id)
+    rows.sort(key=lambda r: (r.quality, r.doc_id))
     x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.float32).reshape(len(rows), DIMS)
     return x, np.array([r.quality for r in rows], dtype=np.int64)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted; texts are worked on in blocks of about two million characters."""
+    """docs with score and predicted; texts are worked on in blocks of about BLOCK characters."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -179,7 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for t in texts:
                 group.append(t)
                 size += len(t)
-                if size >= 2_000_000 or len(group) >= 1000:
+                if size >= BLOCK or len(group) >= TEXTS:
                     out.append(m.score(counts(group)))
                     group, size = [], 0
             if group:

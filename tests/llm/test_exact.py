@@ -342,6 +342,19 @@ def _main_text(page):
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
+def test_op7_scores_are_a_texts_own(spark, docs):
+    """Alone, in another block or beside its copies: one score; of equally near neighbours label 0 and smaller ids come first."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(*quality.sample(rows, spark.read.parquet(f"{SF}/labels.parquet")))
+    texts = list(docs.values())[:120] + list(docs.values())[:5]
+    whole = model.score(quality.counts(texts))
+    assert [float(model.score(quality.counts([t]))[0]) for t in texts] == whole.tolist()
+    assert whole[:5].tolist() == whole[120:].tolist()
+    n = 3 * quality.NEIGHBOURS
+    tied = quality.Model(model.idf, model.axes, np.repeat(model.vectors[:1], n, axis=0), np.r_[np.zeros(quality.NEIGHBOURS - 2), np.ones(n - quality.NEIGHBOURS + 2)], 0.5)
+    assert abs(tied.score(quality.counts(texts[:1]))[0] - 2 / quality.NEIGHBOURS) < 1e-9
+
+
 def test_op2_tree_decides(spark):
     """The tree splits on words and densities of the block and of both neighbours beside what the markup says, and drops blocks of pages."""
 
