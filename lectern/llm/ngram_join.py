@@ -75,6 +75,8 @@ AUDIT = 128
 #: Agreements from which a pair that the runs missed becomes an edge, as its Jaccard may be 0.8; the audit's share is
 #: that of the pairs which agree in 0.8 or more.
 AUDITED = 0.76
+#: Words whose hashes a worker keeps, some 150 bytes each.
+KNOWN = 250_000
 _WORD = re.compile(r"\w+")
 _KNOWN: dict[str, int] = {}
 _U = np.uint64
@@ -94,7 +96,7 @@ def shingles(text: str) -> np.ndarray:
     try:
         hashed = np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
     except KeyError:
-        if len(_KNOWN) > 600_000:
+        if len(_KNOWN) > KNOWN:
             _KNOWN.clear()
         for w in words:
             if w not in _KNOWN:
