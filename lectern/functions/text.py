@@ -163,6 +163,20 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)^(?:{out})\\z"
 
 
+def glob_pattern(glob: Column | str) -> Column:
+    """glob_regex of a column: a bracket that nothing closes stands for itself."""
+    g = F.regexp_replace(_col(glob), r"([\\.+^$(){}|&])", r"\\$1")
+    g = F.regexp_replace(g, r"\[(?!!?[^\]]+\])", r"\\[")
+    g = F.regexp_replace(g, r"(?<!\\)\[!", "[^")
+    g = F.replace(F.replace(g, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    return F.concat(F.lit(r"(?s)\A(?:"), g, F.lit(r")\z"))
+
+
+def glob_head(glob: Column | str) -> Column:
+    """The literal start of a glob: what every match begins with."""
+    return F.regexp_extract(_col(glob), r"^([^*?\[]*)", 1)
+
+
 def java_regex(pattern: str) -> str:
     """A Python regular expression in Java's dialect: named groups, and classes that know Unicode."""
     return "(?U)" + re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern).replace(r"\Z", r"\z")

@@ -20,6 +20,9 @@ from lectern.operators import index, search, topics, versions
 from lectern.session import materialize
 
 
+STATEMENTS = "array<struct<id:string,quote:string,summary:string,modality:string,topics:array<string>,applies_to:array<string>,effective_from:string>>"
+
+
 class KnowledgeBase:
     """embed(rows, key, text) gives key and v: the place of an embedding model; the default hashes words."""
 
@@ -84,7 +87,19 @@ class KnowledgeBase:
         fused = search.four_lists(asked, allowed, stated.select("statement_id", "chunk_id"), of_sections, of_statements, self.embed, dropped)
         rows = fused.join(parts.select("chunk_id", "document_id", "section_ref", "title", "url", "text", "sha256"), "chunk_id")
         rows = rows.withColumn("label", F.concat_ws(" ", "document_id", "section_ref")).withColumn("excerpt", T.excerpt("text")).drop("text")
-        return search.collapse(rows, "sha256", "label", [F.desc("score"), F.col("chunk_id")], topics.clamp(limit, 50))
+        out = search.collapse(rows, "sha256", "label", [F.desc("score"), F.col("chunk_id")], topics.clamp(limit, 50))
+        return out.join(self.statements(out.select("chunk_id"), tags), "chunk_id", "left").withColumn("statements", F.coalesce("statements", F.array().cast(STATEMENTS)))
+
+    def statements(self, chunks: DataFrame, tags: list | None = None) -> DataFrame:
+        """chunk_id, statements of the given chunks: their statements by id, of those that apply to one of the tags where any are given."""
+        rows = self.table("statements").join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        if tags:
+            rows = rows.where(F.arrays_overlap("applies_to", F.array(*[F.lit(t) for t in tags])))
+        # a statement has a row for each of its topics
+        first = [F.first(c).alias(c) for c in ("verbatim_quote", "summary", "modality", "applies_to", "effective_from")]
+        rows = rows.groupBy("chunk_id", "id").agg(*first, F.sort_array(F.collect_set("topic")).alias("topics"))
+        one = F.struct("id", F.col("verbatim_quote").alias("quote"), "summary", "modality", "topics", "applies_to", "effective_from")
+        return rows.groupBy("chunk_id").agg(F.array_sort(F.collect_list(one)).alias("statements"))
 
     def answers(self, queries: DataFrame, **filters) -> DataFrame:
         """One row a query: results in order, the scopes that were inferred (null where none were), and a note where nothing matches."""
@@ -103,6 +118,21 @@ class KnowledgeBase:
         mine = self.sections().where((F.col("document_id") == document_id) & ((F.col("section_ref") == section_ref) | F.startswith("section_ref", F.lit(section_ref + " (part "))))
         return topics.section(mine, ["document_id", "title", "url"], "section_ref", "ord", "text")
 
+    def section(self, document_id: str, section_ref: str) -> DataFrame:
+        """One row: the section with its statements, or an error with the references that are like the one asked for."""
+        mine = self.sections().where(F.col("document_id") == document_id)
+        base = F.regexp_replace("section_ref", r" \(part [0-9]+\)$", "")
+        chunks = mine.where((F.col("section_ref") == section_ref) | (base == section_ref)).select("chunk_id", "ord")
+        said = self.statements(chunks).join(chunks, "chunk_id").select(F.explode("statements").alias("s"), "ord")
+        said = said.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda x: x["s"]).alias("statements"))
+        like = self.similar(document_id, section_ref).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "section_ref"))), lambda x: x["section_ref"]).alias("similar"))
+        asked = self.spark.createDataFrame([(document_id, section_ref)], "document_id string, section_ref string")
+        got = self.get(document_id, section_ref).drop("document_id", "first_ord")
+        out = asked.join(got, F.col("base_ref") == F.col("section_ref"), "left").drop("base_ref").join(said, F.lit(True)).join(like, F.lit(True))  # one row each
+        missing = F.col("section_text").isNull()
+        error = F.when(missing, F.when(F.size("similar") > 0, "there is no such section; see similar").otherwise("there is no such document"))
+        return out.withColumns({"error": error, "similar": F.when(missing, F.col("similar")), "statements": F.when(~missing, F.col("statements"))})
+
     def similar(self, document_id: str, section_ref: str) -> DataFrame:
         mine = self.sections().where(F.col("document_id") == document_id).select("section_ref", "ord")
         return topics.similar_refs(mine, "section_ref", section_ref, "ord")

@@ -135,6 +135,25 @@ def hit_rate(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     return expected.select("query_id").distinct().join(hits, "query_id", "left").withColumn("hit", F.col("first_rank").isNotNull())
 
 
+def glob_hits(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
+    """results: query_id, rank, document, ref (a row for every place of a result); expected: query_id, source_glob, section_glob.
+
+    A place is expected if its document matches the one glob and its reference the other or is a part of such a section.
+    Places meet the globs of their own question, and of these only those whose literal starts are theirs. One row a
+    question that has expectations: hit, first_rank (null without a hit).
+    """
+    wanted = expected.select("query_id", T.glob_head("source_glob").alias("d"), T.glob_pattern("source_glob").alias("d_re"), T.glob_head("section_glob").alias("s"), T.glob_pattern("section_glob").alias("s_re"), "section_glob")
+    met = results.where(F.col("rank") <= k).join(wanted.distinct(), "query_id").where(F.startswith("document", "d") & F.startswith("ref", "s"))
+    section = F.rlike("ref", F.col("s_re")) | F.startswith("ref", F.concat("section_glob", F.lit(" (part ")))
+    first = met.where(F.rlike("document", F.col("d_re")) & section).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    return expected.select("query_id").distinct().join(first, "query_id", "left").withColumn("hit", F.col("first_rank").isNotNull())
+
+
+def random_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows by a seeded order: the same for the same seed, another for another."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
 def source_signals(sources: DataFrame, versions: DataFrame, chunks: DataFrame, statements: DataFrame, key: str, prompt: str, as_of: str) -> DataFrame:
     """The signals of a source beside those of `structure`: versions, age in days of the last check, statements, sections
     without any, statements of another prompt version and statements on sections of earlier versions.

@@ -330,3 +330,20 @@ def golden_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     expected = quote_containment(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("place"))
     found = search.ranked(fused(spark, d), "doc_id", 5).select("query_id", "rank", F.col("doc_id").alias("place"))
     return audit.hit_rate(found, materialize(expected, "expected"))
+
+
+@query(
+    f"""WITH rk AS ({SQL["search_four_lists"]}), dd AS (SELECT doc_id, source FROM documents),
+x AS (SELECT item_id AS query_id, 'src' || (item_id % 2) || '*' AS a, '*' || (item_id % 10) AS b FROM benchmark UNION ALL SELECT item_id, 'src?', '[!0-4]*' FROM benchmark WHERE item_id % 3 = 0),
+h AS (SELECT query_id, min(rank) AS first_rank FROM rk JOIN dd USING (doc_id) JOIN x USING (query_id) WHERE rank <= 5 AND source GLOB a AND doc_id::VARCHAR GLOB b GROUP BY 1)
+SELECT query_id, first_rank::INTEGER AS first_rank, first_rank IS NOT NULL AS hit FROM (SELECT DISTINCT query_id FROM x) LEFT JOIN h USING (query_id)"""
+)
+def golden_globs(spark: SparkSession, d: str) -> DataFrame:
+    """Golden questions whose answers are told by globs on sources and ids, over the search of four lists."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    k = lambda n: (F.col("query_id") % n).cast("string")
+    one = asked.select("query_id", F.concat(F.lit("src"), k(2), F.lit("*")).alias("source_glob"), F.concat(F.lit("*"), k(10)).alias("section_glob"))
+    two = asked.where("query_id % 3 = 0").select("query_id", F.lit("src?").alias("source_glob"), F.lit("[!0-4]*").alias("section_glob"))
+    named = table(spark, d, "documents").select("doc_id", F.col("source").alias("document"), F.col("doc_id").cast("string").alias("ref"))
+    found = search_four_lists(spark, d).join(named, "doc_id").select("query_id", "rank", "document", "ref")
+    return audit.glob_hits(found, one.unionByName(two)).select("query_id", "first_rank", "hit")

@@ -296,6 +296,13 @@ def test_knowledge_base(spark, tmp_path):
         kb.search(named, scopes=["FR"])
     with pytest.raises(ValueError, match="recalls"):
         kb.search(named, topic=["nothing"])
+    assert [x.quote for x in hits[0].statements] == ["Recall unsafe food"] and hits[0].statements[0].topics == ["recalls"]
+    assert kb.search(asked, tags=["food"]).first().statements[0].applies_to == ["food"]
+    there, parts, absent, nowhere = [kb.section(*at).collect() for at in (("code", "code 3"), ("code", "code 5"), ("code", "code 55"), ("none", "code 3"))]
+    assert [s.quote for s in there[0].statements] == ["Recall unsafe food"] and there[0].error is None and there[0].similar is None
+    assert parts[0].section_text == "one\ntwo" and parts[0].statements == []
+    assert absent[0].error and absent[0].similar == ["code 3", "code 5 (part 1)", "code 5 (part 2)"][: len(absent[0].similar)] and absent[0].section_text is None
+    assert nowhere[0].error == "there is no such document" and nowhere[0].similar == []
     golden = spark.createDataFrame([(1, "recall of food", "code*", "code ?"), (2, "kosmetik", "nowhere", "*")], "query_id int, query string, source_glob string, section_glob string")
     assert {r.query_id: (r.hit, r.first_rank) for r in evaluate(kb, golden).collect()} == {1: (True, 1), 2: (False, None)}
 
