@@ -70,7 +70,7 @@ DEPTH = 8
 #: (a broadcast of 2 M words, 32 MB); more of them are joined.
 MAP_SHARE, MAP_KEYS = 16, 1 << 23
 #: Sets of a tile's block, and bytes of their shingles, on average.
-TILE, TILE_BYTES = 256, 16 << 20
+TILE, TILE_BYTES = 256, 6 << 20
 AUDIT = 128
 #: Agreements from which a pair that the runs missed becomes an edge, as its Jaccard may be 0.8; the audit's share is
 #: that of the pairs which agree in 0.8 or more.
@@ -122,11 +122,18 @@ def signature(found: np.ndarray) -> bytes:
     return (out & 255).astype(np.uint8).tobytes() + (out >> 8 & 255).astype(np.uint8).tobytes()
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Few texts at a time, so that a worker holds the shingles of these alone."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.iloc[lo : lo + rows]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, text_key, set_key (null without a set), sig, size (of the set)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sigs, sizes = [], [], []
             for text in batch["text"]:
                 found = shingles(text)
@@ -380,19 +387,21 @@ def compare(rows: DataFrame) -> DataFrame:
         nodes, copies, block = frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["block"].to_numpy()
         sets = [np.frombuffer(s, dtype=np.uint64) for s in frame["shingles"]]
         n = np.array([len(s) for s in sets], dtype=np.int64)
-        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), n)
+        del frame, sets
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
+        del order
         new = np.r_[True, values[1:] != values[:-1]]
-        group = np.cumsum(new) - 1
-        shared = np.bincount(group)[group] > 1  # the others meet nobody
-        owner, group = owner[shared], group[shared]
-        group = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1 if len(group) else group
-        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        shared = ~new | ~np.r_[new[1:], True]  # the others meet nobody
+        owner, new = owner[shared], new[shared]
+        del values, shared
+        group = np.cumsum(new, dtype=np.int32) - 1
+        both = np.zeros((len(n), len(n)), dtype=np.float32)
         width = 4096
         for lo in range(0, int(group[-1]) + 1 if len(group) else 0, width):
             a, b = np.searchsorted(group, [lo, lo + width])
-            part = np.zeros((len(sets), width), dtype=np.float32)
+            part = np.zeros((len(n), width), dtype=np.float32)
             part[owner[a:b], group[a:b] - lo] = 1
             both += part @ part.T
         meet = both.astype(np.int64)
@@ -457,7 +466,7 @@ def _join(docs: DataFrame) -> DataFrame:
     wanted = member.join(totals, "component").select("node", "component", "blocks", "copies", "set_key", F.col("one.text_key").alias("text_key"), F.col("one.doc_id").alias("one_id"))
 
     def reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t) for t in batch["text"]]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(k) for s, k in zip(sets, batch["set_key"])]
             out = batch[["node", "copies", "component", "blocks"]].assign(shingles=[s.tobytes() for s in sets])
