@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "topic":
         out = kb.topic(args.words[0], args.tag, args.limit).orderBy("place")
     elif args.command == "sources":
-        out = kb.sources(*args.words[:1])
+        out = kb.sources_full(*args.words[:1])
     else:
         from lectern.sources import registry_files
 

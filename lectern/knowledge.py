@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import index, search, topics, versions
+from lectern.operators import index, search, topics, trust, versions
 from lectern.session import materialize
 
 
@@ -155,3 +155,32 @@ class KnowledgeBase:
         parts = self.sections().select("document_id", "chunk_id")
         stated = self.table("statements").join(parts, "chunk_id").select("document_id")
         return topics.sources(docs, now, [("n_sections", parts), ("n_statements", stated)], "document_id").orderBy("document_id")
+
+    def _optional(self, name: str, schema: str) -> DataFrame:
+        """A table that a knowledge base may lack; empty where it does."""
+        try:
+            rows = self.table(name)
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+        return rows.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")])
+
+    def sources_full(self, scope: str | None = None) -> DataFrame:
+        """sources() with level and reason of trust, whether each document binds, and what is to be noted on it.
+
+        From the tables publishers (publisher, domains, official), reviews (version_id, reviewer, verdict, created_at) and
+        doc_types (doc_type, binding, note), where they are there: a publisher that isn't registered is unknown, a type
+        that isn't is binding. Of each reviewer's verdicts on the current version the last one counts.
+        """
+        listing = self.sources(scope)
+        publishers = self._optional("publishers", "publisher string, domains array<string>, official boolean")
+        types = self._optional("doc_types", "doc_type string, binding boolean, note string")
+        reviews = self._optional("reviews", "version_id string, reviewer string, verdict string, created_at string")
+        said = trust.latest_verdicts(reviews, "version_id", "reviewer", "verdict", ["created_at"]).groupBy("version_id")
+        said = said.agg(F.max(F.col("verdict") == "vetted").alias("vetted"), F.max(F.col("verdict") == "disputed").alias("disputed"))
+        rows = trust.provenance(listing, publishers).join(types.select("doc_type", "binding"), "doc_type", "left").join(said, "version_id", "left")
+        no = F.lit(False)
+        binds = F.coalesce("binding", F.lit(True)) & F.col("translation_of").isNull()
+        known = (F.col("on_domain"), F.col("official"), binds, F.coalesce("vetted", no), F.coalesce("disputed", no))
+        levels = rows.select("document_id", trust.level(*known).alias("level"), trust.reason(*known).alias("reason"))
+        unbound = [r.doc_type for r in search._batch(types.where("not binding").select("doc_type").distinct(), "document types")]
+        return topics.sources_full(listing, levels, types.select("doc_type", "note"), "document_id", "doc_type", "translation_of", unbound).orderBy("document_id")

@@ -303,6 +303,14 @@ def test_knowledge_base(spark, tmp_path):
     assert parts[0].section_text == "one\ntwo" and parts[0].statements == []
     assert absent[0].error and absent[0].similar == ["code 3", "code 5 (part 1)", "code 5 (part 2)"][: len(absent[0].similar)] and absent[0].section_text is None
     assert nowhere[0].error == "there is no such document" and nowhere[0].similar == []
+    plain = {r.document_id: (r.level, r.binding, r.note) for r in kb.sources_full().collect()}
+    assert plain == {d: ("unverified", None, None) for d in ("code", "code-retail", "lag", "never")}  # nothing is registered
+    spark.createDataFrame([("P", ["x.org"], True)], "publisher string, domains array<string>, official boolean").write.parquet(f"{tmp_path}/publishers")
+    spark.createDataFrame([("act", True, None), ("regulation", False, "guidance")], "doc_type string, binding boolean, note string").write.parquet(f"{tmp_path}/doc_types")
+    verdicts = [("lag@1", "r", "vetted", "1"), ("lag@1", "r", "disputed", "2"), ("code@1", "r", "disputed", "1"), ("code@1", "r", "vetted", "2")]
+    spark.createDataFrame(verdicts, "version_id string, reviewer string, verdict string, created_at string").write.parquet(f"{tmp_path}/reviews")
+    full = {r.document_id: (r.level, r.binding, r.note, r.n_statements) for r in kb.sources_full().collect()}
+    assert full == {"code": ("official", False, "guidance", 1), "code-retail": ("secondary", False, "guidance", 1), "lag": ("disputed", True, None, 1), "never": ("official", True, None, 0)}
     golden = spark.createDataFrame([(1, "recall of food", "code*", "code ?"), (2, "kosmetik", "nowhere", "*")], "query_id int, query string, source_glob string, section_glob string")
     assert {r.query_id: (r.hit, r.first_rank) for r in evaluate(kb, golden).collect()} == {1: (True, 1), 2: (False, None)}
 
