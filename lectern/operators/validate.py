@@ -144,6 +144,14 @@ def domain_availability(rows: DataFrame) -> DataFrame:
     ])
 
 
+def unknown_status(rows: DataFrame) -> DataFrame:
+    """Rules on what a domain calls an unknown availability: id, unknown, statuses."""
+    return row_rules(rows, "id", [
+        ("domain.availability_unknown_slug", ~F.coalesce(F.col("unknown").rlike(SLUG), F.lit(False)), "unknown is no slug"),
+        ("domain.availability_unknown_own", F.array_contains("statuses", F.col("unknown")), "unknown is one of the values"),
+    ])
+
+
 def source_options(rows: DataFrame) -> DataFrame:
     """Rules on a source's options: id, extract_note, skip_classes, section_pattern, section_label, body_start, drop_preamble."""
     return row_rules(rows, "id", [
