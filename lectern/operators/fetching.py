@@ -128,23 +128,32 @@ def saved(files: DataFrame) -> DataFrame:
 
 
 def picked(sources: DataFrame, responses: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """One row of BODIES for each source: its saved file before any response. A repeated response counts once; different ones, or none, are
-    refused, since a round has one answer a source. Bodies of sources that aren't listed are left out. Null ids are no source's.
+    """One row for each source, with `sha256` in place of the content: its saved file before any response. A repeated response counts
+    once; different ones, or none, are refused, since a round has one answer a source. Bodies of sources that aren't listed are left out.
+    Null ids are no source's. Contents don't move.
     """
     wanted = sources.where("source_id is not null").select("source_id").distinct()
-    sha = F.sha2("content", 256)
-    bodies = responses.withColumn("sha256", sha)
+    told = lambda b: b.withColumns({"sha256": F.sha2("content", 256), "error": F.coalesce("error", F.lit(""))}).drop("content", "final_url")
+    bodies = told(responses)
     if files is not None:
-        bodies = bodies.join(files.select("source_id").distinct(), "source_id", "left_anti").unionByName(files.withColumn("sha256", sha))
-    bodies = bodies.withColumn("error", F.coalesce("error", F.lit(""))).dropDuplicates(["source_id", "sha256", "error"])
-    counted = bodies.groupBy("source_id").agg(F.count("*").alias("n"))
-    several = counted.where("n > 1").select("source_id", F.lit("several answers landed").alias("several"))
-    # of several answers none is taken, so that their bodies needn't meet
-    one = bodies.join(several, "source_id", "left_anti").withColumn("several", F.lit(None).cast("string")).drop("final_url")
-    rest = several.withColumns({c: F.lit(None).cast(one.schema[c].dataType) for c in one.columns if c not in ("source_id", "several")})
-    met = wanted.join(one.unionByName(rest), "source_id", "left")
-    nothing = F.when(F.col("error").isNull() & F.col("content").isNull(), "nothing landed")
-    return met.withColumn("error", F.coalesce("several", F.nullif("error", F.lit("")), nothing)).drop("several")
+        bodies = bodies.join(files.select("source_id").distinct(), "source_id", "left_anti").unionByName(told(files))
+    rest = F.struct(*[c for c in bodies.columns if c != "source_id"])
+    answer = F.struct(F.coalesce("sha256", F.lit("")), "error")
+    least, most = F.min(F.struct(answer.alias("answer"), rest.alias("rest"))), F.max(answer)
+    one = bodies.groupBy("source_id").agg(least.alias("one"), most.alias("last"))
+    several = F.col("one.answer") != F.col("last")
+    met = wanted.join(one, "source_id", "left").select("source_id", several.alias("several"), "one.rest.*")
+    error = F.when(F.col("several"), "several answers landed").when(F.col("several").isNull(), "nothing landed").otherwise(F.nullif("error", F.lit("")))
+    return met.withColumn("error", error).drop("several")
+
+
+def contents(asked: DataFrame, *landed: DataFrame) -> DataFrame:
+    """source_id, sha256, content of the asked answers (source_id, sha256), each once; no others leave their tasks."""
+    rows = [b.select("source_id", F.sha2("content", 256).alias("sha256"), "content") for b in landed]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return every.join(asked.select("source_id", "sha256").distinct(), ["source_id", "sha256"], "left_semi").dropDuplicates(["source_id", "sha256"])
 
 
 def body_sections(bodies: DataFrame, readings: dict[str | None, Reading]) -> DataFrame:
@@ -189,16 +198,16 @@ def versions_of(log: DataFrame) -> DataFrame:
     return out.select(short.alias("id"), "document_id", "sha256", "told.content_type", "told.etag", "told.last_modified", "fetched_at", "last_checked_at")
 
 
-def _told(bodies: DataFrame, now_held: DataFrame, raw: DataFrame, readings: dict[str | None, Reading], reading_of: DataFrame | None) -> DataFrame:
-    """bodies without content, with status, detail and `left`, the content that is current after the round (null: none)."""
-    plain = bodies.drop("content").join(now_held, "source_id", "left")
+def _told(bodies: DataFrame, landed: tuple[DataFrame, ...], now_held: DataFrame, raw: DataFrame, readings: dict[str | None, Reading], reading_of: DataFrame | None) -> DataFrame:
+    """The picked bodies with status, detail and `left`, the content that is current after the round (null: none)."""
+    plain = bodies.join(now_held, "source_id", "left")
     differs = F.col("error").isNull() & F.col("old").isNotNull() & (F.col("old") != F.col("sha256"))
     plain = materialize(plain.withColumn("differs", differs), "round")
     if reading_of is None:
         reading_of = plain.select("source_id").limit(0).withColumn("reading", F.lit(None).cast("string"))
     asked = plain.where("differs").join(reading_of, "source_id", "left")
     key = lambda sha: F.concat_ws("@", "source_id", sha)
-    after = asked.select("source_id", "reading", "content_type", key("sha256").alias("key")).join(bodies.select("source_id", "content"), "source_id")
+    after = asked.select("source_id", "sha256", "reading", "content_type", key("sha256").alias("key")).join(contents(asked, *landed), ["source_id", "sha256"])
     before = asked.select("source_id", "reading", F.col("old_type").alias("content_type"), F.col("old").alias("sha256"), key("old").alias("key"))
     before = before.join(raw.select(F.col("document_id").alias("source_id"), "sha256", "content"), ["source_id", "sha256"])
     columns = ["key", "reading", "content_type", "content"]
@@ -225,19 +234,18 @@ def _told(bodies: DataFrame, now_held: DataFrame, raw: DataFrame, readings: dict
     return out.drop("told", "key", "before", "after", "differs")
 
 
-def observe(bodies: DataFrame, log: DataFrame, raw: DataFrame, now: str, readings: dict[str | None, Reading] | None = None, reading_of: DataFrame | None = None) -> Round:
-    """The round over `picked` bodies, with the log of versions and raw bodies (document_id, sha256, content) before it.
+def observe(bodies: DataFrame, landed: tuple[DataFrame, ...], log: DataFrame, raw: DataFrame, now: str, readings: dict[str | None, Reading] | None = None, reading_of: DataFrame | None = None) -> Round:
+    """The round over `picked` bodies and what landed with contents (received, saved), with the log of versions and raw bodies (document_id, sha256, content) before it.
 
     new: the source has no version. unchanged: the bytes are those of the current version, or its sections are (only markup
     differs; the new bytes are dropped). failed, and what is stored stays: the body was refused, a page came where the current
     version is none, or a body without sections where it has some. changed otherwise, also back to an earlier version, which is
     then current again. reading_of: source_id, reading.
     """
-    bodies = bodies.withColumn("sha256", F.sha2("content", 256))
     stored = versions_of(log)
     now_held = versions.current(stored).select(F.col("document_id").alias("source_id"), F.col("sha256").alias("old"), F.col("content_type").alias("old_type"))
     with scratch(bodies.sparkSession):
-        out = keep(_told(bodies, now_held, raw, readings or {}, reading_of), "round")
+        out = keep(_told(bodies, landed, now_held, raw, readings or {}, reading_of), "round")
     results = out.select("source_id", "status", "detail", F.col("left").alias("sha256"))
     at = F.lit(now)
     taken = F.col("status").isin("new", "changed")
@@ -245,7 +253,7 @@ def observe(bodies: DataFrame, log: DataFrame, raw: DataFrame, now: str, reading
     own = {c: F.when(taken, F.col(c)) for c in ("content_type", "etag", "last_modified")}
     seen = out.where("status <> 'failed'").select(F.col("source_id").alias("document_id"), F.col("left").alias("sha256"), *[c.alias(n) for n, c in own.items()], at.alias("fetched_at"), at.alias("last_checked_at"))
     fresh = out.where(taken).select("source_id", "sha256").join(stored.select(F.col("document_id").alias("source_id"), "sha256"), ["source_id", "sha256"], "left_anti")
-    added = fresh.join(bodies.select("source_id", "content"), "source_id").select(F.col("source_id").alias("document_id"), "sha256", "content")
+    added = contents(fresh, *landed).select(F.col("source_id").alias("document_id"), "sha256", "content")
     return Round(results, seen, added)
 
 

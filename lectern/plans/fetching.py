@@ -55,7 +55,7 @@ def _round(spark: SparkSession, d: str) -> tuple[fetching.Round, DataFrame]:
     none = F.lit(None).cast("string")
     log = held.select("document_id", "sha256", "content_type", none.alias("etag"), none.alias("last_modified"), F.lit(STORED_AT).alias("fetched_at"), F.lit(STORED_AT).alias("last_checked_at"))
     bodies = fetching.on_publisher(fetching.received(landed), sources, publishers)
-    return fetching.observe(fetching.picked(sources, bodies), log, held.select("document_id", "sha256", "content"), NOW), log
+    return fetching.observe(fetching.picked(sources, bodies), (landed,), log, held.select("document_id", "sha256", "content"), NOW), log
 
 
 _ON = "regexp_matches(url, '^https?://([^/?#:]*[.])?example[.](com|org)([/?#:]|$)')"

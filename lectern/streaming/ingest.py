@@ -76,7 +76,7 @@ def rounds_sink(sources: DataFrame, path: str, readings: dict[str | None, fetchi
         here = sources.join(files.select("source_id").distinct(), "source_id", "left_semi")
         reading_of = sources.select("source_id", "reading") if "reading" in sources.columns else None
         found = fetching.observe(
-            fetching.picked(here, files.limit(0), files), kept(spark, path, "versions", number), kept(spark, path, "raw", number), newest, readings, reading_of
+            fetching.picked(here, files.limit(0), files), (files,), kept(spark, path, "versions", number), kept(spark, path, "raw", number), newest, readings, reading_of
         )
         to = lambda name: f"{path}/{name}/batch={number}"
         found.raw.write.mode("overwrite").parquet(to("raw"))
