@@ -27,7 +27,10 @@ DEPTH = 9
 
 @dataclass(frozen=True)
 class Rules:
-    """How a source is split; patterns are Python regular expressions matched at a line's start."""
+    """How a source is split; patterns are Python regular expressions matched at a line's start.
+
+    title_lines: in pattern mode a title line just before a section's number goes with that section.
+    """
 
     section_pattern: str | None = None
     chapter_pattern: str | None = None
@@ -37,6 +40,7 @@ class Rules:
     first_chapter: str = ""
     section_label: str | None = None
     drop_preamble: bool = False
+    title_lines: bool = True
     max_chars: int = MAX_CHARS
 
 
@@ -157,7 +161,7 @@ def split(blocks: DataFrame, rules: Rules) -> DataFrame:
     rows = _paths(_placed(blocks.where("doc_id is not null"), rules))
     failed = rows.where("error is not null").groupBy("doc_id").agg(F.first("error").alias("error"))
     rows = rows.where("error is null")
-    if rules.section_pattern:
+    if rules.section_pattern and rules.title_lines:
         rows = _with_titles(rows)
     own = F.when((F.col("chapter") == "") | F.startswith("start", "chapter"), F.col("start")).otherwise(F.concat_ws(" ", "chapter", "start"))
     begun = F.col("start").isNotNull()

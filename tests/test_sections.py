@@ -69,3 +69,16 @@ def test_a_run_of_title_lines_moves_as_far_as_it_is_fed(spark):
 
 def test_empty(spark):
     assert sections.split(spark.createDataFrame([], sections.BLOCKS), Rules()).count() == 0
+
+
+def test_title_lines_stay_where_the_query_says_so(spark, tmp_path):
+    import duckdb
+
+    from lectern.plans import documents
+    from tests.oracle import check
+
+    texts = [(1, "First. line\nno stop here\nA title\nNext. line\nAnother title"), (2, "one\nA title\nNext. line"), (3, None), (4, "Next. a\nB\nNext. c")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    check(documents.section_split_lines(spark, str(tmp_path)), con, documents.SQL["section_split_lines"])
