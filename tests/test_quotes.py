@@ -58,3 +58,10 @@ def test_every_window_has_its_least_hash():
         for at in range(n - 46):
             assert set(quotes.fingerprints(text[at : at + 47], 16, 32).tolist()) <= found
         assert bool(found) == (n >= 47)
+
+
+def test_short_quotes_leave_nothing_on_disk_but_pairs(spark, monkeypatch):
+    names, write = [], quotes.materialize
+    monkeypatch.setattr(quotes, "materialize", lambda df, name, *a: names.append(name) or write(df, name, *a))
+    assert len(_check(spark, [(k, f"a short one, {k}") for k in range(20)], [(0, "short"), (1, "one, 1"), (2, "none")])) == 31
+    assert names == ["quotes"]
