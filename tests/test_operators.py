@@ -329,3 +329,15 @@ def test_registry_files(spark, tmp_path):
     scopes, stated = registry_files.scopes(spark, str(tmp_path / "scopes.yaml"))
     assert scopes.first().languages == ["sv"] and stated.first().effective_from == "2024"
     assert [r.section_glob for r in registry_files.golden(spark, str(tmp_path / "golden.yaml")).orderBy("source_glob").collect()] == ["s. *", "*"]
+
+
+def test_best_of_keywords_in_blocks_is_the_ranking_of_all(spark, monkeypatch):
+    rows = [(k, " ".join(w for j, w in enumerate(["apple", "apples", "pear", "plum", "fig"]) if (k * 7 + 3) >> j & 1)) for k in range(64)]
+    posts = search.postings(spark.createDataFrame(rows, "doc long, text string"), "doc", "text")
+    lengths = search.lengths_of(spark.createDataFrame(rows, "doc long, text string"), "doc", "text")
+    asked = spark.createDataFrame([(1, "apple pear"), (2, "plum"), (3, "nothing here"), (4, "fig fig apples")], "query_id long, query string")
+    monkeypatch.setattr(search, "BLOCK", 8)
+    want = search.ranked(search.bm25(asked, posts, lengths, "doc").withColumn("score", F.round("score", 6)), "doc", 5)
+    found = search.bm25_topk(asked, posts, lengths, "doc", 5, 6)
+    told = lambda df: sorted((r.query_id, r.rank, r.doc, r.score) for r in df.select("query_id", "rank", "doc", "score").collect())
+    assert told(found) == told(want) and len(told(want)) == 15
