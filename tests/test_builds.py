@@ -136,3 +136,15 @@ def test_topic_listing_of_a_hot_quote(spark):
     assert sorted((r.topic, r.id, r.total, r.place, len(r.also_in)) for r in found) == [("t", 99, 2, 1, 0), ("u", 100, 1, 1, 0)]
     found = topics.topic_listing(df, ["topic"], "quote", "label", [F.col("rank"), F.col("id")], ["id"], 5).where("topic = 't'").orderBy("place").collect()
     assert [r.id for r in found] == [0, 99] and found[0].also_in == [f"l{k}" for k in range(1, 50)]
+
+
+def test_actions_of_repeated_and_missing_places_without_an_outer_join(spark):
+    from lectern.operators import store
+
+    columns = "version_id long, ord int, chunk_id long, section_ref string, sha256 string"
+    old = [(1, 0, 10, "a", None), (2, 0, 20, "a", "x"), (2, 0, 21, "a", "x"), (3, None, 30, "a", "x"), (4, 0, 40, None, "a"), (5, 0, 50, "a", "x"), (6, 0, 60, "a", "x")]
+    new = [(1, 0, 11, "a", None), (2, 0, 22, "a", "x"), (3, None, 31, "a", "x"), (4, 0, 41, "a", None), (5, 0, 51, "a", "y"), (7, 0, 70, "a", "x")]
+    cited = spark.createDataFrame([(50,), (10,)], "chunk_id long")
+    out = store.section_actions(spark.createDataFrame(old, columns), spark.createDataFrame(new, columns), cited)
+    assert {r.version_id: r.action for r in out.collect()} == {1: "kept", 2: "kept", 3: "replaced", 4: "replaced", 5: "refused", 6: "kept", 7: "new"}
+    assert "FullOuter" not in out._jdf.queryExecution().toString()
