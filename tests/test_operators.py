@@ -341,3 +341,14 @@ def test_best_of_keywords_in_blocks_is_the_ranking_of_all(spark, monkeypatch):
     found = search.bm25_topk(asked, posts, lengths, "doc", 5, 6)
     told = lambda df: sorted((r.query_id, r.rank, r.doc, r.score) for r in df.select("query_id", "rank", "doc", "score").collect())
     assert told(found) == told(want) and len(told(want)) == 15
+
+
+def test_pages_are_read_in_small_parts(spark, monkeypatch):
+    from lectern import session
+
+    pages = spark.createDataFrame([(k, "" if k < 9 else f"<p>page {k}</p>") for k in range(20)], "page_id long, html string").coalesce(1)
+    sizes = session.map_parts(pages, lambda parts: (p.head(1).assign(n=len(p))[["n"]] for p in parts), "n int", 8)
+    assert sorted(r.n for r in sizes.collect()) == [4, 8, 8]
+    out = markup.html_blocks(pages, "page_id", "html")
+    assert sorted(r.text for r in out.collect()) == sorted(f"page {k}" for k in range(9, 20))
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
