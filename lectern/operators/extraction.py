@@ -66,8 +66,8 @@ def cached(sections: DataFrame, memo: DataFrame, key: list[str]) -> DataFrame:
     return sections.join(memo, key, "left")
 
 
-def call_model(misses: DataFrame, call: Callable[[str, str], str], system: str, attempts: int = 2) -> DataFrame:
-    """message_sha256, output, error for each distinct message; one failure never stops the others."""
+def call_model(misses: DataFrame, call: Callable[[str, str], str], system: str, attempts: int = 2, unique: bool = False) -> DataFrame:
+    """message_sha256, output, error for each distinct message (`unique`: they are); one failure never stops the others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,30 +84,48 @@ def call_model(misses: DataFrame, call: Callable[[str, str], str], system: str,
                     out.append((digest, None, error))
             yield pd.DataFrame(out, columns=["message_sha256", "output", "error"])
 
-    return misses.select("message_sha256", "message").dropDuplicates(["message_sha256"]).mapInPandas(run, "message_sha256 string, output string, error string")
+    rows = misses.select("message_sha256", "message")
+    return (rows if unique else rows.dropDuplicates(["message_sha256"])).mapInPandas(run, "message_sha256 string, output string, error string")
 
 
-def records(outputs: DataFrame, output: str = "output") -> DataFrame:
-    """A row for each record of a model's output, `n` from 1; an output that can't be read has one row with bad_output."""
-    parsed = F.from_json(T.unfence(output), OUTPUT)["statements"]
-    rows = outputs.withColumn("parsed", parsed)
-    return rows.select(*outputs.columns, parsed.isNull().alias("bad_output"), F.posexplode_outer("parsed").alias("pos", "record")).withColumn("n", F.col("pos") + 1).drop("pos")
+def records(outputs: DataFrame, output: str = "output", text: str | None = None) -> DataFrame:
+    """A row for each record of a model's output, `n` from 1; an output that can't be read has one row with bad_output.
+
+    `text`: the section's text; `comparable` is then its comparable form, made once a section and only where one of the
+    quotes asks for it (else null).
+    """
+    rows = outputs.withColumn("parsed", F.from_json(T.unfence(output), OUTPUT)["statements"]).withColumn("bad_output", F.col("parsed").isNull())
+    if text:
+        asks = F.exists("parsed", lambda r: (F.length(r["verbatim_quote"]) <= QUOTE_CHARS) & ~literal(r["verbatim_quote"], F.col(text)))
+        rows = rows.withColumn("comparable", F.when(asks, T.comparable(text)))
+    return rows.select(*[c for c in rows.columns if c != "parsed"], F.posexplode_outer("parsed").alias("pos", "record")).withColumn("n", F.col("pos") + 1).drop("pos")
 
 
 def contained(quote: Column | str, text: Column | str) -> Column:
     return F.contains(T.comparable(text), T.comparable(quote))
 
 
+#: Ends of a quote of which comparable() may leave out more or less in a text than in the quote alone.
+_OPEN_END = rf"\A(?:{T.SPACE[:-1]}|[-\u00ad])|(?:{T.SPACE[:-1]}|[-\u00ad])\z"
+
+
+def literal(quote: Column, text: Column) -> Column:
+    """Whether a quote is in a text as it is and between ends of its own, so that its comparable form is in the text's."""
+    return F.contains(text, quote) & ~F.rlike(quote, F.lit(_OPEN_END))
+
+
 def reject_reason(quote: Column, text_comparable: Column, summary: Column, modality: Column, topics: Column, applies_to: Column, effective: Column,
-                  modalities: list[str], known_topics: list[str], tags: Column) -> Column:
-    """The first rule that a record breaks, or null."""
+                  modalities: list[str], known_topics: list[str], tags: Column, text: Column | None = None) -> Column:
+    """The first rule that a record breaks, or null. With `text`, the comparable form is looked at only for quotes that aren't in it literally."""
     words = lambda xs: F.array(*[F.lit(x) for x in xs])
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     distinct = F.array_distinct(topics)
+    there = F.contains(text_comparable, T.comparable(quote))
+    there = there if text is None else literal(quote, text) | there
     return (
         F.when(blank(quote), "quote missing")
         .when(F.length(quote) > QUOTE_CHARS, "quote too long")
-        .when(~F.coalesce(F.contains(text_comparable, T.comparable(quote)), F.lit(False)), "quote not verbatim")
+        .when(~F.coalesce(there, F.lit(False)), "quote not verbatim")
         .when(blank(summary), "summary missing")
         .when(~F.coalesce(modality.isin(modalities), F.lit(False)), "unknown modality")
         .when(~F.coalesce(F.size(distinct).between(1, 3) & (F.size(F.array_except(distinct, words(known_topics))) == 0), F.lit(False)), "topics")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import audit, comparison, extraction, extraction_run, search, topics
 
 SYSTEM = ("Read.", "v1", "m", ["must"], ["recalls"])
@@ -148,3 +149,35 @@ def test_actions_of_repeated_and_missing_places_without_an_outer_join(spark):
     out = store.section_actions(spark.createDataFrame(old, columns), spark.createDataFrame(new, columns), cited)
     assert {r.version_id: r.action for r in out.collect()} == {1: "kept", 2: "kept", 3: "replaced", 4: "replaced", 5: "refused", 6: "kept", 7: "new"}
     assert "FullOuter" not in out._jdf.queryExecution().toString()
+
+
+def test_a_batch_reads_its_own_messages_and_there_are_few_batches(spark, tmp_path, monkeypatch):
+    log, memo = tmp_path / "log", str(tmp_path / "memo")
+    log.mkdir()
+    monkeypatch.setattr(extraction_run, "BATCH", 1)
+    monkeypatch.setattr(extraction_run, "BATCHES", 3, raising=False)
+    call_model, read = extraction.call_model, []
+    monkeypatch.setattr(extraction, "call_model", lambda misses, *args, **more: read.append(misses._jdf.queryExecution().executedPlan().toString()) or call_model(misses, *args, **more))
+    rows = _sections(spark, 40).withColumn("message", F.concat("message", F.col("section").cast("string")))
+    out, _ = _run(spark, rows, memo, _caller(str(log)))
+    report = extraction_run.report(out).first()
+    assert len(read) == 3 and all("PartitionFilters: [isnotnull(batch" in plan and "Exchange" not in plan for plan in read)
+    assert (report["read"], report["called"], report["statements"], len(_asked(str(log)))) == (39, 39, 39, 39)  # the first is a preamble
+
+
+def test_literal_quotes_are_in_the_comparable_text_and_need_no_copy_of_it(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(3000):
+        text = "".join(rng.choice("aé-- \n­　") for _ in range(rng.randrange(1, 24)))
+        at = rng.randrange(len(text))
+        rows.append((k, text, text[at : at + rng.randrange(1, 12)]))
+    df = spark.createDataFrame(rows, "section long, text string, quote string")
+    found = df.select(extraction.literal(F.col("quote"), F.col("text")).alias("literal"), extraction.contained("quote", "text").alias("held")).groupBy("literal", "held").count().collect()
+    assert {(r.literal, r.held) for r in found} == {(True, True), (False, True), (False, False)}
+    said = df.withColumn("output", F.to_json(F.struct(F.array(F.struct(F.col("quote").alias("verbatim_quote"))).alias("statements"))))
+    parsed = extraction.records(said, text="text").withColumn("literal", extraction.literal(F.col("quote"), F.col("text")))
+    assert parsed.where(F.col("literal") != F.col("comparable").isNull()).count() == 0
+    words = [F.lit(""), F.lit("may"), F.array(F.lit("t")), F.array(F.lit("food")), F.lit(None).cast("string")]
+    reasons = [extraction.reject_reason(F.col("quote"), c, *words, ["may"], ["t"], F.array(F.lit("food")), t) for c, t in ((T.comparable("text"), None), (F.col("comparable"), F.col("text")))]
+    assert parsed.where(~reasons[0].eqNullSafe(reasons[1])).count() == 0
