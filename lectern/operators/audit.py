@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.session import map_parts
 
 GAP = 20
 TINY = 80
@@ -72,32 +76,47 @@ def best_match(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
 
     Each side of a section is dealt to blocks of TILE vectors; a tile of two blocks is one matrix product that gives the
     best of each row and of each column, and their maxima are merged. So pairs are never rows and a section
-    may have any number of vectors. Vectors meet those of their own length only; null ones and null sections meet none.
+    may have any number of vectors. Tiles are read in order, many to an Arrow batch, so that small sections cost no call each. Vectors meet those
+    of their own length only; null ones and null sections meet none.
     """
     def dealt(rows: DataFrame, other: DataFrame, mine: str, its: str) -> DataFrame:
         size = lambda r, name: r.groupBy(by, "dims").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
         held = rows.join(size(rows, "own"), [by, "dims"]).join(size(other, "others"), [by, "dims"])
-        held = held.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("own")).cast("int")).withColumn(its, F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-        return held.select(by, "dims", mine, its, "id", "v").groupBy(by, "dims", "i", "j")
-
-    kind = left.schema[by].dataType.simpleString()
-    names = {s: r.schema["id"].dataType.simpleString() for s, r in (("a", left), ("b", right))}
-
-    def tile(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = [by, "a", "b", "m"]
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in columns})
-        cos = np.stack(a["v"].to_numpy()).astype(float) @ np.stack(b["v"].to_numpy()).astype(float).T
-        one = pd.DataFrame({by: key[0], "a": a["id"].to_numpy(), "b": None, "m": cos.max(axis=1)})
-        two = pd.DataFrame({by: key[0], "a": None, "b": b["id"].to_numpy(), "m": cos.max(axis=0)})
-        return pd.concat([one.astype(object), two.astype(object)])[columns]
-
-    # both sides may come from one table, so each names its columns anew
+        return held.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("own")).cast("int")).withColumn(its, F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+
+    place = [by, "dims", "i", "j"]
+
+    def tiles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in itertools.chain(parts, [None]):
+            frame = held if part is None else part if held is None else pd.concat([held, part], ignore_index=True)
+            if frame is None:
+                return
+            new = np.zeros(len(frame), dtype=bool)
+            for c in place:
+                values = frame[c].to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            ends = [0, *np.flatnonzero(new), *([len(frame)] if part is None else [])]  # the last tile may go on
+            of_a, v, at, best = frame["of_a"].to_numpy(dtype=bool), frame["v"].to_numpy(), [], []
+            for lo, hi in zip(ends, ends[1:]):
+                mid = lo + np.count_nonzero(of_a[lo:hi])
+                if lo < mid < hi:
+                    cos = np.stack(v[lo:mid]).astype(float) @ np.stack(v[mid:hi]).astype(float).T
+                    at.append(np.arange(lo, hi))
+                    best += [cos.max(axis=1), cos.max(axis=0)]
+            if at:
+                yield frame.iloc[np.concatenate(at)][[by, "of_a", "id"]].assign(m=np.concatenate(best))
+            held = frame.iloc[ends[-1] :].reset_index(drop=True)
+
+    # both sides may come from one table, so each names its columns anew; an id is only told from others, so both go as strings
     sides = [r.select(*[F.col(c).alias(c) for c in (by, "id", "v")]).where(F.col(by).isNotNull() & F.col("v").isNotNull()).withColumn("dims", F.size("v")) for r in (left, right)]
-    met = dealt(sides[0], sides[1], "i", "j").cogroup(dealt(sides[1], sides[0], "j", "i")).applyInPandas(tile, f"{by} {kind}, a {names['a']}, b {names['b']}, m double")
-    best = met.groupBy(by, "a", "b").agg(F.max("m").alias("m"))
-    mean = lambda column: F.avg(F.when(F.col(column).isNotNull(), F.col("m")))
-    return best.groupBy(by).agg(((mean("a") + mean("b")) / 2).alias("similarity"))
+    both = [dealt(sides[0], sides[1], "i", "j").withColumn("of_a", F.lit(True)), dealt(sides[1], sides[0], "j", "i").withColumn("of_a", F.lit(False))]
+    columns = [*place, "of_a", F.col("id").cast("string").alias("id"), "v"]
+    rows = both[0].select(*columns).unionByName(both[1].select(*columns)).repartition(*place).sortWithinPartitions(*place, F.desc("of_a"))
+    met = map_parts(rows, tiles, f"{by} {left.schema[by].dataType.simpleString()}, of_a boolean, id string, m double", step=4 * TILE)
+    best = met.where("id is not null").groupBy(by, "of_a", "id").agg(F.max("m").alias("m"))
+    mean = lambda mine: F.avg(F.when(F.col("of_a") == mine, F.col("m")))
+    return best.groupBy(by).agg(((mean(True) + mean(False)) / 2).alias("similarity"))
 
 
 def modality_agreement(left: DataFrame, right: DataFrame, by: str, modality: str) -> DataFrame:

@@ -181,3 +181,21 @@ def test_literal_quotes_are_in_the_comparable_text_and_need_no_copy_of_it(spark)
     words = [F.lit(""), F.lit("may"), F.array(F.lit("t")), F.array(F.lit("food")), F.lit(None).cast("string")]
     reasons = [extraction.reject_reason(F.col("quote"), c, *words, ["may"], ["t"], F.array(F.lit("food")), t) for c, t in ((T.comparable("text"), None), (F.col("comparable"), F.col("text")))]
     assert parsed.where(~reasons[0].eqNullSafe(reasons[1])).count() == 0
+
+
+def test_small_sections_are_matched_many_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(audit, "TILE", 2)  # parts of eight rows, so that tiles go on from one to the next
+    rng = np.random.default_rng(6)
+    big = 2**53  # ids that doubles don't tell apart
+    sides = [[(s, big + k, rng.normal(size=3).tolist()) for s in range(60) for k in range(rng.integers(0, 6 if s % 9 else 30))] for _ in "ab"]
+    frames = [spark.createDataFrame(x, "section long, id long, v array<double>") for x in sides]
+    out = audit.best_match(*frames, "section")
+    found = {r.section: r.similarity for r in out.collect()}
+    want = {}
+    for s in range(60):
+        a, b = ([np.array(v) for t, _, v in x if t == s] for x in sides)
+        if a and b:
+            cos = np.array(a) @ np.array(b).T
+            want[s] = (cos.max(axis=1).mean() + cos.max(axis=0).mean()) / 2
+    assert found.keys() == want.keys() and all(abs(found[s] - want[s]) < 1e-12 for s in want)
+    assert "CoGroups" not in out._jdf.queryExecution().toString()
