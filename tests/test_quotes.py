@@ -65,3 +65,11 @@ def test_short_quotes_leave_nothing_on_disk_but_pairs(spark, monkeypatch):
     monkeypatch.setattr(quotes, "materialize", lambda df, name, *a: names.append(name) or write(df, name, *a))
     assert len(_check(spark, [(k, f"a short one, {k}") for k in range(20)], [(0, "short"), (1, "one, 1"), (2, "none")])) == 31
     assert names == ["quotes"]
+
+
+def test_texts_come_in_small_arrow_batches(spark, monkeypatch):
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], quotes.keep
+    before = spark.conf.get(name)
+    monkeypatch.setattr(quotes, "keep", lambda df, what: seen.append(int(spark.conf.get(name))) or write(df, what))
+    assert len(_check(spark, [(k, f"text {k}") for k in range(20)], [(0, "text 1")])) == 11
+    assert seen and max(seen) <= 512 and spark.conf.get(name) == before
