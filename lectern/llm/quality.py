@@ -11,7 +11,8 @@ with the smaller doc_id.
 
 Bounds. The labelled sample holds at most SAMPLE rows a label (those with the smallest hashes of doc_id), so
 that what is broadcast is at most 2 x SAMPLE vectors of RANK floats plus the projection, about 2 MB at the
-defaults, whatever the corpus holds. All documents are scored, with their whole texts; nothing is shuffled
+defaults, whatever the corpus holds. The driver gets their counts packed and works on one table of them, 40 MB at the
+defaults, that the weights overwrite. All documents are scored, with their whole texts; nothing is shuffled
 but the labelled rows. Frequencies come from the labelled sample, as a part of the fitted model.
 
 Cases. A null text is empty; an empty text is scored like any other (its vector is zero, so its score is
@@ -22,6 +23,7 @@ columns stay, except those named like the output's.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,7 +117,10 @@ class Model:
         return out
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        z = self.weighted(x).astype(np.float64) @ self.axes.astype(np.float64)
+        return self.projected(self.weighted(x))
+
+    def projected(self, w: np.ndarray) -> np.ndarray:
+        z = w.astype(np.float64) @ self.axes.astype(np.float64)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -135,18 +140,21 @@ class Model:
 
 
 def fit(x: np.ndarray, labels: np.ndarray, seed: int = 5) -> Model:
-    """The model of a labelled sample's raw counts; randomised subspace iteration for the axes."""
+    """The model of a labelled sample's raw counts, which are overwritten; randomised subspace iteration for the axes."""
     if not len(labels):
         return Model(np.ones(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     model = Model(idf, np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), labels.astype(np.float64), float(labels.mean()))
-    w = model.weighted(x)
+    blocks = [slice(lo, lo + TEXTS) for lo in range(0, len(x), TEXTS)]
+    w = x  # in place: the driver holds one table of this size
+    for block in blocks:
+        w[block] = model.weighted(x[block])
     rank = min(RANK, *w.shape)
     q = np.linalg.qr(w.T @ np.random.default_rng(seed).standard_normal((len(w), rank)).astype(np.float32))[0]
     for _ in range(6):
         q = np.linalg.qr(w.T @ (w @ q))[0]
     model.axes = q.astype(np.float32)
-    model.vectors = model.latent(x).astype(np.float32)
+    model.vectors = np.concatenate([model.projected(w[block]).astype(np.float32) for block in blocks])
     return model
 
 
@@ -171,9 +179,18 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple
                 yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "x": [r.tobytes() for r in x]})
 
     rows = texts.mapInPandas(featurise, "doc_id long, quality int, x binary")
-    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).collect()
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(x=[zlib.compress(x, 1) for x in batch["x"]])
+
+    # most counts are 0, so packed rows are a small part of the table that they fill on the driver
+    rows = rows.mapInPandas(pack, "doc_id long, quality int, x binary").collect()
     rows.sort(key=lambda r: (r.quality, r.doc_id))
-    x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.float32).reshape(len(rows), DIMS)
+    x = np.zeros((len(rows), DIMS), dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(zlib.decompress(r.x), dtype=np.float32)
     return x, np.array([r.quality for r in rows], dtype=np.int64)
 
 

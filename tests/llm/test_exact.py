@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -355,6 +356,25 @@ def test_op7_scores_are_a_texts_own(spark, docs):
     assert abs(tied.score(quality.counts(texts[:1]))[0] - 2 / quality.NEIGHBOURS) < 1e-9
 
 
+def test_op7_driver_holds_one_table_of_counts(spark):
+    """Sampling and fitting take little more of the driver's Python than the counts; the model is the one of whole tables."""
+    rows, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    tracemalloc.start()
+    try:
+        x, y = quality.sample(rows, labels)
+        assert tracemalloc.get_traced_memory()[1] < 1.75 * x.nbytes
+        raw, y = np.tile(x, (1 + 2000 // len(x), 1)), np.tile(y, 1 + 2000 // len(x))
+        counted = raw.copy()
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        model = quality.fit(raw, y)
+        assert tracemalloc.get_traced_memory()[1] - held < raw.nbytes
+    finally:
+        tracemalloc.stop()
+    assert np.allclose(model.vectors, model.latent(counted), atol=1e-6)
+    assert np.array_equal(raw, model.weighted(counted))
+
+
 def test_op2_tree_decides(spark):
     """The tree splits on words and densities of the block and of both neighbours beside what the markup says, and drops blocks of pages."""
 
