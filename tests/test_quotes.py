@@ -73,3 +73,23 @@ def test_texts_come_in_small_arrow_batches(spark, monkeypatch):
     monkeypatch.setattr(quotes, "keep", lambda df, what: seen.append(int(spark.conf.get(name))) or write(df, what))
     assert len(_check(spark, [(k, f"text {k}") for k in range(20)], [(0, "text 1")])) == 11
     assert seen and max(seen) <= 512 and spark.conf.get(name) == before
+
+
+def test_pairs_of_many_quotes_take_a_shuffle_of_quotes_alone(spark, monkeypatch):
+    """Beyond HELD quotes go out in parts; fingerprints of texts, texts and the pairs of short quotes aren't dealt out."""
+    monkeypatch.setattr(quotes, "HELD", 40)
+    monkeypatch.setattr(quotes, "_candidates", lambda *a, **b: pytest.fail("texts' fingerprints were dealt out"))
+    rng = random.Random(5)
+    texts = [(k, "".join(rng.choice("abcé😀 ") for _ in range(rng.choice([0, 15, 16, 17, 300, 70_000 if k == 7 else 90])))) for k in range(60)]
+    whole = [t for _, t in texts if len(t) > 40]
+    asked = [(n * 100 + k, (t := rng.choice(whole))[(at := rng.randrange(len(t) - n + 1)) : at + n]) for n in range(1, 40) for k in range(6)]
+    asked += [(9000, "a" * 15), (9001, "a" * 16), (9002, "a" * 17), (9003, asked[0][1])]
+    assert len(_check(spark, [*texts, (99, "a" * 40), (98, "a" * 16)], asked)) > 800
+
+
+def test_strings_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "_BASE", np.uint64(0))  # a gram's hash is that of its last character
+    texts = [(0, "xyzab"), (1, "cab ab"), (2, "dbcb"), (3, "this text ends in the same way, or does it?")]
+    asked = [(0, "ab"), (1, "cb"), (2, "db"), (3, "eb"), (4, "zab"), (5, "or does it?"), (6, "of does it?")]
+    who, nos, _ = quotes._met([t for _, t in texts], quotes._plan(spark.createDataFrame(asked, "no long, quote string")))
+    assert sorted(zip(nos.tolist(), who.tolist())) == sorted((q, k) for q, quote in asked for k, t in texts if quote in t)
