@@ -103,3 +103,36 @@ def test_words_are_indexed_without_vectors(spark):
     assert held.postings.count() == 1 and not calls
     assert held.renamed("id", "other").vectors.columns[0] == "other" and calls == [1]
     assert held.vectors.where(F.col("id") == 1).count() == 1 and calls == [1]
+
+
+def test_words_are_counted_where_documents_lie(spark, tmp_path):
+    """A document's words are a row: none are dealt out, and their ranking is that of the postings."""
+    texts = {k: f"Élan vital number {k} of the recall{'s' * (k % 3)}, élan again" + " toy" * (k % 5) for k in range(60)} | {90: "", 91: None, 92: "x élan_toy"}
+    rows = spark.createDataFrame([(k, t, "recall of toys" if k % 2 else None) for k, t in texts.items()], "id long, text string, heading string")
+    counts = search.term_counts(rows, "id", "text", "heading")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in search.hash_vectors(rows, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    again = rows.unionByName(rows.where("id % 7 = 1"))  # keys that come twice
+    for some in (rows, again):
+        found = search.term_counts(some, "id", "text", "heading")
+        posts = search.postings(some, "id", "text", "heading").select("term", "id", "tf_heading", "tf_text")
+        assert listed(search.postings_from(found, "id")) == listed(posts)
+        lengths = search.lengths_from(posts, some, "id")
+        assert listed(search.lengths_from_counts(found, "id")) == listed(lengths)
+        asked = spark.createDataFrame([(1, "recall élan"), (2, "toy toys éé"), (3, "x number"), (4, "the"), (5, "nowhere")], "query_id long, query string")
+        want = search.bm25_topk(asked, posts, lengths, "id", 7, 6)
+        assert listed(search.counts_topk(asked, found, "id", 7, 6).select("query_id", "rank", "id", "score")) == listed(want.select("query_id", "rank", "id", "score"))
+        monkey = search.PHRASES
+        try:
+            search.PHRASES = 0  # by the postings
+            assert listed(search.counts_topk(asked, found, "id", 7, 6).select("query_id", "rank", "id", "score")) == listed(want.select("query_id", "rank", "id", "score"))
+        finally:
+            search.PHRASES = monkey
+
+
+def test_vectors_of_repeated_keys_count_all_their_rows(spark):
+    rows = spark.createDataFrame([(1, "one two"), (1, "two three"), (2, "one"), (3, "")], "id long, text string")
+    whole = spark.createDataFrame([(1, "one two two three"), (2, "one"), (3, None)], "id long, text string")
+    vectors = lambda df: {r.id: list(r.v) for r in search.hash_vectors(df, "id", "text").collect()}
+    assert vectors(rows) == vectors(whole) and set(vectors(whole)) == {1, 2}
