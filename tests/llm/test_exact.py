@@ -505,3 +505,21 @@ def test_pipeline_stages_by_brute_force(spark):
     assert sum(words(r.text) for r in kept) >= 0.6 * sum(words(r.text) for r in every)
     packed = p.packing_stage(spark, mixed, SF).groupBy("doc_id").sum("length").collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in kept}
+
+
+def test_sketches_are_made_in_memory_that_is_there_already():
+    import tracemalloc
+
+    from lectern.llm import ngram_join
+
+    for n in (1, 7, ngram_join.COORDINATES, 2047, 2048, 2049, 50_000):
+        found = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+        x = (found >> np.uint64(32)).astype(np.uint32)
+        least = np.array([(x * f + s).min() for f, s in zip(ngram_join._FACTORS.ravel(), ngram_join._SHIFTS.ravel())], dtype=np.uint32)
+        assert ngram_join.signature(found) == (least & 255).astype(np.uint8).tobytes() + (least >> 8 & 255).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        ngram_join.signature(found)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
